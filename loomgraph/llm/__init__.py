@@ -1 +1 @@
-
+"""Operators for training data built from source code, documentation and conversations."""

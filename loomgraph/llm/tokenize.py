@@ -1,0 +1,166 @@
+"""Encoding of texts with a public byte-level BPE vocabulary.
+
+Method: a word's bytes lie in one contiguous array of part boundaries beside the ranks of each pair of adjacent parts.
+The smallest rank is looked for again and again; its right-hand boundary is deleted and the two neighbouring ranks are
+refreshed.  For words longer than ``SHORT`` bytes, where scanning would be quadratic, a heap finds the same minimum.
+
+A text that is null or empty has an empty list.  Strings that look like special tokens are ordinary text.
+"""
+
+from __future__ import annotations
+
+import array
+import base64
+import heapq
+import re
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MAX_VOCABULARY_BYTES = 16 << 20
+SHORT = 96
+CACHE_WORDS = 400_000
+_NONE = 1 << 60
+
+
+def _ranges(member: Callable[[str], bool]) -> str:
+    """Inside of a character class with all code points of which ``member`` holds."""
+    out, start = [], None
+    for code in range(sys.maxunicode + 2):
+        inside = code <= sys.maxunicode and member(chr(code))
+        if inside and start is None:
+            start = code
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+class Splitter:
+    """Words as the public vocabulary's pattern defines them.
+
+    Built-in classes are several times faster than classes of hundreds of ranges.  They mean the same unless a text
+    holds a number that is no decimal digit or one of four separators, and only such texts take the exact classes.
+    """
+
+    def __init__(self) -> None:
+        letters, numbers = _ranges(lambda c: unicodedata.category(c)[0] == "L"), _ranges(lambda c: unicodedata.category(c)[0] == "N")
+        # fixed values: characters with the property White_Space
+        space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+        odd = _ranges(lambda c: unicodedata.category(c) in ("No", "Nl") or "\x1c" <= c <= "\x1f")
+        self.odd = re.compile(f"[{odd}]").search
+        self.plain = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
+        self.quick = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.exact = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+    def __call__(self, text: str) -> list[str]:
+        if self.odd(text):
+            return self.exact(text)
+        return self.plain(text) if text.isascii() else self.quick(text)
+
+
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, whose size is checked since it goes to every executor."""
+    with open(path, "rb") as file:
+        data = file.read(MAX_VOCABULARY_BYTES + 1)
+    if len(data) > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} bytes")
+    return data
+
+
+def parse_vocabulary(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
+
+
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    bounds = list(range(len(word) + 1))
+    adjacent = [ranks.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while adjacent:
+        low = min(adjacent)
+        if low == _NONE:
+            break
+        at = adjacent.index(low)
+        del bounds[at + 1], adjacent[at]
+        if at < len(adjacent):
+            adjacent[at] = ranks.get(word[bounds[at] : bounds[at + 2]], _NONE)
+        if at:
+            adjacent[at - 1] = ranks.get(word[bounds[at - 1] : bounds[at + 1]], _NONE)
+    return tuple(ranks[word[a:b]] for a, b in zip(bounds, bounds[1:]))
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """The same merges with a heap over a linked list of parts."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = bytearray(b"\x01") * n
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue
+        alive[j] = 0
+        end[i], after[i] = stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (rank := ranks.get(word[i : end[after[i]]])) is not None:
+                heapq.heappush(heap, (rank, i, end[after[i]]))
+        if (h := before[i]) >= 0 and (rank := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(heap, (rank, h, stop))
+    return tuple(ranks[word[i : end[i]]] for i in range(n) if alive[i])
+
+
+class Encoder(dict):
+    """Word to ids; a missing word is encoded once and kept, as long as there is room."""
+
+    def __init__(self, data: bytes):
+        super().__init__()
+        self.ranks = parse_vocabulary(data)
+        self.split = Splitter()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        raw = word.encode("utf-8")
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            ids = (whole,)
+        else:
+            ids = merge_short(raw, self.ranks) if len(raw) <= SHORT else merge_long(raw, self.ranks)
+        if len(raw) <= SHORT:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> Iterator[int]:
+        return chain.from_iterable(map(self.__getitem__, self.split(text))) if text else iter(())
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, ids) for every row; other columns are left out, so clashing names do no harm."""
+    data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = data.value
+        encoder = _ENCODERS.get(hash(raw))
+        if encoder is None:
+            encoder = _ENCODERS[hash(raw)] = Encoder(raw)
+        for batch in batches:
+            flat, ends = array.array("i"), np.zeros(batch.num_rows + 1, np.int32)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                flat.extend(encoder.encode(text))
+                ends[k + 1] = len(flat)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
