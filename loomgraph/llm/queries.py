@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import conversations, tokenize, windows
+from loomgraph.llm import bpe, conversations, leakage, spans, windows
 from loomgraph.runtime import table
 
 
@@ -33,8 +33,24 @@ def p7_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode(table(spark, d, "documents"))
+    return bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_shares(table(spark, d, "documents"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL: dict[str, str] = {}
