@@ -3,10 +3,34 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, conversations, leakage, spans, windows
+from loomgraph.llm import bpe, conversations, credentials, docpairs, leakage, neighbours, prose, spans, windows
 from loomgraph.runtime import table
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "node"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).select("node_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.locate(table(spark, d, "node")).select("node_id", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.locate(table(spark, d, "node"), with_text=True)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.node_languages(table(spark, d, "node"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return prose.node_shares(table(spark, d, "node"))
+
+
 def long_texts(spark: SparkSession, d: str) -> DataFrame:
     """(field_name, node_id, locale, text) of the three text columns."""
     code = table(spark, d, "node").select(F.lit("source_code").alias("field_name"), F.col("id").alias("node_id"), F.lit("").alias("locale"), F.col("source_code").alias("text"))
@@ -52,5 +76,21 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_shared": p10_shared}
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    chunk = neighbours.usable(table(spark, d, "chunk"), "id", {"chunk.embedding": "embedding"})
+    names = {f"synonym_dictionary.{c}": c for c in ("term_embedding", "desc_embedding")}
+    return chunk.unionByName(neighbours.usable(table(spark, d, "synonym_dictionary"), "id", names))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(_vectors(spark, d), 0.95)
+    return pairs.select(F.col("field").alias("field_name"), "id_a", "id_b")
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(spark, d)
+    return neighbours.nearest(vectors, vectors.where("id % 100 = 0"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL: dict[str, str] = {}
