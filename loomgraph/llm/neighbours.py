@@ -48,7 +48,7 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20) -> tuple[n
     dim = sample.shape[1]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     centred = sample - mean
-    axes = np.linalg.svd(centred, full_matrices=True)[2].T if len(sample) > 1 else np.eye(dim)
+    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1] if len(sample) > 1 else np.eye(dim)
     projected = centred @ axes
     out = []
     for k in range(count):
