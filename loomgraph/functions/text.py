@@ -111,7 +111,11 @@ def relevance(text: Column, keywords: list[str]) -> Column:
     """Sum over the keywords of 10 times the share of words that contain them or lie in them."""
     words = F.filter(F.split(F.lower(text), _SPACE + "+"), lambda w: w != "")
     total = F.size(words)
-    hits = [F.size(F.filter(words, lambda w, k=k.lower(): F.contains(w, F.lit(k)) | F.contains(F.lit(k), w))) for k in keywords if k.strip()]
+
+    def hit(keyword: str) -> Column:
+        return F.size(F.filter(words, lambda w: F.contains(w, F.lit(keyword)) | F.contains(F.lit(keyword), w)))
+
+    hits = [hit(k.lower()) for k in keywords if k.strip()]
     if not hits:
         return F.lit(0.0)
     return F.when(F.coalesce(total, F.lit(0)) <= 0, F.lit(0.0)).otherwise(sum(((h * F.lit(10.0)) / total for h in hits), F.lit(0.0)))

@@ -1,7 +1,7 @@
 """The modules that hold queries of the core."""
 
-from loomgraph.plans import hierarchy_queries, text_queries
+from loomgraph.plans import graph_queries, hierarchy_queries, table_queries, text_queries
 
 
 def modules() -> list:
-    return [hierarchy_queries, text_queries]
+    return [hierarchy_queries, text_queries, graph_queries, table_queries]

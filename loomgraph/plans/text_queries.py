@@ -168,7 +168,7 @@ SQL = {
         CASE WHEN norm LIKE 'infra:http:%' THEN regexp_replace(regexp_replace(norm, '^infra:http:', ''), '^([A-Z]+):', '\\1 ') WHEN norm LIKE 'infra:%' THEN regexp_replace(norm, '^infra:(kafka:topic|camel:uri):', '') ELSE coalesce(name, old) END AS label
         FROM (SELECT id, old, name, {_NORM} AS norm FROM (SELECT DISTINCT id, name, CASE WHEN kind = 'TOPIC' THEN 'topic://' || fqn WHEN kind = 'ENDPOINT' THEN 'endpoint://GET /' || fqn ELSE fqn END AS old FROM node))""",
     "signature_types": f"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(signature, '([A-Za-z_][A-Za-z0-9_.]*)', 1), lambda t: t NOT IN ({", ".join(repr(w) for w in T.SIGNATURE_WORDS)}) AND (contains(t, '.') OR regexp_matches(t, '^[A-Z]'))))), ',') AS types FROM (SELECT DISTINCT id, signature FROM node WHERE signature IS NOT NULL)""",
-    "camel_split": "SELECT id, array_to_string(p, ' ') AS parts, CAST(coalesce(len(p), -1) AS INTEGER) AS n FROM (SELECT id, list_filter(regexp_split_to_array(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_-]'), lambda x: x <> '') AS p FROM (SELECT DISTINCT id, name FROM node))",
+    "camel_split": "SELECT id, array_to_string(p, ' ') AS parts, CAST(len(p) AS INTEGER) AS n FROM (SELECT id, list_filter(regexp_split_to_array(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_-]'), lambda x: x <> '') AS p FROM (SELECT DISTINCT id, name FROM node))",
     "keyword_match": rf"SELECT id, coalesce(regexp_matches(content, '(?i)(^|[^\p{{L}}\p{{N}}_])queue($|[^\p{{L}}\p{{N}}_])'), false) AS exact, coalesce(contains(lower(content), 'retrywindow') OR (contains(lower(content), 'retry') AND contains(lower(content), 'window')), false) AS fuzzy FROM {_C}",
     "tf_relevance": rf"""SELECT id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(list_filter(w, lambda x: contains(x, 'queue') OR contains('queue', x))) * 10.0::double / len(w) + len(list_filter(w, lambda x: contains(x, 'retry') OR contains('retry', x))) * 10.0::double / len(w), 6) END AS relevance
         FROM (SELECT id, list_filter(regexp_split_to_array(lower(content), '{_S}+'), lambda x: x <> '') AS w FROM {_C} WHERE content IS NOT NULL)""",
