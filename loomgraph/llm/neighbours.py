@@ -75,9 +75,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
 
-def _sample(vectors: DataFrame, size: int, dim: int) -> np.ndarray:
-    """At most ``size`` vectors, those with the least hash, so that the sample is the same in every run."""
-    rows = vectors.select("vec", F.xxhash64("id", "field").alias("h")).orderBy("h").limit(size).select("vec").toArrow()
+def _sample(vectors: DataFrame, rows: int, size: int, dim: int) -> np.ndarray:
+    """At most ``size`` vectors, those with the least hash, so that the sample is the same in every run.
+
+    A bound on the hash leaves about twice that many before they are ordered, however many rows there are.
+    """
+    bound = int(min(1.0, 2 * size / max(rows, 1)) * ((1 << 62) - 1))
+    hashed = vectors.select("vec", F.xxhash64("id", "field").bitwiseAND(F.lit((1 << 62) - 1)).alias("h"))
+    rows = hashed.where(F.col("h") <= bound).orderBy("h").limit(size).select("vec").toArrow()
     column = rows.column("vec").combine_chunks()
     return _matrix(column, dim).astype(np.float64) if len(column) else np.zeros((0, dim))
 
@@ -115,7 +120,7 @@ def similar_pairs(vectors: DataFrame, cosine: float, sample: int = SAMPLE, miss:
     one = cut(one)
     rows = one.count()
     bits, indexes, rotations, radius = plan(rows, cosine, miss)
-    mean, turn = learn_rotations(_sample(one, sample, dim), rotations)
+    mean, turn = learn_rotations(_sample(one, rows, sample, dim), rotations)
     coded = _codes(one, mean, turn, bits, indexes, dim)
     probes = coded.select("field", "id", "code", F.posexplode("subs").alias("at", "sub"))
     # one long names field, index and substring
@@ -150,7 +155,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     least 8k).  These are reranked with floats.  Queries go to the executors in blocks of bounded size.
     """
     one = cut(vectors.dropDuplicates(["field", "id"]))
-    mean, turn = learn_rotations(_sample(one, sample, dim), 4)
+    mean, turn = learn_rotations(_sample(one, one.count(), sample, dim), 4)
     asked = one.join(queries.select("field", "id").distinct(), ["field", "id"], "left_semi")
     spark, out = vectors.sparkSession, None
     schema = pa.schema([("field", pa.string()), ("query_id", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())])
