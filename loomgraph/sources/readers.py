@@ -29,7 +29,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
 
 _DECLARATION = "path string, language string, package string, imports array<string>, decl_type string, name string, owner string, annotations array<string>, supertypes array<string>, signature string, line_start int, line_end int, source_code string, doc_comment string"
 _TYPE = re.compile(r"(?m)^(?P<lead>(?:[ \t]*@[\w.]+(?:\([^)]*\))?[ \t]*\r?\n)*)[ \t]*(?:(?:public|private|protected|internal|abstract|final|open|sealed|data|static|inner|value|annotation|fun)[ \t]+)*(?P<what>class|interface|object|enum[ \t]+class|enum|record)[ \t]+(?P<name>\w+)(?P<rest>[^{;\n]*)")
-_FUNCTION = re.compile(r"(?m)^(?P<lead>(?:[ \t]*@[\w.]+(?:\([^)]*\))?[ \t]*\r?\n)*)[ \t]*(?:(?:public|private|protected|internal|override|open|abstract|final|static|suspend|inline|operator|synchronized)[ \t]+)*(?:fun[ \t]+(?:<[^>]*>[ \t]*)?(?P<k>\w+)|(?!return\b|new\b|else\b|throw\b)[\w.<>\[\],?]+[ \t]+(?P<j>\w+))[ \t]*(?P<sig>\([^)]*\)[^{=;\n]*)(?=[{=])")
+_FUNCTION = re.compile(r"(?m)^(?P<lead>(?:[ \t]*@[\w.]+(?:\([^)]*\))?[ \t]*\r?\n)*)[ \t]*(?:(?:public|private|protected|internal|override|open|abstract|final|static|suspend|inline|operator|synchronized)[ \t]+)*(?:fun[ \t]+(?:<[^>]*>[ \t]*)?(?P<k>\w+)|(?!return\b|new\b|else\b|throw\b|class\b|interface\b|object\b|enum\b|record\b|package\b|import\b)[\w.<>\[\],?]+[ \t]+(?P<j>\w+))[ \t]*(?P<sig>\([^)]*\)[^{=;\n]*)(?=[{=])")
 _FIELD = re.compile(r"(?m)^[ \t]+(?:(?:public|private|protected|internal|override|final|static|lateinit|const)[ \t]+)*(?:va[lr][ \t]+(?P<k>\w+)[ \t]*(?::[ \t]*(?P<kt>[\w.<>?, ]+))?|(?P<jt>[A-Z][\w.<>\[\]]*)[ \t]+(?P<j>\w+)[ \t]*(?==|;))")
 
 
