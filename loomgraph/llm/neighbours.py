@@ -43,13 +43,14 @@ def usable(rows: DataFrame, id_col: str, columns: dict[str, str], dim: int = DIM
     return out.where((F.size("vec") == dim) & finite & some & F.col("id").isNotNull())
 
 
-def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, dim x 64*count matrix) of ``count`` rotations, each learned from another random start."""
+def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20) -> np.ndarray:
+    """dim x 64*count matrix of ``count`` rotations, each learned from another random start.
+
+    The vectors are not centred: a bit is the side of a plane through the origin, which only the angle decides.
+    """
     dim = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
-    centred = sample - mean
-    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1] if len(sample) > 1 else np.eye(dim)
-    projected = centred @ axes
+    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1] if len(sample) > 1 else np.eye(dim)
+    projected = sample @ axes
     out = []
     for k in range(count):
         turn = np.linalg.qr(np.random.default_rng(977 + k).standard_normal((dim, dim)))[0]
@@ -57,7 +58,7 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20) -> tuple[n
             left, _, right = np.linalg.svd(np.sign(projected @ turn).T @ projected)
             turn = (left @ right).T
         out.append(axes @ turn)
-    return mean.astype(np.float32), np.hstack(out).astype(np.float32)
+    return np.hstack(out).astype(np.float32)
 
 
 def plan(rows: int, cosine: float, miss: float = MISS) -> tuple[int, int, int, int]:
@@ -87,18 +88,18 @@ def _sample(vectors: DataFrame, rows: int, size: int, dim: int) -> np.ndarray:
     return _matrix(column, dim).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 
-def _codes(vectors: DataFrame, mean: np.ndarray, rotations: np.ndarray, bits: int, indexes: int, dim: int) -> DataFrame:
+def _codes(vectors: DataFrame, rotations: np.ndarray, bits: int, indexes: int, dim: int) -> DataFrame:
     """(field, id, code, subs): the first 64 bits and the substrings of all rotations."""
-    shared = vectors.sparkSession.sparkContext.broadcast((mean, rotations))
+    shared = vectors.sparkSession.sparkContext.broadcast(rotations)
     schema = pa.schema([("field", pa.string()), ("id", pa.int64()), ("code", pa.int64()), ("subs", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean_, turn = shared.value
+        turn = shared.value
         weights = (1 << np.arange(bits)).astype(np.int32)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                signs = (_matrix(part.column(2), dim) - mean_) @ turn > 0
+                signs = _matrix(part.column(2), dim) @ turn > 0
                 code = np.packbits(signs[:, :64], axis=1).view(np.int64).ravel()
                 subs = (signs[:, : bits * indexes].reshape(-1, indexes, bits) * weights).sum(axis=2, dtype=np.int32)
                 ends = np.arange(0, subs.size + 1, indexes, dtype=np.int32)
@@ -120,8 +121,8 @@ def similar_pairs(vectors: DataFrame, cosine: float, sample: int = SAMPLE, miss:
     one = cut(one)
     rows = one.count()
     bits, indexes, rotations, radius = plan(rows, cosine, miss)
-    mean, turn = learn_rotations(_sample(one, rows, sample, dim), rotations)
-    coded = _codes(one, mean, turn, bits, indexes, dim)
+    turn = learn_rotations(_sample(one, rows, sample, dim), rotations)
+    coded = _codes(one, turn, bits, indexes, dim)
     probes = coded.select("field", "id", "code", F.posexplode("subs").alias("at", "sub"))
     # one long names field, index and substring
     slot = F.shiftleft(F.xxhash64("field", "at").bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col("sub").cast("long"))
@@ -155,16 +156,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     least 8k).  These are reranked with floats.  Queries go to the executors in blocks of bounded size.
     """
     one = cut(vectors.dropDuplicates(["field", "id"]))
-    mean, turn = learn_rotations(_sample(one, one.count(), sample, dim), 4)
+    turn = learn_rotations(_sample(one, one.count(), sample, dim), 4)
     asked = one.join(queries.select("field", "id").distinct(), ["field", "id"], "left_semi")
     spark, out = vectors.sparkSession, None
     schema = pa.schema([("field", pa.string()), ("query_id", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())])
     for chunk in _query_blocks(asked, block, dim):
-        shared = spark.sparkContext.broadcast((chunk, mean, turn))
+        shared = spark.sparkContext.broadcast((chunk, turn))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            by_field, mean_, turn_ = shared.value
-            pack = lambda x: np.packbits((x - mean_) @ turn_ > 0, axis=1).view(np.uint64)
+            by_field, turn_ = shared.value
+            pack = lambda x: np.packbits(x @ turn_ > 0, axis=1).view(np.uint64)
             coded = {f: (ids, x, pack(x)) for f, (ids, x) in by_field.items()}
             best: dict[str, tuple[np.ndarray, np.ndarray]] = {f: (np.full((len(ids), k), -1), np.full((len(ids), k), -2.0)) for f, (ids, _) in by_field.items()}
             for batch in batches:
