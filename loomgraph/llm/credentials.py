@@ -237,7 +237,7 @@ def _plain_rules(text: str, add) -> None:
             body = m.group("body")
             if "ENCRYPTED" in m.group("label") or "ENCRYPTED" in body[:120]:
                 continue
-            if re.search(r"[A-Za-z0-9+/]{16}", body):
+            if any(len(set(run)) > 4 for run in re.findall(r"[A-Za-z0-9+/]{16,}", body)):
                 add(m.start(), m.end(), "private_key")
     for pattern in (_ASSIGN, _BREAK):
         for m in pattern.finditer(text):
@@ -347,7 +347,7 @@ def _cover(value: str, kind: str) -> str:
         head, _, rest = value.partition("-----BEGIN ")
         label, _, body = rest.partition("-----")
         inner, dashes, tail = body.partition("-----END")
-        return head + "-----BEGIN " + label + "-----" + re.sub(r"[A-Za-z0-9+/=]{8,}", lambda m: "A" * len(m.group()), inner) + dashes + tail
+        return head + "-----BEGIN " + label + "-----" + re.sub(r"(\\[nrt])|[A-Za-z0-9+/=]{8,}", lambda m: m.group(1) or "A" * len(m.group()), inner) + dashes + tail
     if kind in ("encoded", "authorization", "private_key"):
         if _HEX.fullmatch(value):
             return b"REDACTED".hex()
