@@ -16,8 +16,10 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .appName("loomgraph-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than running on tables this small
+        .config("spark.default.parallelism", "2")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
