@@ -58,7 +58,7 @@ _XML = re.compile(r"""(?i)\bname\s*=\s*["'](?P<key>[\w.\-]+)["']\s+value\s*=\s*(
 _ELEMENT = re.compile(r"""<(?P<key>[A-Za-z][\w.\-]*)>(?P<val>[^<>\r\n]+)</(?P=key)>""")
 _NAMED = re.compile(r"""(?m)^[ \t#/*]*-?[ \t]*name:[ \t]*["']?(?P<key>[\w.\-]+)["']?[ \t]*\r?\n[ \t#]*value:[ \t]*(?P<val>[^\r\n]+)""")
 _REMARK = re.compile(
-    r"""(?im)(?://|\#|--|/\*|\*|<!--)[^\r\n]*?(?<!\w)(?:парол[ьи]|pw|pwd|passwd|password|passwort|kennwort|contrase[nñ]a|clave|mot[ ]de[ ]passe|login|credentials?|creds|secret|token|api[ _-]?key|ключ|логин)(?!\w)[^\r\n:=/]{0,30}?(?:[:=/]|[ \t])[ \t]*(?:[\w.\-@]+[ \t]*/[ \t]*)?(?P<val>[^\s"'<>]{6,})[ \t]*(?:\*/|-->)?[ \t]*$"""
+    r"""(?im)(?://|\#|--|/\*|\*|<!--)[^\r\n]*?(?<!\w)(?:парол[ьи]|pw|pwd|passwd|password|passwort|kennwort|contrase[nñ]a|clave|mot[ ]de[ ]passe|login|credentials?|creds|secret|token|api[ _-]?key|ключ|логин)(?!\w)[^\r\n:=/]{0,30}?(?:[:=/]|[ \t])[ \t]*(?:[\w.\-@]+[ \t]*/[ \t]*)?(?P<val>[^\s"'<>]{6,})[ \t]*(?:\*/|-->)?[ \t]*\r?$"""
 )
 _PEM = re.compile(r"-----BEGIN (?P<label>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?P<body>.*?)(?P<end>-----END (?P=label)-----|\Z)", re.S)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_\-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_\-]{16,}={0,2})(?![A-Za-z0-9+/=_\-])")

@@ -17,7 +17,7 @@ _SCAN = {
     "hash": re.compile(rf"(?P<line>(?:(?<=\s)|^)\#[^\r\n]*)|(?P<str>{_QUOTED})|(?P<sql>'(?:[^'\r\n]|'')*')", re.M),
     "xml": re.compile(r"(?P<xml><!--[\s\S]*?(?:-->|\Z))|(?P<attr>=\s*(?:\"[^\"]*\"|'[^']*'))|(?P<body>>[^<>]+<)"),
 }
-_VALUE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?(?:[\w.\-/]+[ \t]*[:=]|[\w.\-/]+[ \t]*:)?[ \t]*(?P<v>[^\s#\"'][^\r\n]*)$")
+_VALUE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?(?:[\w.\-/]+[ \t]*[:=]|[\w.\-/]+[ \t]*:)?[ \t]*(?P<v>[^\s#\"'][^\r\n]*)\r?$")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(.))", re.S)
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " ", "0": " "}
 

@@ -28,6 +28,11 @@ def test_found_and_redacted(text):
     assert clean.startswith(text[:start]) and clean.endswith(text[end:])
 
 
+@pytest.mark.parametrize("text", GOOD)
+def test_line_ends_do_not_matter(text):
+    assert len(C.find("x\r\n" + text.replace("\n", "\r\n") + "\r\ny")) == 1
+
+
 @pytest.mark.parametrize("text", BAD)
 def test_none(text):
     assert C.find(text) == []
