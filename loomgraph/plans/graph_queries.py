@@ -123,7 +123,7 @@ SQL = {
     "subgraph_nodes": "SELECT DISTINCT id, coalesce(name, fqn) AS label, kind, package AS grp FROM node WHERE application_id = 1 AND kind IN ('CLASS', 'METHOD')",
     "shortest_path": f"{_C}, ends AS (SELECT src_id, min(dst_id) AS from_id, max(dst_id) AS to_id FROM contains GROUP BY src_id HAVING min(dst_id) < max(dst_id)) SELECT from_id, to_id, CASE WHEN src_id IN (from_id, to_id) THEN 2.5 ELSE 5.0 END::double AS cost, CASE WHEN src_id IN (from_id, to_id) THEN 1 ELSE 2 END AS hops, CASE WHEN src_id IN (from_id, to_id) THEN from_id || '/' || to_id ELSE from_id || '/' || src_id || '/' || to_id END AS path FROM ends",
     "ancestors_closure": f"{_C}, r(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'PACKAGE' UNION SELECT r.root, c.dst_id, r.depth + 1 FROM r JOIN contains c ON c.src_id = r.id WHERE r.depth < 6), m AS (SELECT root, id, min(depth) AS depth FROM r GROUP BY root, id HAVING min(depth) > 0) SELECT m.root AS package_id, n.kind, count(*) AS n, CAST(min(m.depth) AS INTEGER) AS least_depth FROM m JOIN n ON m.id = n.id GROUP BY m.root, n.kind",
-    "transitive_points": "SELECT DISTINCT 2000000000 + s.s_nationkey AS id, p.p_brand AS value FROM supplier s JOIN lineitem l ON l.l_suppkey = s.s_suppkey JOIN part p ON p.p_partkey = l.l_partkey",
+    "transitive_points": "SELECT DISTINCT CAST(2000000000 + s.s_nationkey AS BIGINT) AS id, p.p_brand AS value FROM supplier s JOIN lineitem l ON l.l_suppkey = s.s_suppkey JOIN part p ON p.p_partkey = l.l_partkey",
     "parent_climb": f"""{_C}, stop AS (SELECT id FROM n WHERE kind IN ('CLIENT', 'CONFIG', 'SERVICE', 'CLASS')),
         r(site, pos, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'ENDPOINT' UNION SELECT r.site, c.src_id, r.depth + 1 FROM r JOIN contains c ON c.dst_id = r.pos WHERE r.depth < 10 AND r.pos NOT IN (SELECT id FROM stop)),
         m AS (SELECT site, pos, min(depth) AS depth FROM r GROUP BY site, pos) SELECT site AS site_id, pos AS id, CAST(depth AS INTEGER) AS depth FROM m WHERE pos IN (SELECT id FROM stop)""",
