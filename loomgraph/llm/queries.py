@@ -93,4 +93,21 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_shared": p10_shared}
-SQL: dict[str, str] = {}
+_VEC = "len({0}) = 64 AND len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_BLANK = r"^[\s\p{Z}\p{C}]*$"
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH v AS (SELECT DISTINCT 'chunk.embedding' AS f, id, CAST(embedding AS DOUBLE[]) AS v FROM chunk WHERE {_VEC.format('embedding')}
+        UNION SELECT 'synonym_dictionary.term_embedding', id, CAST(term_embedding AS DOUBLE[]) FROM synonym_dictionary WHERE {_VEC.format('term_embedding')}
+        UNION SELECT 'synonym_dictionary.desc_embedding', id, CAST(desc_embedding AS DOUBLE[]) FROM synonym_dictionary WHERE {_VEC.format('desc_embedding')})
+        SELECT DISTINCT a.f AS field_name, a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.f = b.f AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95""",
+    "p6_found": f"""WITH t AS (SELECT DISTINCT 'source_code' AS field_name, id AS node_id, '' AS locale, source_code AS text FROM node UNION SELECT DISTINCT 'doc_tech', node_id, coalesce(locale, ''), doc_tech FROM node_doc UNION SELECT DISTINCT 'doc_public', node_id, coalesce(locale, ''), doc_public FROM node_doc)
+        SELECT DISTINCT field_name, node_id, locale, CAST(list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda x: length(x))) > 4000 AS INTEGER) AS hard_cut FROM t WHERE length(text) > 4000""",
+    "p7_found": f"""WITH m AS (SELECT DISTINCT conversation_id AS c, timestamp AS ts, CAST(json_extract_string(metadata, '$.seq') AS BIGINT) AS seq, coalesce(CASE upper(trim(type)) WHEN 'HUMAN' THEN 'USER' WHEN 'AI' THEN 'ASSISTANT' ELSE upper(trim(type)) END, '?') AS role, coalesce(content, '') AS content FROM spring_ai_chat_memory WHERE NOT regexp_matches(coalesce(conversation_id, ''), '{_BLANK}')),
+        o AS (SELECT *, row_number() OVER w AS n, lag(role) OVER w AS pr, lag(content) OVER w AS pc FROM m WINDOW w AS (PARTITION BY c ORDER BY ts NULLS FIRST, seq NULLS FIRST, role, md5(content))),
+        t AS (SELECT c, n, role, regexp_matches(content, '{_BLANK}') AS blank FROM o WHERE NOT coalesce(pr = role AND pc = content, false) AND role IN ('USER', 'ASSISTANT')),
+        l AS (SELECT *, lag(role) OVER (PARTITION BY c ORDER BY n) AS before FROM t),
+        k AS (SELECT c FROM l GROUP BY c HAVING NOT bool_or(blank OR coalesce(before = role, false)) AND arg_min(role, n) = 'USER' AND arg_max(role, n) = 'ASSISTANT')
+        SELECT DISTINCT c AS conversation_id FROM m WHERE c NOT IN (SELECT c FROM k)""",
+}
