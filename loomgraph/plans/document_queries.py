@@ -82,4 +82,9 @@ SQL = {
     "node_details": f"{_N} SELECT n.id, n.fqn, (SELECT count(*) FROM contains c WHERE c.dst_id = n.id) AS incoming, (SELECT count(*) FROM contains c WHERE c.src_id = n.id) AS outgoing FROM n",
     "repo_urls": r"""WITH b AS (SELECT id, regexp_replace(regexp_replace(trim(repo_url), '^(?:https?://|ssh://)?(?:[^@/]*@)?', ''), '(\.git)?/*$', '') AS b FROM application WHERE repo_url IS NOT NULL) SELECT id, CASE WHEN contains(regexp_extract(b, '^([^/:]+)', 1), 'github') THEN 'GITHUB' WHEN contains(regexp_extract(b, '^([^/:]+)', 1), 'gitlab') THEN 'GITLAB' WHEN contains(regexp_extract(b, '^([^/:]+)', 1), 'bitbucket') THEN 'BITBUCKET' ELSE 'OTHER' END AS provider, nullif(regexp_extract(b, '^[^/:]+[/:](?:\d+/)?(.+)/[^/]+$', 1), '') AS owner, nullif(regexp_extract(b, '([^/:]+)$', 1), '') AS repo FROM b""",
     "relation_text": f"{_N} SELECT c.src_id, md5(string_agg('contains ' || coalesce(CASE WHEN trim(n.name) <> '' THEN n.name END, CASE WHEN trim(n.fqn) <> '' THEN n.fqn END, 'Node#' || c.dst_id), chr(10) ORDER BY 'contains ' || coalesce(CASE WHEN trim(n.name) <> '' THEN n.name END, CASE WHEN trim(n.fqn) <> '' THEN n.fqn END, 'Node#' || c.dst_id), c.dst_id)) AS hash FROM contains c LEFT JOIN n ON c.dst_id = n.id GROUP BY c.src_id",
+    "profile_report": f"""{_N}, k AS (SELECT application_id, kind, count(*) AS c FROM n GROUP BY ALL), p AS (SELECT application_id, package, count(*) AS c FROM n WHERE package IS NOT NULL GROUP BY ALL), e AS (SELECT application_id, list_sort(list_distinct(list(fqn))) AS l FROM n WHERE kind = 'ENDPOINT' GROUP BY application_id)
+        SELECT application_id, 'kinds' AS section, CAST(row_number() OVER (PARTITION BY application_id ORDER BY c DESC, kind) AS INTEGER) AS position, kind || ': ' || c AS line FROM k
+        UNION ALL SELECT application_id, 'endpoints', 1, array_to_string(l[1:50], ', ') || CASE WHEN len(l) > 50 THEN ' … and ' || (len(l) - 50) || ' more' ELSE '' END FROM e
+        UNION ALL SELECT * FROM (SELECT application_id, 'packages', CAST(row_number() OVER (PARTITION BY application_id ORDER BY c DESC, package) AS INTEGER) AS r, package || ': ' || c FROM p) WHERE r <= 20""",
+    "proto_scan": r"""WITH n AS (SELECT DISTINCT id, regexp_replace(regexp_replace(source_code, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS t FROM node WHERE lang = 'proto' AND source_code IS NOT NULL) SELECT id || '.proto' AS path, upper(split_part(d, ' ', 1)) AS kind, regexp_extract(d, '(\w+)$', 1) AS name, CAST(NULL AS VARCHAR) AS owner FROM (SELECT id, unnest(regexp_extract_all(t, '\b((?:message|enum|service)\s+\w+)\s*\{', 1)) AS d FROM n)""",
 }

@@ -181,4 +181,12 @@ SQL = {
         WHEN list_has_any(a, ['configurationproperties', 'configuration']) OR list_contains(p, 'config') OR n LIKE '%config' OR n LIKE '%configuration' THEN 'CONFIG' WHEN n LIKE '%exception' THEN 'EXCEPTION' WHEN list_contains(p, 'job') OR n LIKE '%job' OR n LIKE '%worker' OR n LIKE '%scheduler' THEN 'JOB'
         WHEN list_contains(a, 'repository') OR list_contains(p, 'repository') OR n LIKE '%repository' OR n LIKE '%dao' THEN 'DB_QUERY' WHEN list_has_any(p, ['kafka', 'messaging', 'mq', 'queue', 'stream']) AND regexp_matches(n, '(consumer|producer|listener|subscriber|publisher|receiver|sender)$') THEN 'TOPIC' WHEN list_contains(p, 'migration') OR n LIKE '%migration' THEN 'MIGRATION'
         WHEN list_contains(a, 'mapper') OR list_contains(p, 'mapper') OR n LIKE '%mapper' THEN 'MAPPER' WHEN list_contains(a, 'schema') OR list_contains(p, 'schema') THEN 'SCHEMA' WHEN list_contains(a, 'service') OR (list_contains(a, 'component') AND list_contains(p, 'service')) OR (list_contains(p, 'service') AND n LIKE '%service') OR list_contains(a, 'springbootapplication') THEN 'SERVICE' ELSE kind END AS refined FROM b""",
+    "infra_detection": """SELECT 1 AS source_id, * FROM (VALUES ('CAMUNDA', 'camunda', 'camunda.base-url', 'http://cam', NULL), ('DATABASE', 'spring.datasource', 'spring.datasource.url,spring.datasource.username', 'jdbc:postgresql://db/x', NULL),
+        ('HTTP', 'rr.ups-client', 'rr.ups-client.api-url,rr.ups-client.timeout', 'https://ups.example/api', 'UPS_SERVICE_API_URL'), ('KAFKA', 'spring.kafka', 'spring.kafka.bootstrap-servers,spring.kafka.group', 'k:9092', 'KAFKA'),
+        ('RABBIT', 'spring.rabbitmq', 'spring.rabbitmq.host,spring.rabbitmq.port', 'r', NULL)) t(type, grp, properties, default_url, env_var)""",
+    "agent_node_search": """WITH n AS (SELECT DISTINCT id, fqn, name, kind FROM node), w AS (SELECT id, fqn, 0 AS r FROM n WHERE contains(fqn, 'Order') UNION ALL SELECT id, fqn, 1 FROM n WHERE kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'SERVICE', 'MAPPER', 'EXCEPTION', 'CLIENT', 'CONFIG', 'ENDPOINT') AND (name = 'Order' OR fqn LIKE '%.Order') UNION ALL SELECT id, fqn, 2 FROM n WHERE kind = 'METHOD' AND name = 'Order')
+        SELECT id, fqn FROM (SELECT id, fqn, min(r) AS r FROM w GROUP BY id, fqn) ORDER BY r, fqn, id LIMIT 10""",
+    "fts_cover_density": f"""{_C}, h AS (SELECT id, list_filter(list_transform(range(1, len(t) + 1), lambda i: {{'w': t[i], 'i': i}}), lambda x: x.w IN ('queue', 'index')) AS h FROM tk WHERE list_contains(t, 'queue') AND list_contains(t, 'index')),
+        ev AS (SELECT id, unnest(h) AS x, h FROM h), st AS (SELECT id, x.i AS b, least(list_max(list_transform(list_filter(h, lambda y: y.w = 'queue' AND y.i <= x.i), lambda y: y.i)), list_max(list_transform(list_filter(h, lambda y: y.w = 'index' AND y.i <= x.i), lambda y: y.i))) AS a, len(list_filter(h, lambda y: y.w = 'queue' AND y.i <= x.i)) AS q, len(list_filter(h, lambda y: y.w = 'index' AND y.i <= x.i)) AS p FROM ev),
+        m AS (SELECT id, a, min(b) AS b FROM st WHERE q > 0 AND p > 0 GROUP BY id, a) SELECT id, round(sum(1.0::double / (b - a + 1)), 6) AS density FROM m GROUP BY id""",
 }

@@ -195,4 +195,5 @@ SQL = {
         SELECT DISTINCT id, a, CASE WHEN regexp_extract(a, '@?(Get|Post|Put|Delete|Patch|Request)Mapping', 1) = 'Request' THEN 'GET' ELSE upper(regexp_extract(a, '@?(Get|Post|Put|Delete|Patch|Request)Mapping', 1)) END AS verb, nullif(regexp_extract(a, '"([^"]*)"', 1), '') AS path
         FROM (SELECT id, unnest(regexp_extract_all(source_code, '@[A-Za-z]+Mapping\("[^"]*"\)')) AS a FROM node WHERE kind = 'ENDPOINT' AND source_code IS NOT NULL)))""",
     "infra_names": "SELECT id, array_to_string(list_filter(string_split(key, '-'), lambda p: lower(p) NOT IN ('client', 'settings', 'config', 'configuration', 'properties')), '-') || ' (HTTP)' AS name FROM application",
+    "doc_readability": r"""SELECT node_id, locale, CASE WHEN w > 0 THEN round(least(greatest(206.835 - 1.015 * w::double / greatest(s, 1) - 84.6 * v::double / w, 0), 100) / 10, 4) ELSE 0.0 END::double AS readability FROM (SELECT DISTINCT node_id, locale, len(regexp_extract_all(doc_public, '\p{L}+')) AS w, len(regexp_extract_all(doc_public, '[.!?]+')) AS s, len(regexp_extract_all(lower(doc_public), '[aeiouyаеёиоуыэюяäöüáéíóúàèùâêîôû]+')) AS v FROM node_doc WHERE doc_public IS NOT NULL)""",
 }
