@@ -64,7 +64,6 @@ _PEM = re.compile(r"-----BEGIN (?P<label>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_\-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_\-]{16,}={0,2})(?![A-Za-z0-9+/=_\-])")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){12,}(?![0-9A-Za-z])")
 _ESCAPED = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2})(?:[^\s\"']*?(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2})){3,}[^\s\"']*")
-_TRIGGER = re.compile(r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|basic|bearer|credential|login|парол|логин|ключ|kennwort|contrase|clave|mot de|://[^\s/\"']*@|[?&]sig|PRIVATE|AKIA|ASIA|gh[pousr]_|glpat-|k_live_|k_test_|xox|nvk\.|eyJ|AIza|\s-u\s|identified")
 
 _REFERENCE = re.compile(r"""(?ix)^(?:\$\{ | \$\( | \$[A-Za-z_] | \{\{ | \#\{ | %\( | %[A-Za-z_]+% | %s$ | @[A-Za-z.]+@$ | <[^<>]*>?$ | \[[^\]]*\]$ | vault[:/] | secret[s]?[:/] | ref\+?: | arn:aws:(?:secretsmanager|ssm) | projects/ | op:// | kms: | \{cipher\} | enc\( | enc: | ENC\[ | \{noop\}$ | \{bcrypt\} | \$2[aby]\$ | \$argon | \$5\$ | \$6\$ | sha(?:1|256|512)[:$-] | md5[:$-] | \{(?:ssha|sha|md5|pbkdf2)\} | -----BEGIN | data: | classpath: | file: | https?:// | ssh-(?:rsa|ed25519) )""")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|change[-_ ]?(?:me|it|this)\w*|your[-_ ].*|my[-_ ]?(?:password|secret|token|key)|todo.*|tbd|fixme.*|dummy.*|place[-_ ]?holder.*|example.*|sample|insert[-_ ].*|replace[-_ ].*|redacted|removed|hidden|masked|none|null|nil|undefined|true|false|default|empty|secret|password|token|n/?a|unset|not[-_ ]set|test|foo|bar|foobar)$")
@@ -193,8 +192,7 @@ def find(text: str, config: bool = True, depth: int = DEPTH) -> list[tuple[int,
         if start not in hits or hits[start][0] < end:
             hits[start] = (end, kind)
 
-    if _TRIGGER.search(text):
-        _plain_rules(text, add)
+    _plain_rules(text, add)
     if depth > 0:
         for pattern in (_BASE64, _HEX, _ESCAPED):
             for m in pattern.finditer(text):
@@ -265,7 +263,7 @@ def _plain_rules(text: str, add) -> None:
             start, end, value = _inner(*found[-1])
             if usable(value, strict=True) and "://" not in value:
                 add(start, end, "login")
-    for pattern in (_CHARS, _KEYSTORE) if "keystore" in lower else ():
+    for pattern in (_CHARS, _KEYSTORE) if "keystore" in lower or "key_store" in lower else ():
         for m in pattern.finditer(text):
             start, end, value = _inner(m.start("val"), m.group("val"))
             if usable(value, strict=True):
@@ -274,9 +272,9 @@ def _plain_rules(text: str, add) -> None:
         for m in _ADDRESS.finditer(text):
             if usable(urllib.parse.unquote(m.group("val"))):
                 add(m.start("val"), m.end("val"), "address")
-        for m in _QUERY.finditer(text):
-            if usable(m.group("val"), strict=True):
-                add(m.start("val"), m.end("val"), "query")
+    for m in _QUERY.finditer(text):
+        if usable(m.group("val"), strict=True):
+            add(m.start("val"), m.end("val"), "query")
     for m in _SCHEME.finditer(text):
         value = m.group("val")
         try:

@@ -38,6 +38,20 @@ def test_none(text):
     assert C.find(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'x.connect("jdbc:postgresql://lane-db.test:5432/a", "voucher_rw", "qMf4C5#KU1D4jx2")', 'x.getConnection("jdbc:h2:a", "voucher_rw", "qMf4C5#KU1D4jx2")', 'x.createConnection("voucher_rw", "qMf4C5#KU1D4jx2")', "curl --user svc:qMf4C5#KU1D4jx2 x.test", "curl x.test -usvc:qMf4C5#KU1D4jx2",
+        "// creds: qMf4C5#KU1D4jx2", 'val db_pw = "qMf4C5#KU1D4jx2"', 'val dbPw = "qMf4C5#KU1D4jx2"', 'get("/lane?sig=E6VUBnrNwwHF5kEUP3rT9Ynh")', 'key_store.load(stream, "qMf4C5#KU1D4jx2")',
+    ],
+)
+def test_every_rule_runs_by_itself(text):
+    hits = C.find(text)
+    assert len(hits) == 1 and not C.find(C.redact(text, hits))
+    layer = 'val blob = "' + base64.b64encode(text.encode()).decode() + '"'
+    assert [k for _, _, k in C.find(layer)] == ["encoded"]
+
+
 @pytest.mark.parametrize("encode", [lambda s: base64.b64encode(s.encode()).decode(), lambda s: s.encode().hex(), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"%{b:02X}" for b in s.encode()), lambda s: base64.b64encode(s.encode().hex().encode()).decode()])
 def test_layers(encode):
     text = 'val blob = "' + encode("db url is amqp://svc:Ration!43290DE@host:1/x") + '"'
