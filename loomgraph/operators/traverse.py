@@ -19,15 +19,19 @@ def _table(values: dict[str, float], kind: Column, other: float | None) -> Colum
     return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in values.items()], F.lit(other).cast("double"))
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int, reverse: bool = False) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None, reverse: bool = False) -> DataFrame:
     """(root_id, id, depth): everything reached from each root in at most ``max_depth`` steps, with the least depth.
 
-    Roots themselves are left out; a step goes from src to dst, or back if ``reverse``.
+    Roots themselves are left out; a step goes from src to dst, or back if ``reverse``.  Without ``max_depth`` everything
+    is reached, by doubling: the number of rounds is the logarithm of the depth, and what 2^k steps join are pairs of
+    nodes, at most one per node where each has one edge into it, as in a hierarchy.
     """
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
     steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
     front = roots.select(F.col("id").alias("root_id"), "id").distinct()
     visited = front.withColumn("depth", F.lit(0))
+    if max_depth is None:
+        return _reach_all(steps, visited)
     for depth in range(1, max_depth + 1):
         found = front.join(steps, "id").select("root_id", F.col("next").alias("id")).distinct()
         front = cut(found.join(visited.select("root_id", "id"), ["root_id", "id"], "left_anti"))
@@ -37,6 +41,23 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int, reverse: bool = Fa
     return visited.where("depth > 0")
 
 
+def _reach_all(steps: DataFrame, visited: DataFrame) -> DataFrame:
+    """All reached pairs: those nearer than 2^k, prolonged by exactly 2^k steps, give those nearer than 2^(k+1).
+
+    Distances leave no gap, so a round that finds nothing is the last one, whether or not walks go on in circles.
+    """
+    jump, length = cut(steps), 1
+    visited = cut(visited)
+    while True:
+        found = visited.join(jump, "id").groupBy("root_id", F.col("next").alias("id")).agg((F.min("depth") + length).alias("depth"))
+        new = cut(found.join(visited.select("root_id", "id"), ["root_id", "id"], "left_anti"))
+        if new.isEmpty():
+            return visited.where("depth > 0")
+        visited = visited.unionByName(new)
+        jump = cut(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")).distinct())
+        length *= 2
+
+
 def impact(edges: DataFrame, nodes: DataFrame, root: int, max_depth: int = 5) -> DataFrame:
     """(id, depth) of all that depends on ``root``; an unknown root is an error."""
     start = nodes.where(F.col("id") == root).select("id").distinct()
@@ -193,9 +214,9 @@ def climb(calls: DataFrame, sites: DataFrame, stops: DataFrame, max_depth: int =
     return out.select("site_id", F.col("at").alias("id"), "depth")
 
 
-def summaries(own: DataFrame, calls: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(id, urls, has_retry, has_timeout): own and called units' addresses as a set and flags by OR."""
-    below = reach(calls, own.select("id"), max_depth).select("root_id", "id").union(own.select(F.col("id").alias("root_id"), "id"))
+def summaries(own: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, urls, has_retry, has_timeout): addresses of a unit and of all units it calls, however deep, as a set and flags by OR."""
+    below = reach(calls, own.select("id"), None).select("root_id", "id").union(own.select(F.col("id").alias("root_id"), "id"))
     rows = below.join(own, "id")
     return rows.groupBy(F.col("root_id").alias("id")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("urls"), F.bool_or("has_retry").alias("has_retry"), F.bool_or("has_timeout").alias("has_timeout")

@@ -91,7 +91,7 @@ def method_summaries(spark, d):
         F.col("source_code").contains("retry").alias("has_retry"),
         F.col("source_code").contains("timeout").alias("has_timeout"),
     )
-    found = G.summaries(own, A.contains(spark, d), 4)
+    found = G.summaries(own, A.contains(spark, d))
     return found.select("id", F.size("urls").alias("n_urls"), F.md5(F.array_join("urls", ",")).alias("urls_hash"), "has_retry", "has_timeout")
 
 

@@ -93,6 +93,33 @@ def test_closure_with_cycle(spark):
     assert {(r.id, r.value) for r in traverse.closure_sets(own, calls).collect()} == {(i, v) for i in (1, 2, 3) for v in "ab"}
 
 
+def test_summaries_over_all_levels(spark):
+    chain = [(i, i + 1, "C") for i in range(1, 21)] + [(21, 19, "C"), (3, 30, "C"), (30, 5, "C")]
+    calls = spark.createDataFrame(chain, schema.EDGE)
+    own = spark.createDataFrame([(i, [f"u{i}"], i == 21, False) for i in [*range(1, 22), 30]], "id long, urls array<string>, has_retry boolean, has_timeout boolean")
+    found = {r.id: r for r in traverse.summaries(own, calls).collect()}
+    assert len(found) == 22 and len(found[1].urls) == 22 and set(found[20].urls) == {"u19", "u20", "u21"}
+    assert all(r.has_retry and not r.has_timeout for r in found.values())
+
+
+def test_reach_without_bound(spark):
+    edges = [(i, i + 1, "C") for i in range(1, 21)] + [(21, 19, "C"), (3, 30, "C"), (30, 7, "C"), (40, 40, "C")]
+    want = set()
+    for root in (1, 20, 40):
+        depth, front = {root: 0}, [root]
+        while front:
+            at = front.pop(0)
+            for a, b, _ in edges:
+                if a == at and b not in depth:
+                    depth[b] = depth[at] + 1
+                    front.append(b)
+        want |= {(root, i, d) for i, d in depth.items() if d}
+    roots = spark.createDataFrame([(1,), (20,), (40,)], "id long")
+    df = spark.createDataFrame(edges, schema.EDGE)
+    assert sorted(map(tuple, traverse.reach(df, roots, None).collect())) == sorted(want)
+    assert traverse.reach(df, roots.limit(0), None).count() == 0
+
+
 # linking
 def link_nodes(spark, usages):
     rows = [
