@@ -63,7 +63,7 @@ def ancestors_closure(spark, d):
     """Closure over calls: the kinds of everything below a package, each kind once."""
     nodes = A.nodes(spark, d)
     packages = nodes.where("kind = 'PACKAGE'").select("id")
-    below = G.reach(A.contains(spark, d), packages, 6)
+    below = G.reach(A.contains(spark, d), packages, None)
     return below.join(nodes.select("id", "kind"), "id").groupBy(F.col("root_id").alias("package_id"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least_depth"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from loomgraph import schema
 from loomgraph.functions import text as T
 from loomgraph.operators import chunking, classify, crossapp, linking, relational, reports, retrieval, traverse, upsert
-from loomgraph.plans import question
+from loomgraph.plans import graph_queries, question
 from loomgraph.sources import readers
 
 
@@ -102,6 +102,13 @@ def test_summaries_over_all_levels(spark):
     assert all(r.has_retry and not r.has_timeout for r in found.values())
 
 
+def test_kinds_below_a_package_at_any_depth(spark, tmp_path):
+    rows = [(1, None, "PACKAGE")] + [(i, i - 1, "CLASS" if i < 15 else "METHOD") for i in range(2, 16)]
+    spark.createDataFrame(rows, "id long, parent_id long, kind string").write.parquet(str(tmp_path / "node.parquet"))
+    found = graph_queries.ancestors_closure(spark, str(tmp_path)).collect()
+    assert sorted((r.package_id, r.kind, r.n, r.least_depth) for r in found) == [(1, "CLASS", 13, 1), (1, "METHOD", 1, 14)]
+
+
 def test_reach_without_bound(spark):
     edges = [(i, i + 1, "C") for i in range(1, 21)] + [(21, 19, "C"), (3, 30, "C"), (30, 7, "C"), (40, 40, "C")]
     want = set()
