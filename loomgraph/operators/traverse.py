@@ -198,20 +198,12 @@ def closure_sets(own: DataFrame, calls: DataFrame, value: str = "value", max_dep
     return own.select("id", value).union(passed).distinct()
 
 
-def climb(calls: DataFrame, sites: DataFrame, stops: DataFrame, max_depth: int = 10) -> DataFrame:
+def climb(calls: DataFrame, sites: DataFrame, stops: DataFrame) -> DataFrame:
     """(site_id, id, depth): the first stops met when climbing from call sites to their callers; a branch ends at its stop."""
-    up = calls.select(F.col("dst_id").alias("at"), F.col("src_id").alias("next")).distinct()
-    ends = stops.select(F.col("id").alias("at"), F.lit(True).alias("stop")).distinct()
-    front = cut(sites.select(F.col("id").alias("site_id"), F.col("id").alias("at")).distinct().join(ends, "at", "left").withColumn("depth", F.lit(0)))
-    seen, out = front, front.where("stop")
-    for depth in range(1, max_depth + 1):
-        go = front.where("stop is null").join(up, "at").select("site_id", F.col("next").alias("at")).distinct()
-        front = cut(go.join(seen.select("site_id", "at"), ["site_id", "at"], "left_anti").join(ends, "at", "left").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-        out = out.unionByName(front.where("stop"))
-    return out.select("site_id", F.col("at").alias("id"), "depth")
+    ends, starts = stops.select("id").distinct(), sites.select("id").distinct()
+    open_ends = calls.join(ends.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti")  # no step leaves a stop
+    above = reach(open_ends, starts, None, reverse=True).select(F.col("root_id").alias("site_id"), "id", "depth")
+    return starts.select(F.col("id").alias("site_id"), "id", F.lit(0).alias("depth")).unionByName(above).join(ends, "id", "left_semi").select("site_id", "id", "depth")
 
 
 def summaries(own: DataFrame, calls: DataFrame) -> DataFrame:

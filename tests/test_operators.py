@@ -102,6 +102,12 @@ def test_summaries_over_all_levels(spark):
     assert all(r.has_retry and not r.has_timeout for r in found.values())
 
 
+def test_climb_to_far_stops(spark):
+    calls = spark.createDataFrame([(i + 1, i, "C") for i in range(1, 21)] + [(30, 1, "C"), (31, 30, "C"), (40, 41, "C"), (41, 40, "C")], schema.EDGE)
+    sites, stops = spark.createDataFrame([(1,), (30,), (40,)], "id long"), spark.createDataFrame([(20,), (21,), (30,), (31,)], "id long")
+    assert sorted(map(tuple, traverse.climb(calls, sites, stops).collect())) == [(1, 20, 19), (1, 30, 1), (30, 30, 0)]
+
+
 def test_kinds_below_a_package_at_any_depth(spark, tmp_path):
     rows = [(1, None, "PACKAGE")] + [(i, i - 1, "CLASS" if i < 15 else "METHOD") for i in range(2, 16)]
     spark.createDataFrame(rows, "id long, parent_id long, kind string").write.parquet(str(tmp_path / "node.parquet"))
