@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a master that runs on this machine only and is removed at the end of the
+    process; a cluster without a shared folder is refused, since its executors could not read each other's files.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints"))
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
