@@ -5,10 +5,17 @@ their characters.  Each round then names runs of equal symbols and, with the sym
 bit of their name, pairs of a left and a right symbol.  A name is a hash of what it stands for, so the naming is global
 over the corpus without any exchange, and equal substrings have the same symbols but for a few at their ends.
 
-High-level symbols that are minimal among their neighbours anchor the text.  Of every span of ``MIN_CHARS`` characters
-that two records share, the first such anchor lies well inside and at least ``PROBE`` characters of the span follow it;
-records that agree on the name of those characters are candidates.  Names shared by many records (notices, templates) are
-narrowed by longer names before any pairs are formed.  Candidates are verified character by character along the diagonal.
+How many at most: the first tokens differ for less than ``TOKEN`` characters behind the start of a common span, and each
+round adds less than ``CAP`` for a run and less than ``CAP`` for a pair that reach over it; at the other end it is the
+same.  With ``EDGE`` = TOKEN + 2 * ROUNDS * CAP = 136 the symbols of a span agree but for 136 characters at either end.
+The symbol of least rank in any ``WINDOW`` = 128 characters is an anchor, so the first window behind the edge has its
+anchor in both texts, and the ``PROBE`` = 200 characters behind it end within 136 + 128 + 200 = 464 < 500 characters.
+Records that agree on the name of those characters are candidates, and no span of ``MIN_CHARS`` escapes.  Names shared by
+many records (notices, templates) are narrowed by longer names before any pairs are formed.
+
+Candidates are verified on the stretches around the common names, not on whole texts: every window of ``min_chars``
+characters of one side is looked up among those of the other and compared character by character, so that what is
+covered is exact in periodic text too, where a record agrees with itself at every period.
 """
 
 from __future__ import annotations
@@ -24,10 +31,11 @@ from loomgraph.runtime import cut, partitions
 
 MIN_CHARS = 500
 PROBE = 200
-ROUNDS = 6
-CAP = 28
-NEIGHBOURS = 8
+ROUNDS = 3
+CAP = 20
 TOKEN = 16
+EDGE = TOKEN + 2 * ROUNDS * CAP
+WINDOW = 128
 CHUNK = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -132,23 +140,30 @@ def recompress(code: np.ndarray, word: np.ndarray, breaks: np.ndarray, rounds: i
     return sym, start, first, sums
 
 
-def anchors(sym: np.ndarray, start: np.ndarray, first: np.ndarray, window: int = NEIGHBOURS) -> np.ndarray:
-    """Starts of the symbols that are the least (of equals the last) of some window of neighbours within their text."""
-    n = len(sym)
-    if n < window:
-        return np.zeros(0, np.int64)
-    rank = _mix(sym ^ np.uint64(0x5DEECE66D))
-    low, at = rank[: n - window + 1].copy(), np.arange(n - window + 1)
-    for k in range(1, window):
-        other = rank[k : n - window + 1 + k]
-        take = other <= low
-        low = np.where(take, other, low)
-        at = np.where(take, np.arange(k, n - window + 1 + k), at)
-    text = np.cumsum(first)
-    inside = text[window - 1 :] == text[: n - window + 1]
-    return start[np.unique(at[inside])]
+def _least(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each ``width`` values that begin at a position; ``width`` is a power of two."""
+    out, step = x, 1
+    while step < width:
+        out = pick(out[:-step], out[step:])
+        step *= 2
+    return out
 
 
+def anchors(sym: np.ndarray, start: np.ndarray, breaks: np.ndarray, length: int, window: int = WINDOW) -> np.ndarray:
+    """Starts of the symbols that have the least rank of all that start in some ``window`` characters of their text."""
+    if length < window:
+        return np.zeros(0, np.int64)
+    none = np.iinfo(np.uint64).max
+    rank = _mix(sym ^ np.uint64(0x5DEECE66D)) >> np.uint64(1)
+    dense = np.full(length, none, np.uint64)
+    dense[start] = rank
+    low = _least(dense, window, np.minimum)
+    crossing = np.zeros(len(low), bool)
+    for b in breaks[1:]:
+        crossing[max(0, b - window + 1) : b] = True
+    low[crossing | (low == none)] = 0
+    padded = np.concatenate((np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)))
+    return start[_least(padded, window, np.maximum)[start] == rank]
 
 
 def _word_table() -> np.ndarray:
@@ -175,8 +190,8 @@ def probes(texts: list[str], length: int = PROBE) -> Iterator[tuple[np.ndarray,
         code = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
         breaks = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         own = np.repeat(np.arange(lo, hi), sizes)
-        sym, start, first, sums = recompress(code, table[code], breaks)
-        at = anchors(sym, start, first)
+        sym, start, _, sums = recompress(code, table[code], breaks)
+        at = anchors(sym, start, breaks, len(code))
         ends = breaks + sizes
         fits = at + length <= ends[own[at] - lo]
         at = at[fits]
@@ -190,124 +205,186 @@ STEP = 20
 MAX_BROADCAST_IDS = 1 << 20
 
 
-def _thin(own: np.ndarray, at: np.ndarray, key: np.ndarray, reach: int = PROBE) -> np.ndarray:
-    """Indices to keep: of a periodic stretch, where one name comes again within ``reach``, only its first and last."""
-    order = np.lexsort((at, key, own))
-    o, k, p = own[order], key[order], at[order]
-    near = (o[1:] == o[:-1]) & (k[1:] == k[:-1]) & (p[1:] - p[:-1] < reach)
-    inner = np.zeros(len(order), bool)
-    inner[1:-1] = near[:-1] & near[1:]
-    return np.sort(order[~inner])
+def _hashes(code: np.ndarray, length: int) -> np.ndarray:
+    """Names of all windows of ``length`` characters."""
+    up, down = _POWERS.need(len(code) + 1)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_mix(code.astype(np.uint64) + np.uint64(0x51ED27)) * up[: len(code)], out=sums[1:])
+    return (sums[length:] - sums[:-length]) * down[: len(code) - length + 1]
+
+
+def _code(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _extent(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each name once, with its first and last place."""
+    names, where = np.unique(key, return_inverse=True)
+    lo, hi = np.full(len(names), np.iinfo(np.int32).max, np.int32), np.zeros(len(names), np.int32)
+    np.minimum.at(lo, where, at)
+    np.maximum.at(hi, where, at)
+    return names, lo, hi
 
 
 def _probe_rows(docs: DataFrame) -> DataFrame:
-    """(key, doc, pos, same): names of the probes of every text; ``same`` is a hash of the whole text."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("same", pa.int64())])
+    """(key, doc, lo, hi, same, same2): the names of a text's probes, each once; the last two columns name the whole text."""
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("same", pa.int64()), ("same2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, same = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, same, same2 = (batch.column(k).to_numpy() for k in (0, 2, 3))
             for own, at, key in probes(batch.column(1).to_pylist()):
-                keep = _thin(own, at, key)
-                own, at, key = own[keep], at[keep], key[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[own]), pa.array(at.astype(np.int32)), pa.array(same[own])], schema=schema)
+                if not len(own):
+                    continue
+                order = np.lexsort((at, key, own))
+                own, at, key = own[order], at[order], key[order]
+                heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1])))
+                tails = np.append(heads[1:], len(own)) - 1
+                of = own[heads]
+                columns = (key[heads], ids[of], at[heads].astype(np.int32), at[tails].astype(np.int32), same[of], same2[of])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return docs.select("doc", "text", F.xxhash64("text").alias("same")).mapInArrow(run, "key long, doc long, pos int, same long")
+    return docs.select("doc", "text", "same", "same2").mapInArrow(run, "key long, doc long, lo int, hi int, same long, same2 long")
 
 
 def _longer_names(hot: DataFrame, docs: DataFrame, length: int, min_chars: int) -> DataFrame:
-    """Rows of names held by many texts, renamed by ``length`` characters at every grid offset that a span may have."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+    """Names held by many texts, replaced by names of ``length`` characters at every grid offset that a span may have.
+
+    A probe lies r characters behind the start of a span, 0 <= r <= min_chars - PROBE.  Of the offsets at distances of
+    min_chars - length one lies in [-r, min_chars - length - r], so that the longer name lies within the span too.
+    """
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
     step = min_chars - length
     offsets = np.arange(-((min_chars - PROBE + step - 1) // step) * step, 1, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, places, text in zip(*(c.to_pylist() for c in batch.columns)):
-                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                up, down = _POWERS.need(len(code) + 1)
-                sums = np.zeros(len(code) + 1, np.uint64)
-                np.cumsum(_mix(code.astype(np.uint64) + np.uint64(0x51ED27)) * up[: len(code)], out=sums[1:])
-                at = np.unique((np.array(places)[:, None] + offsets[None, :]).ravel())
-                at = at[(at >= 0) & (at + length <= len(code))]
-                key = _mix((sums[at + length] - sums[at]) * down[at] + np.uint64(length)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], schema=schema)
-
-    placed = hot.groupBy("doc").agg(F.collect_set("pos").alias("places"))
-    return placed.join(docs, "doc").select("doc", "places", "text").mapInArrow(run, "key long, doc long, pos int")
-
-
-def _diagonals(named: DataFrame) -> DataFrame:
-    """(a, b, diag) of each two texts with a common name; ``named`` lies partitioned by key."""
-    left = named.select("key", F.col("doc").alias("a"), F.col("pos").alias("pa"))
-    right = named.select("key", F.col("doc").alias("b"), F.col("pos").alias("pb"))
-    return left.join(right.hint("merge"), "key").where("a < b").select("a", "b", (F.col("pa") - F.col("pb")).alias("diag")).distinct()
-
-
-def equal_runs(a: np.ndarray, b: np.ndarray, diag: int, least: int) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the maximal equal stretches of at least ``least`` on one diagonal."""
-    lo, hi = max(0, diag), min(len(a), len(b) + diag)
-    if hi - lo < least:
+            for doc, keys, text in zip(*(c.to_pylist() for c in batch.columns)):
+                wanted = np.array(keys, np.int64)
+                for _, places, key in probes([text]):
+                    code = _code(text)
+                    at = np.unique((places[np.isin(key, wanted)][:, None] + offsets[None, :]).ravel())
+                    at = at[(at >= 0) & (at + length <= len(code))]
+                    if len(at):
+                        names, lo, hi = _extent(_mix(_hashes(code, length)[at] + np.uint64(length)).view(np.int64), at)
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), doc)), pa.array(lo), pa.array(hi)], schema=schema)
+
+    # a text's own names are the most that one row gathers
+    placed = hot.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    return placed.join(docs, "doc").select("doc", "keys", "text").mapInArrow(run, "key long, doc long, lo int, hi int")
+
+
+def _candidates(named: DataFrame) -> DataFrame:
+    """(a, b, lo_a, hi_a, lo_b, hi_b): any two texts with a common name and where such names lie in them."""
+    left = named.select("key", F.col("doc").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    right = named.select("key", F.col("doc").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    return left.join(right.hint("merge"), "key").where("a < b").drop("key")
+
+
+def common(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Starts in ``a`` of the windows of ``least`` characters that ``b`` holds too, compared character by character."""
+    if len(a) < least or len(b) < least:
+        return np.zeros(0, np.int64)
+    ha, hb = _hashes(a, least), _hashes(b, least)
+    order = np.argsort(hb, kind="stable")
+    at = np.searchsorted(hb, ha, sorter=order)
+    at[at == len(hb)] = 0
+    hits = np.flatnonzero(hb[order[at]] == ha)
+    partner = order[at[hits]]
+    good = np.zeros(len(hits), bool)
+    # a window that follows on a proven one in both texts needs only its last character
+    follows = np.zeros(len(hits), bool)
+    follows[1:] = (np.diff(hits) == 1) & (np.diff(partner) == 1)
+    for k in np.flatnonzero(~follows):
+        good[k] = np.array_equal(a[hits[k] : hits[k] + least], b[partner[k] : partner[k] + least])
+    last = a[hits + least - 1] == b[partner + least - 1]
+    run = np.cumsum(~follows)
+    broken = np.unique(run[(follows & ~last) | (~follows & ~good)])
+    sure = ~np.isin(run, broken)
+    for k in np.flatnonzero(~sure):  # a run with two different windows of one name: each window on its own
+        sure[k] = np.array_equal(a[hits[k] : hits[k] + least], b[partner[k] : partner[k] + least])
+    return hits[sure]
+
+
+def _stretches(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, length) of the union of the windows."""
+    if not len(starts):
         return []
-    equal = np.zeros(hi - lo + 2, np.int8)
-    equal[1:-1] = a[lo:hi] == b[lo - diag : hi - diag]
-    edges = np.flatnonzero(np.diff(equal))
-    return [(lo + int(s), lo + int(s) - diag, int(e - s)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= least]
+    cuts = np.flatnonzero(np.diff(starts) > least)
+    lo, hi = starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)] + least
+    return [(int(x), int(y - x)) for x, y in zip(lo, hi)]
 
 
 def _verify(candidates: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
-    """(a, b, start_a, start_b, length) of the spans really shared, compared character by character."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("start_a", pa.int32()), ("start_b", pa.int32()), ("length", pa.int32())])
-    candidates = cut(candidates.groupBy("a", "b").agg(F.collect_set("diag").alias("diags")))
-    ids = cut(candidates.select(F.col("a").alias("doc")).union(candidates.select("b")).distinct())
-    # the ids go to all executors only if a count proves them few; else both sides are shuffled
-    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    texts = docs.join(wanted, "doc", "left_semi").select("doc", "text")
+    """(a, b, side, start, length): what either text of a pair holds of the other, ``side`` 0 for a and 1 for b.
+
+    Only the stretches around the common names are sent: each text goes once to its pairs, and what is shuffled after
+    that are the pieces.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("side", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
+    pairs = cut(candidates.groupBy("a", "b").agg(F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b")))
+    wanted = F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(0).alias("side"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")), F.struct(F.col("b").alias("doc"), F.lit(1).alias("side"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))))
+    sides = pairs.select("a", "b", wanted.alias("x")).select("a", "b", "x.*")
+    begin = F.greatest(F.col("lo") - min_chars, F.lit(0))
+    cutout = F.expr(f"substring(text, cast(greatest(lo - {min_chars}, 0) as int) + 1, cast(hi - greatest(lo - {min_chars}, 0) + {2 * min_chars} as int))")
+    ids = cut(sides.select("doc").distinct())
+    # the ids go to all executors only if a count proves them few; beyond that every text is shuffled once
+    texts = docs.select("doc", "text")
+    if ids.count() <= MAX_BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
+    pieces = sides.join(texts, "doc").select("a", "b", "side", begin.cast("int").alias("begin"), cutout.alias("piece"))
+    first, second = (pieces.where(F.col("side") == k).select("a", "b", F.col("begin").alias(f"begin_{k}"), F.col("piece").alias(f"piece_{k}")) for k in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list[int]] = [[] for _ in schema]
-            for a, b, diags, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                ca, cb = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (ta, tb))
-                for run_ in {r for diag in diags for r in equal_runs(ca, cb, diag, min_chars)}:
-                    for column, value in zip(rows, (a, b, *run_)):
-                        column.append(value)
+            for a, b, begin_a, begin_b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
+                ca, cb = _code(ta), _code(tb)
+                for side, starts, offset in ((0, common(ca, cb, min_chars), begin_a), (1, common(cb, ca, min_chars), begin_b)):
+                    for start, length in _stretches(starts, min_chars):
+                        for column, value in zip(rows, (a, b, side, offset + start, length)):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
-    with_a = candidates.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "diags", "text_a", "text_b").mapInArrow(run, "a long, b long, start_a int, start_b int, length int")
+    both = first.join(second.hint("shuffle_hash"), ["a", "b"])
+    return both.select("a", "b", "begin_0", "begin_1", "piece_0", "piece_1").mapInArrow(run, "a long, b long, side int, start int, length int")
+
+
+def _named(documents: DataFrame, min_chars: int) -> DataFrame:
+    return documents.where(F.length("text") >= min_chars).select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("same"), F.xxhash64(F.lit(1), "text").alias("same2"))
 
 
 def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """(a, b, start_a, start_b, length): maximal equal stretches between different texts, one row per stretch.
+    """(a, b, side, start, length): the stretches of one text that lie in spans of ``min_chars`` which the other holds too.
 
-    Equal texts are represented by their smallest id; ``members`` gives the copies.  Null texts and texts under
-    ``min_chars`` share nothing.
+    ``side`` 0 tells a's stretches, 1 those of b; they do not overlap.  Equal texts are represented by their smallest id;
+    ``members`` gives the copies.  Null texts and texts under ``min_chars`` share nothing.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.length("text") >= min_chars)
+    if min_chars < EDGE + WINDOW + PROBE:
+        raise ValueError(f"spans of less than {EDGE + WINDOW + PROBE} characters may hold no anchor")
+    docs = _named(documents, min_chars)
     n = partitions(documents.sparkSession)
-    rows = _probe_rows(docs).repartition(n, "key").groupBy("key", "pos", "same").agg(F.min("doc").alias("doc"))
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    shared = cut(rows.join(counts.select("key", "n"), "key").select("key", "doc", "pos", (F.col("n") > hot).alias("hot")))
-    cold = shared.where(~F.col("hot"))
-    found = _diagonals(cold)
+    # of equal texts the smallest id stands for all; a name of one text only is dropped before anything is joined
+    rows = _probe_rows(docs).repartition(n, "key").groupBy("key", "same", "same2").agg(F.min("doc").alias("doc"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(rows.join(counts, "key").select("key", "doc", "lo", "hi", (F.col("n") > hot).alias("hot")))
+    found = _candidates(shared.where(~F.col("hot")))
     heavy = shared.where("hot")
     if heavy.limit(1).count():
-        found = found.union(_diagonals(_longer_names(heavy, docs, min_chars - STEP, min_chars).distinct())).distinct()
+        found = found.unionByName(_candidates(_longer_names(heavy, docs, min_chars - STEP, min_chars)))
     return _verify(found, docs, min_chars)
 
 
 def members(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(rep, doc): each text's representative, the smallest id with an equal text."""
-    docs = documents.where(F.length("text") >= min_chars).select(F.col("doc_id").cast("long").alias("doc"), F.unhex(F.md5("text")).alias("same"))
-    reps = docs.groupBy("same").agg(F.min("doc").alias("rep"))
-    return docs.join(reps, "same").select("rep", "doc")
+    """(rep, doc): each text's representative, the smallest id with an equal text; texts are compared by 128 bits."""
+    docs = _named(documents, min_chars).select("doc", "same", "same2")
+    reps = docs.groupBy("same", "same2").agg(F.min("doc").alias("rep"))
+    return cut(docs.join(reps, ["same", "same2"]).select("rep", "doc"))
 
 
 def sharing_pairs(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_a, doc_b) of any two documents that share a span, copies included."""
-    spans = shared_spans(documents, min_chars).select("a", "b").distinct()
+    spans = shared_spans(documents, min_chars).where("side = 0").select("a", "b").distinct()
     group = members(documents, min_chars)
     across = (
         spans.join(group.select(F.col("rep").alias("a"), F.col("doc").alias("x")), "a")
@@ -324,9 +401,8 @@ def shared_shares(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame
     ``n_partners`` counts different texts; documents that share nothing come out with 0.
     """
     spans = cut(shared_spans(documents, min_chars))
-    sides = spans.select(F.col("a").alias("rep"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("length")).alias("hi"), F.col("b").alias("other")).union(
-        spans.select("b", "start_b", F.col("start_b") + F.col("length"), "a")
-    )
+    own = lambda x, y: F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y))
+    sides = spans.select(own("a", "b").alias("rep"), F.col("start").alias("lo"), (F.col("start") + F.col("length")).alias("hi"), own("b", "a").alias("other"))
     # sorted intervals folded to the length of their union; their number is bounded by the spans of one text
     packed = sides.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("parts"), F.countDistinct("other").alias("n_partners"))
     fold = F.aggregate(

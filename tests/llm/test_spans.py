@@ -58,6 +58,46 @@ def test_shares(spark):
     assert S.sharing_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def covered(texts, doc, least):
+    """Positions of a text that lie in a window which another, different text holds too."""
+    text = dict(texts)[doc]
+    other = {t[i : i + least] for d, t in texts if t and t != text for i in range(len(t) - least + 1)}
+    hit = [False] * len(text)
+    for i in range(len(text) - least + 1):
+        if text[i : i + least] in other:
+            hit[i : i + least] = [True] * least
+    return sum(hit)
+
+
+def test_coverage_is_exact_in_periodic_text(spark):
+    rng = random.Random(11)
+    texts = []
+    for k, period in enumerate((1, 2, 7, 33, 81, 210)):
+        unit = "".join(rng.choice("abcdefgh пр") for _ in range(period))
+        texts += [(1000 + 10 * k, "begin " + (unit * 4000)[:3000] + " end"), (1001 + 10 * k, "other " + (unit * 4000)[:600])]
+    texts += corpus(4)[:20]
+    got = {r.doc_id: r.shared_chars for r in S.shared_shares(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert {d: got[d] for d, _ in texts if d >= 1000} == {d: covered(texts, d, 500) for d, _ in texts if d >= 1000}
+    assert got[1010] >= 3000
+
+
+def test_every_span_has_a_common_anchor():
+    """The bound of the module's text: whatever surrounds a span, some probe inside it is the same."""
+    rng = random.Random(3)
+    for k in range(300):
+        letters = rng.choice(["ab", "abc ", "abcdefgh ", "a", "ab cd.\n", "xyzабв 0"])
+        span = "".join(rng.choice(letters) for _ in range(500))
+        if k % 3 == 0:
+            unit = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 90)))
+            span = (unit * 500)[:500]
+        found = []
+        for _ in range(2):
+            text = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 200)))
+            whole = text + span + "".join(rng.choice(letters) for _ in range(rng.randrange(0, 200)))
+            found.append({(int(p) - len(text), int(n)) for _, at, names in S.probes([whole]) for p, n in zip(at, names) if len(text) <= p <= len(text) + 300})
+        assert found[0] & found[1]
+
+
 def test_equal_substrings_have_equal_interior_symbols():
     rng = random.Random(4)
     span = "".join(rng.choice("abcdefgh ") for _ in range(600))
@@ -67,4 +107,4 @@ def test_equal_substrings_have_equal_interior_symbols():
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         sym, start, _, _ = S.recompress(code, np.array([chr(c).isalnum() for c in code]), np.array([0]))
         names.append(sym.tolist())
-    assert len(set(names[0]) & set(names[1])) > 15
+    assert len(set(names[0]) & set(names[1])) > 30
