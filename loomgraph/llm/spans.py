@@ -36,7 +36,7 @@ CAP = 20
 TOKEN = 16
 EDGE = TOKEN + 2 * ROUNDS * CAP
 WINDOW = 128
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
@@ -153,16 +153,16 @@ def anchors(sym: np.ndarray, start: np.ndarray, breaks: np.ndarray, length: int,
     """Starts of the symbols that have the least rank of all that start in some ``window`` characters of their text."""
     if length < window:
         return np.zeros(0, np.int64)
-    none = np.iinfo(np.uint64).max
-    rank = _mix(sym ^ np.uint64(0x5DEECE66D)) >> np.uint64(1)
-    dense = np.full(length, none, np.uint64)
+    none = np.iinfo(np.uint32).max
+    rank = (_mix(sym ^ np.uint64(0x5DEECE66D)) >> np.uint64(33)).astype(np.uint32)
+    dense = np.full(length, none, np.uint32)
     dense[start] = rank
     low = _least(dense, window, np.minimum)
     crossing = np.zeros(len(low), bool)
     for b in breaks[1:]:
         crossing[max(0, b - window + 1) : b] = True
     low[crossing | (low == none)] = 0
-    padded = np.concatenate((np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)))
+    padded = np.concatenate((np.zeros(window - 1, np.uint32), low, np.zeros(window - 1, np.uint32)))
     return start[_least(padded, window, np.maximum)[start] == rank]
 
 
@@ -366,8 +366,9 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, hot: int = HO
     n = partitions(documents.sparkSession)
     # of equal texts the smallest id stands for all; a name of one text only is dropped before anything is joined
     rows = _probe_rows(docs).repartition(n, "key").groupBy("key", "same", "same2").agg(F.min("doc").alias("doc"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(counts, "key").select("key", "doc", "lo", "hi", (F.col("n") > hot).alias("hot")))
+    # the count asks for every column, so that both uses of the rows are the same exchange and the texts are named once
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("d"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("n > 1 and d is not null and l <= h")
+    shared = cut(rows.join(counts.select("key", "n"), "key").select("key", "doc", "lo", "hi", (F.col("n") > hot).alias("hot")))
     found = _candidates(shared.where(~F.col("hot")))
     heavy = shared.where("hot")
     if heavy.limit(1).count():
