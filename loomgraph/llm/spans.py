@@ -226,6 +226,13 @@ def _extent(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return names, lo, hi
 
 
+def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, text) for a join with ``rows`` by doc: the ids go to all executors only if a count proves them few, so that no other text is shuffled."""
+    ids = cut(rows.select("doc").distinct())
+    texts = docs.select("doc", "text")
+    return texts.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= MAX_BROADCAST_IDS else texts
+
+
 def _probe_rows(docs: DataFrame) -> DataFrame:
     """(key, doc, lo, hi, same, same2): the names of a text's probes, each once; the last two columns name the whole text."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("same", pa.int64()), ("same2", pa.int64())])
@@ -270,8 +277,8 @@ def _longer_names(hot: DataFrame, docs: DataFrame, length: int, min_chars: int)
                         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), doc)), pa.array(lo), pa.array(hi)], schema=schema)
 
     # a text's own names are the most that one row gathers
-    placed = hot.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    return placed.join(docs, "doc").select("doc", "keys", "text").mapInArrow(run, "key long, doc long, lo int, hi int")
+    placed = cut(hot.groupBy("doc").agg(F.collect_set("key").alias("keys")))
+    return placed.join(_texts_of(placed, docs), "doc").select("doc", "keys", "text").mapInArrow(run, "key long, doc long, lo int, hi int")
 
 
 def _candidates(named: DataFrame) -> DataFrame:
@@ -327,12 +334,7 @@ def _verify(candidates: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame
     sides = pairs.select("a", "b", wanted.alias("x")).select("a", "b", "x.*")
     begin = F.greatest(F.col("lo") - min_chars, F.lit(0))
     cutout = F.expr(f"substring(text, cast(greatest(lo - {min_chars}, 0) as int) + 1, cast(hi - greatest(lo - {min_chars}, 0) + {2 * min_chars} as int))")
-    ids = cut(sides.select("doc").distinct())
-    # the ids go to all executors only if a count proves them few; beyond that every text is shuffled once
-    texts = docs.select("doc", "text")
-    if ids.count() <= MAX_BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
-    pieces = sides.join(texts, "doc").select("a", "b", "side", begin.cast("int").alias("begin"), cutout.alias("piece"))
+    pieces = sides.join(_texts_of(sides, docs), "doc").select("a", "b", "side", begin.cast("int").alias("begin"), cutout.alias("piece"))
     first, second = (pieces.where(F.col("side") == k).select("a", "b", F.col("begin").alias(f"begin_{k}"), F.col("piece").alias(f"piece_{k}")) for k in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
