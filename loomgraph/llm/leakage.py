@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 WORDS = 13
 BLOCK_BYTES = 8 << 20
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--|-->")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--|-->")
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿\x00-\x08\x0e-\x1b\x7f]")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -17,6 +17,8 @@ def test_variants(spark):
     items = spark.createDataFrame([(5, PASSAGE), (6, "too short"), (7, None), (5, PASSAGE)], ITEMS)
     got = {r.doc_id: r.shared_words for r in L.leaks(df, items).collect()}
     assert set(got) == {1, 2, 4, 5, 6, 10, 11, 12} and got[2] == 13 and got[1] == len(words)
+    tagged = spark.createDataFrame([(1, '<div title="' + "long attribute " * 60 + '">' + " ".join(words[:6]) + '<i class="' + "x y " * 200 + '"/> ' + " ".join(words[6:13]))], DOCS)
+    assert L.leaks(tagged, items).count() == 1
     # blocks of items give the same
     assert {r.doc_id for r in L.leaks(df, items, block_bytes=1).collect()} == set(got)
     assert L.leaks(df, items.limit(0)).count() == 0 and L.leaks(df.limit(0), items).count() == 0
