@@ -41,7 +41,7 @@ def family(path: str | None, lang: str | None = None, text: str = "") -> str:
         return known[lang]
     if re.match(r"\s*<", text):
         return "xml"
-    if re.search(r"(?m)^\s*(?:def |class \w+.*:\s*$|@\w+|import |from \w+ import)|\w+ = |\w\(", text):
+    if re.search(r"(?m)^\s*(?:def |class \w+.*:\s*$|@\w+|import |from \w+ import)|\w = |\w\(", text):
         return "brace" if re.search(r"(?m)[;{]\s*$", text) else "python"
     return "hash"
 
