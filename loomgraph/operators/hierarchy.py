@@ -4,26 +4,23 @@ Method: bottom-up leaf peeling.  Each round removes the rows that are nobody's p
 their parents; the reverse peel order then hands root, depth and path (or the id of the cycle above) down to each round.
 What no round can peel is the set of rows on cycles.
 
-The rounds run as joins over the rows that remain.  Forests have few deep branches, so after some rounds a small rest
-remains; once a count proves it to be at most ``finish_rows`` rows (two longs each), one task peels it to the end.  A
-larger rest goes on in distributed rounds, so the result is the same at every size.  Descendants are kept as rows
-(ancestor, descendant, distance) rather than as lists in one row, because the list of a root is unbounded.
+Peeling alone takes as many rounds as a tree is deep.  Where few of the rows that remain are leaves, most of them have a
+single child, and such chains are contracted between the rounds: pointer doubling finds for each row of a chain the top
+of the chain, its distance and the sizes above it in log2(length) joins, the rows of the chain leave together, and the
+row below takes their place with a longer link.  Peeling and contraction together end after O(log n) rounds, whatever the
+form of the trees, and every round is a join over the rows that remain, cut by a checkpoint; nothing is gathered in one
+task.  Cycles are found by the same doubling.  Descendants are kept as rows (ancestor, descendant, distance) rather than
+as lists in one row, because the list of a root is unbounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.runtime import cut
 
-FINISH_ROWS = 1 << 20
-MIN_ROUNDS = 2
-_REST = "id long, peel int, subtree_size long, root long, depth int, path array<long>, cycle_id long"
+CONTRACT_BELOW = 0.25
 
 
 def links(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
@@ -42,139 +39,108 @@ def links(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -
     return one.join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
 
 
-def _solve(first_peel: int, with_path: bool):
-    """Peel the bounded rest in one task: rows (id, above_id, top, below), where below is the size received so far."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rest = pd.concat(frames, ignore_index=True)
-        rest = rest.sort_values("id", ignore_index=True)
-        ids, above_id, top = rest["id"].to_numpy(np.int64), rest["above_id"].to_numpy(np.int64), rest["top"].to_numpy(bool)
-        n = len(ids)
-        up = np.where(top, -1, np.searchsorted(ids, above_id))
-        size = rest["below"].to_numpy(np.int64) + 1
-        waiting = np.bincount(up[up >= 0], minlength=n)
-        peel = np.full(n, -1, np.int32)
-        rounds: list[np.ndarray] = []
-        front = np.flatnonzero(waiting == 0)
-        while len(front):
-            peel[front] = first_peel + len(rounds)
-            rounds.append(front)
-            targets = up[front]
-            keep = targets >= 0
-            np.add.at(size, targets[keep], size[front[keep]])
-            np.subtract.at(waiting, targets[keep], 1)
-            touched = np.unique(targets[keep])
-            front = touched[waiting[touched] == 0]
-        cycle = np.full(n, -1, np.int64)
-        has_cycle = np.zeros(n, bool)
-        for start in np.flatnonzero(peel < 0):
-            if has_cycle[start]:
-                continue
-            ring, at = [], start
-            while not has_cycle[at]:
-                has_cycle[at] = True
-                ring.append(at)
-                at = up[at]
-            cycle[ring] = ids[ring].min()
-        root, depth = np.full(n, -1, np.int64), np.full(n, -1, np.int32)
-        for front in reversed(rounds):
-            above = up[front]
-            top = above < 0
-            root[front] = np.where(top, ids[front], root[above])
-            depth[front] = np.where(top, 0, depth[above] + 1)
-            caught = ~top & has_cycle[above]
-            has_cycle[front] = caught
-            cycle[front] = np.where(caught, cycle[above], -1)
-        for lo in range(0, n, 4096):
-            part = slice(lo, min(n, lo + 4096))
-            bad = has_cycle[part]
-            ok = ~bad
-            paths: list = [None] * len(bad)
-            if with_path:
-                for k in np.flatnonzero(ok):
-                    chain, at = [], lo + k
-                    while at >= 0:
-                        chain.append(int(ids[at]))
-                        at = up[at]
-                    paths[k] = chain[::-1]
-            yield pd.DataFrame(
-                {
-                    "id": ids[part],
-                    "peel": peel[part],
-                    "subtree_size": size[part],
-                    "root": pd.Series(root[part]).astype("Int64").mask(bad),
-                    "depth": pd.Series(depth[part]).astype("Int32").mask(bad),
-                    "path": paths,
-                    "cycle_id": pd.Series(cycle[part]).astype("Int64").mask(ok),
-                }
-            )
-
-    return run
-
-
-def hierarchy(
-    nodes: DataFrame,
-    id_col: str = "id",
-    parent_col: str = "parent_id",
-    with_path: bool = True,
-    finish_rows: int = FINISH_ROWS,
-    min_rounds: int = MIN_ROUNDS,
-) -> DataFrame:
-    """(id, parent_id, root, depth, path, subtree_size, cycle_id), one row per node.
+def _contract(marked: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows of chains that leave) of rows with ``children``, the number of their children.
 
-    ``path`` runs from the root to the node (null unless ``with_path``); ``depth`` of a root is 0.  A node on or below a
-    cycle has only ``cycle_id``, the smallest id on that cycle, and the size of what hangs below it.  An empty table gives no row.
+    A chain is a maximal run of rows with one child and a parent.  Each of its rows learns the chain's ``top`` row by
+    doubling, with the steps, ids (``via``) and sizes (``sent``) from there; rows on cycles of nothing but such rows never
+    learn one and stay.
     """
-    rest = links(nodes, id_col, parent_col).withColumn("below", F.lit(0).cast("long"))
-    peeled: list[DataFrame] = []
-    left, before = None, None
-    while left is None or (left and left != before and (len(peeled) < min_rounds or left > finish_rows)):
-        busy = rest.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"), F.lit(True).alias("busy")).distinct()
-        marked = cut(rest.join(busy, "id", "left"))
-        leaves = marked.where(F.col("busy").isNull()).select("id", "parent_id", "below")
-        sent = leaves.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(F.sum(F.col("below") + 1).alias("got"))
-        stay = marked.where("busy")
-        rest = stay.join(sent, "id", "left").select("id", "parent_id", (F.col("below") + F.coalesce("got", F.lit(0))).alias("below"))
-        peeled.append(leaves)
-        before, left = left, stay.count()  # equal counts: nothing is a leaf any more, only cycles remain
-    if left > finish_rows:
-        solved = _rings(cut(rest))
-    else:
-        given = rest.select("id", F.coalesce("parent_id", "id").alias("above_id"), F.col("parent_id").isNull().alias("top"), "below")
-        solved = given.coalesce(1).mapInPandas(_solve(len(peeled), with_path), _REST)
-    keep = ["id", "subtree_size", "root", "depth", "path", "cycle_id"]
-    done = solved.select(*keep)
-    for leaves in reversed(peeled):
-        above = done.select(F.col("id").alias("parent_id"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"), F.col("cycle_id").alias("up_cycle"), F.lit(True).alias("up"))
-        free = F.col("up").isNull()
-        caught = F.col("up_cycle").isNotNull()
-        own = leaves.join(above, "parent_id", "left").select(
-            "id",
-            (F.col("below") + 1).alias("subtree_size"),
-            F.when(free, F.col("id")).otherwise(F.col("up_root")).alias("root"),
-            F.when(free, F.lit(0)).otherwise(F.col("up_depth") + 1).cast("int").alias("depth"),
-            (F.when(free, F.array("id")).when(~caught, F.concat("up_path", F.array("id"))) if with_path else F.lit(None).cast("array<long>")).alias("path"),
-            F.col("up_cycle").alias("cycle_id"),
+    single = (F.col("children") == 1) & F.col("parent_id").isNotNull()
+    # "to" is the next row of the chain above, or null at its top; link, via and sent sum up from there
+    own = F.col("below") + 1 + F.col("extra")
+    chain = marked.where(single).select("id", "parent_id", "below", "extra", "link", "via", "low", own.alias("sent"))
+    above = chain.select(F.col("id").alias("parent_id"), F.lit(True).alias("inner"))
+    walk = chain.join(above, "parent_id", "left").select("id", "parent_id", "below", "extra", F.when(F.col("inner"), F.col("parent_id")).alias("to"), F.when(F.col("inner").isNull(), F.col("id")).alias("top"), F.when(F.col("inner").isNull(), F.col("parent_id")).alias("head"), "link", "via", "sent", "low")
+    walk = cut(walk)
+    left, before = walk.where("to is not null").count(), None
+    while left and left != before:
+        # rows whose pointer is at the top of the chain are done; the rest jump twice as far
+        far = walk.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("top").alias("top2"), F.col("head").alias("head2"), F.col("link").alias("link2"), F.col("via").alias("via2"), F.col("sent").alias("sent2"), F.col("low").alias("low2"))
+        path = F.concat("via2", F.array("to"), "via") if with_path else F.col("via")
+        going = walk.where("to is not null").join(far, "to").select("id", "parent_id", "below", "extra", F.col("to2").alias("to"), F.col("top2").alias("top"), F.col("head2").alias("head"), (F.col("link") + F.col("link2")).alias("link"), path.alias("via"), (F.col("sent") + F.col("sent2")).alias("sent"), F.least("low", "low2").alias("low"))
+        walk = cut(walk.where("to is null").unionByName(going))
+        before, left = left, walk.where("to is not null").count()
+    done = walk.where("top is not null")
+    # the row below each chain: its parent is the chain's last row, whose sums are those of the whole chain
+    joint = done.select(F.col("id").alias("parent_id"), F.col("top").alias("chain"), "head", F.col("link").alias("chain_link"), F.col("via").alias("chain_via"), F.col("sent").alias("chain_sent"), F.col("low").alias("chain_low"))
+    ids = done.select("id")
+    stay = marked.join(ids, "id", "left_anti").join(joint, "parent_id", "left")
+    path = F.when(F.col("head").isNotNull(), F.concat("chain_via", F.array("parent_id"), "via")).otherwise(F.col("via")) if with_path else F.col("via")
+    stay = cut(
+        stay.select(
+            "id", F.coalesce("head", "parent_id").alias("parent_id"), "below", (F.col("extra") + F.coalesce("chain_sent", F.lit(0))).alias("extra"),
+            (F.col("link") + F.coalesce("chain_link", F.lit(0))).alias("link"), path.alias("via"), F.least("low", "chain_low").alias("low"), "chain", F.col("extra").alias("own_extra"), "chain_sent",
         )
-        done = done.unionByName(own)
-    return done
+    )
+    bottom = stay.where("chain is not null").select(F.col("chain").alias("top"), F.col("id").alias("bottom"), (F.col("own_extra") + F.col("chain_sent")).alias("all_sent"))
+    # size = size of the bottom row + what lies between + the row itself with what it has received
+    gone = done.join(bottom, "top").select("id", F.col("head").alias("parent_id"), "link", "via", "bottom", (F.col("all_sent") - F.col("sent") + F.col("below") + 1).alias("more"))
+    return stay.select("id", "parent_id", "below", "extra", "link", "via", "low"), cut(gone)
 
 
 def _rings(rest: DataFrame) -> DataFrame:
-    """Cycles too many for one task: pointer doubling, so that a ring of n nodes takes log2(n) rounds."""
-    ring = cut(rest.select("id", F.col("parent_id").alias("to"), F.least("id", "parent_id").alias("low"), "below"))
+    """Rows on cycles: pointer doubling, so that a ring of n nodes takes log2(n) rounds."""
+    ring = cut(rest.select("id", F.col("parent_id").alias("to"), "low", "below"))
     while True:
         far = ring.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
-        after = cut(ring.join(far, "to").select("id", F.col("far").alias("to"), F.least("low", "far_low").alias("low"), "below"))
-        same = after.join(ring.select("id", F.col("low").alias("was")), "id").where(F.col("low") != F.col("was")).limit(1).count()
-        ring = after
-        if not same:
+        after = cut(ring.join(far, "to").select("id", F.col("far").alias("to"), F.least("low", "far_low").alias("low"), "below", F.col("low").alias("was")))
+        ring = after.drop("was")
+        if after.where("low <> was").isEmpty():
             break
     none = F.lit(None)
-    return ring.select("id", F.lit(0).alias("peel"), (F.col("below") + 1).alias("subtree_size"), none.cast("long").alias("root"), none.cast("int").alias("depth"), none.cast("array<long>").alias("path"), F.col("low").alias("cycle_id"))
+    return ring.select("id", (F.col("below") + 1).alias("subtree_size"), none.cast("long").alias("root"), none.cast("int").alias("depth"), none.cast("array<long>").alias("path"), F.col("low").alias("cycle_id"))
+
+
+def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", with_path: bool = True, contract_below: float = CONTRACT_BELOW) -> DataFrame:
+    """(id, parent_id, root, depth, path, subtree_size, cycle_id), one row per node.
+
+    ``path`` runs from the root to the node (null unless ``with_path``); ``depth`` of a root is 0.  A node on or below a
+    cycle has only ``cycle_id``, the smallest id on that cycle, and the size of what hangs below it.  Chains are
+    contracted where less than the share ``contract_below`` of the rows are leaves; the result is the same for every
+    share.  An empty table gives no row.
+    """
+    none = F.array().cast("array<long>") if with_path else F.lit(None).cast("array<long>")
+    # link: steps to the parent; via: ids passed by the link, low: the least of them and the row's own; below: sizes received; extra: sizes of the rows that the link passes
+    zero = F.lit(0).cast("long")
+    rest = links(nodes, id_col, parent_col).select("id", "parent_id", zero.alias("below"), zero.alias("extra"), F.lit(1).alias("link"), none.alias("via"), F.col("id").alias("low"))
+    gone: list[tuple[str, DataFrame]] = []
+    while True:
+        children = rest.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("children"))
+        marked = cut(rest.join(children, "id", "left").withColumn("children", F.coalesce("children", F.lit(0))))
+        n, leaf, single = marked.agg(F.count(F.lit(1)), F.count(F.when(F.col("children") == 0, 1)), F.count(F.when((F.col("children") == 1) & F.col("parent_id").isNotNull(), 1))).first()
+        if not leaf:
+            break  # nothing, or nothing but cycles
+        leaves = marked.where("children = 0")
+        gone.append(("leaf", leaves))
+        sent = leaves.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sum(F.col("below") + 1 + F.col("extra")).alias("got"), F.count(F.lit(1)).alias("lost"))
+        rest = marked.where("children > 0").join(sent, "id", "left").select("id", "parent_id", (F.col("below") + F.coalesce("got", F.lit(0))).alias("below"), "extra", "link", "via", "low", (F.col("children") - F.coalesce("lost", F.lit(0))).alias("children"))
+        if leaf < contract_below * n and single:
+            rest, chains = _contract(cut(rest), with_path)
+            gone.append(("chain", chains))
+        else:
+            rest = rest.drop("children")
+    keep = ["id", "subtree_size", "root", "depth", "path", "cycle_id"]
+    done = _rings(marked) if n else links(nodes, id_col, parent_col).limit(0).select("id", F.lit(0).cast("long").alias("subtree_size"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("long").alias("cycle_id"))
+    for k, (what, rows) in enumerate(reversed(gone)):
+        above = done.select(F.col("id").alias("parent_id"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"), F.col("cycle_id").alias("up_cycle"), F.lit(True).alias("up"))
+        rows = rows.join(above, "parent_id", "left")
+        size = F.col("below") + 1 if what == "leaf" else F.col("size") + F.col("more")
+        if what == "chain":
+            rows = rows.join(done.select(F.col("id").alias("bottom"), F.col("subtree_size").alias("size")), "bottom")
+        free, caught = F.col("up").isNull(), F.col("up_cycle").isNotNull()
+        path = F.when(free, F.array("id")).when(~caught, F.concat("up_path", "via", F.array("id"))) if with_path else F.lit(None).cast("array<long>")
+        own = rows.select(
+            "id",
+            size.alias("subtree_size"),
+            F.when(free, F.col("id")).otherwise(F.col("up_root")).alias("root"),
+            F.when(free, F.lit(0)).otherwise(F.col("up_depth") + F.col("link")).cast("int").alias("depth"),
+            path.alias("path"),
+            F.col("up_cycle").alias("cycle_id"),
+        )
+        # every round is read twice by the next ones, so all but the last are cut
+        done = done.unionByName(cut(own) if k + 1 < len(gone) else own)
+    return done.select(*keep)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

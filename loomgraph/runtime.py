@@ -33,9 +33,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation of earlier rounds."""
+    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation of earlier rounds.
+
+    A checkpoint keeps the planner's estimate of its size, and the estimate of a join is the product of its sides: in a
+    loop of self joins the number of its digits doubles every round.  An estimate beyond any real size is dropped.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or plan.stats().sizeInBytes() < 1 << 60:
+        return done
+    plain = df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, df.sparkSession)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ def solved(df):
     return {r.id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("how", [{}, {"finish_rows": 5, "min_rounds": 1}])
+@pytest.mark.parametrize("how", [{}, {"contract_below": 1.1}, {"contract_below": 0.0}])
 def test_random_forests_with_cycles(spark, how):
     rng = random.Random(7)
     links = {i: (rng.choice([None, rng.randrange(60), 999]) if i % 3 else max(0, i - 1)) for i in range(60)}
@@ -45,17 +45,18 @@ def test_random_forests_with_cycles(spark, how):
 
 
 def test_deep_chain_self_parent_and_missing_parent(spark):
-    rows = [(i, i - 1 if i else None, "X") for i in range(400)] + [(1000, 1000, "X"), (1001, 1000, "X"), (1002, 5555, "X")]
+    rows = [(i, i - 1 if i else None, "X") for i in range(400)] + [(2000 + i, 1999 + i if i % 50 else 3 * i, "X") for i in range(200)] + [(1000, 1000, "X"), (1001, 1000, "X"), (1002, 5555, "X")]
     found = solved(H.hierarchy(spark.createDataFrame(rows, SCHEMA)))
-    assert found[399].depth == 399 and found[0].subtree_size == 400
+    assert found[399].depth == 399 and found[0].subtree_size == 550 and found[390].subtree_size == 10 and list(found[399].path) == list(range(400)) and found[2149].depth == 350
     assert found[1000].cycle_id == 1000 and found[1001].cycle_id == 1000
     assert found[1002].depth == 0 and found[1002].root == 1002
 
 
 def test_rest_of_nothing_but_rings_is_solved_by_doubling(spark):
-    rows = [(i, (i + 1) % 40, "X") for i in range(40)] + [(100 + i, 100 + (i + 1) % 7, "X") for i in range(7)]
-    found = solved(H.hierarchy(spark.createDataFrame(rows, SCHEMA), finish_rows=10, min_rounds=1))
+    rows = [(i, (i + 1) % 40, "X") for i in range(40)] + [(205, 20, "X"), (300, 305, "X"), (310, 305, "X"), (305, 304, "X")] + [(300 + k, 300 + k - 1, "X") for k in (1, 2, 3, 4)] + [(100 + i, 100 + (i + 1) % 7, "X") for i in range(7)]
+    found = solved(H.hierarchy(spark.createDataFrame(rows, SCHEMA)))
     assert {found[i].cycle_id for i in range(40)} == {0} and {found[100 + i].cycle_id for i in range(7)} == {100}
+    assert found[205].cycle_id == 0 and {found[i].cycle_id for i in (300, 301, 304, 305, 310)} == {300}
 
 
 def test_nulls_extra_columns_and_empty_table(spark):
