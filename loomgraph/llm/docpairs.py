@@ -1,8 +1,9 @@
 """Functions paired with their documentation.
 
 Method: a signature is detected by an expression of its language; the body is delimited by a stack, of braces where the
-language has them and of indentation where it has not; the documentation comment nearest above the signature is attached
-if only annotations, comments and blank lines lie between (distance in lines), in Python the string that opens the body.
+language has them, of indentation in Python, and of opening and ``end`` keywords in SQL functions and scripts; of the
+documentation comments above the signature the one nearest in lines is attached if only annotations, comments and blank
+lines lie between, in Python the string that opens the body.  Every step takes time in proportion to the file.
 
 A documentation counts unless it is trivial: blank, only marks, markup, tags or references without a description, code,
 a repetition of the function's name, a licence notice, or the announcement that text is still to be written or was generated.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +28,9 @@ _KOTLIN = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|overri
 _JAVA = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*(?:<[^>\r\n]*>[ \t]*)?(?!return\b|new\b|else\b|throw\b|case\b)[\w.<>\[\],? ]+?[ \t]+(?P<name>\w+)[ \t]*\([^;{}\r\n]*\)?[^;{}\r\n]*\{?[ \t]*\r?$")
 _PYTHON = re.compile(r"(?m)^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*\(")
 _DOCSTRING = re.compile(r"(?:[ \t]*(?:\#[^\r\n]*)?\r?\n)*[ \t]*(?P<doc>[rRuUbBfF]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'))")
-MAX_DISTANCE = 12
+_KEYWORD = re.compile(r"(?im)^[ \t]*(?:create[ \t]+(?:or[ \t]+replace[ \t]+)?(?:function|procedure)[ \t]+(?P<sql>[\w.\"]+)|def[ \t]+(?P<ruby>[\w.?!]+)|(?:function[ \t]+)?(?P<shell>[A-Za-z_]\w*)[ \t]*\(\)[ \t]*\{?)")
+# fixed values: words that open a block and words that close one
+_OPENS = re.compile(r"(?i)\$\w*\$|'(?:[^']|'')*'|--[^\r\n]*|(?<![\w.])\#[^\r\n]*|\b(?:begin|case|loop|do|if|while|until|for|unless|class|module|def|end(?:[ \t]+(?:if|loop|case|while))?|fi|done|esac)\b|[{}]")
 
 
 def _end_of_call(text: str, at: int) -> int:
@@ -43,11 +47,14 @@ def _end_of_call(text: str, at: int) -> int:
     return len(text)
 
 
+_SCAN = re.compile(r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|[{}]|\r?\n|=(?!=)|;")
+_GOES_ON = re.compile(r"\s*(?:[{=.]|throws|where)")
+
+
 def _brace_body(text: str, at: int) -> int:
     """End of the body that opens at or behind ``at``; an expression body ends with its line."""
     stack = 0
-    scan = re.compile(r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|[{}]|\r?\n|=(?!=)|;")
-    for m in scan.finditer(text, at):
+    for m in _SCAN.finditer(text, at):
         c = m.group()
         if c == "{":
             stack += 1
@@ -55,77 +62,128 @@ def _brace_body(text: str, at: int) -> int:
             stack -= 1
             if stack <= 0:
                 return m.end()
-        elif stack == 0 and c in ("\n", "\r\n", ";"):
-            following = text[m.end() :].lstrip(" \t\r\n")
-            if not following.startswith(("{", "=", "throws", ".", "where")):
-                return m.start()
+        elif stack == 0 and c in ("\n", "\r\n", ";") and not _GOES_ON.match(text, m.end()):
+            return m.start()
     return len(text)
 
 
-def _indent_body(text: str, start: int, indent: str) -> int:
-    """End of the lines that are indented deeper than the signature, blank ones included."""
-    width, end = len(indent.expandtabs(4)), len(text)
-    opened = False
-    for m in re.finditer(r"(?m)^([ \t]*)(\S?)[^\r\n]*", text[start:]):
-        if not m.group(2):
+def _indent_bodies(text: str, found: list[tuple[int, int, int]]) -> list[int]:
+    """Ends of functions given as (start, end of the signature, indent), in order: a stack of open indents over the lines.
+
+    A line that is not blank closes every open function it is not indented deeper than; lines inside a signature close none.
+    """
+    ends, stack, k = [len(text)] * len(found), [], 0
+    for m in re.finditer(r"(?m)^([ \t]*)(?=\S)", text):
+        width = len(m.group(1).expandtabs(4))
+        while stack and m.start() >= found[stack[-1]][1] and width <= found[stack[-1]][2]:
+            ends[stack.pop()] = m.start()
+        while k < len(found) and found[k][0] <= m.end():
+            stack.append(k)
+            k += 1
+    return ends
+
+
+def _keyword_body(text: str, at: int) -> int:
+    """End of a body whose blocks end by keyword: a stack of opening words; quoted bodies end with their quote."""
+    stack: list[str] = []
+    last = ""
+    for m in _OPENS.finditer(text, at):
+        word = " ".join(m.group().lower().split())
+        if word[0] in "'-#" or word in ("if", "while", "for", "until", "unless", "loop", "case") and re.fullmatch(r"[ \t]*end[ \t]+", text[max(0, m.start() - 8) : m.start()].lower()):
             continue
-        if opened and len(m.group(1).expandtabs(4)) <= width:
-            return start + m.start()
-        opened = True
-    return end
+        if word[0] == "$":
+            if stack and stack[-1] == word:
+                stack.pop()
+                if not stack:
+                    return m.end()
+            else:
+                stack.append(word)
+        elif stack and stack[0][0] == "$":
+            continue  # inside a quoted body only its quote counts
+        elif word in ("}", "fi", "done", "esac") or word.startswith("end"):
+            if stack:
+                stack.pop()
+            if not stack:
+                return m.end()
+        elif word == "do" and last in ("while", "until", "for"):
+            last = ""  # belongs to the loop that is open
+            continue
+        else:
+            stack.append(word)
+        last = word
+    return len(text)
 
 
 def functions(text: str, kind: str) -> Iterator[tuple[str, int, int, str | None]]:
     """(name, start, end, documentation comment or None) of each function outside others."""
     if kind == "python":
-        at = 0
-        while m := _PYTHON.search(text, at):
+        heads = []
+        for m in _PYTHON.finditer(text):
+            if heads and m.start() < heads[-1][1]:
+                continue
             closed = _end_of_call(text, m.end() - 1)
             colon = text.find(":", closed)
-            colon = len(text) if colon < 0 else colon + 1
+            heads.append((m.start(), len(text) if colon < 0 else colon + 1, len(m.group("indent").expandtabs(4)), m.group("name")))
+        floor = 0
+        for (start, colon, _, name), end in zip(heads, _indent_bodies(text, [h[:3] for h in heads])):
+            if start < floor:
+                continue
             doc = _DOCSTRING.match(text, colon)
-            end = _indent_body(text, colon, m.group("indent"))
-            yield m.group("name"), m.start(), max(end, colon), doc.group("doc") if doc else None
-            at = max(end, m.end())
+            floor = max(end, colon)
+            yield name, start, floor, doc.group("doc") if doc else None
         return
-    comments = [(a, b, c) for c, a, b, _ in lexer.spans(text, "brace")]
-    inside = [(a, b) for a, b, _ in comments]
-    blocks = [(a, b) for a, b, c in comments if c == "comment"]
+    found = list(lexer.spans(text, "sql" if kind == "sql" else "brace" if kind == "brace" else "python"))
+    starts, ends = [a for _, a, _, _ in found], [b for _, _, b, _ in found]
+    hidden = lambda at: (k := bisect_right(starts, at) - 1) >= 0 and at < ends[k]
+    blocks = [(a, b) for c, a, b, _ in found if c == "comment"]
+    if kind in ("sql", "hash"):
+        floor = 0
+        for m in _KEYWORD.finditer(text):
+            name = m.group("sql") or m.group("ruby") or m.group("shell")
+            if m.start() < floor or hidden(m.start(m.lastgroup)):
+                continue
+            end = _keyword_body(text, m.start() if m.group("ruby") else m.end() - m.group().endswith("{"))
+            yield name.strip('"').rsplit(".", 1)[-1], m.start(), end, _lines_above(text, m.start(), floor)
+            floor = max(end, m.end())
+        return
+    matches = {p: p.finditer(text) for p in (_KOTLIN, _JAVA)}
+    ahead = {p: next(ms, None) for p, ms in matches.items()}
     at = 0
     while True:
-        found = [m for p in (_KOTLIN, _JAVA) if (m := _outside(p, text, at, inside))]
-        if not found:
+        for p, ms in matches.items():
+            while ahead[p] and (ahead[p].start("name") < at or hidden(ahead[p].start("name"))):
+                ahead[p] = next(ms, None)
+        heads = [m for m in ahead.values() if m]
+        if not heads:
             return
-        m = min(found, key=lambda x: (x.start(), x.re is _JAVA))
+        m = min(heads, key=lambda x: (x.start(), x.re is _JAVA))
         end = _brace_body(text, m.end("name"))
         yield m.group("name").strip("`"), m.start(), end, _attached(text, m.start(), at, blocks)
         at = max(end, m.end())
 
 
-def _outside(pattern: re.Pattern, text: str, at: int, spans: list[tuple[int, int]]) -> re.Match | None:
-    """The first match whose name lies outside comments and literals."""
-    for m in pattern.finditer(text, at):
-        name = m.start("name")
-        if not any(a <= name < b for a, b in spans):
-            return m
-    return None
+_BETWEEN = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\r\n]*|@[\w.:]+(?:\s*\((?:[^()\"]|\"(?:[^\"\\]|\\.)*\"|\([^()]*\))*\))?)*")
 
 
 def _attached(text: str, start: int, floor: int, blocks: list[tuple[int, int]]) -> str | None:
-    """The nearest documentation comment above ``start``, no farther than ``MAX_DISTANCE`` lines of annotations and comments."""
-    for a, b in sorted(blocks, reverse=True):
-        if b > start or a < floor or not text.startswith("/**", a) or text.startswith("/**/", a):
+    """The documentation comment above ``start`` that is nearest in lines, with only annotations, comments and blanks between."""
+    k = bisect_right(blocks, (start, start)) - 1
+    while k >= 0 and blocks[k][0] >= floor:
+        a, b = blocks[k]
+        k -= 1
+        if b > start:
             continue
-        between = text[b:start]
-        if between.count("\n") > MAX_DISTANCE:
-            return None
-        bare = re.sub(r"/\*[\s\S]*?\*/|//[^\r\n]*", "", between)
-        if re.sub(r"@[\w.:]+(?:\s*\((?:[^()\"]|\"(?:[^\"\\]|\\.)*\"|\([^()]*\))*\))?", "", bare).strip():
-            return None
-        return text[a:b]
+        if text.startswith("/**", a) and not text.startswith("/**/", a):
+            return text[a:b] if _BETWEEN.fullmatch(text, b, start) else None
     return None
 
 
+def _lines_above(text: str, start: int, floor: int) -> str | None:
+    """The comment lines or the block comment that end right above ``start``."""
+    m = re.search(r"(?:(?:^[ \t]*(?:--|\#)[^\r\n]*\r?\n)+|/\*[\s\S]*?\*/\s*)\Z", text[floor:start], re.M)
+    return m.group().strip() if m else None
+
+
 # fixed values: tags whose rest is no description, phrases that announce a text, words that stand for none
 _NO_TEXT = {"author", "since", "see", "version", "hide", "inheritdoc", "suppress", "date", "generated", "link", "deprecated_since", "serial", "ignore", "internal"}
 _LICENCE = re.compile(r"(?i)copyright|\blicen[cs]e|licen[cs]ed under|all rights reserved|spdx-|may be copied|redistribut|лицензи|авторски[ех] прав|lizenz|licencia\b|droits r[ée]serv")
@@ -152,17 +210,24 @@ def clean(doc: str | None) -> str:
     while re.match(r"\s*/\*\*", text):
         text = lexer.strip_marks(text)
     text = text.strip("\"'") if re.match(r"^([\"'])[\s\S]*\1$", text) else text
-    text = re.sub(r"<!--[\s\S]*?-->|</?[A-Za-z][^<>]{0,200}>", " ", text)
+    text = re.sub(r"<!--[\s\S]*?-->|</?[A-Za-z][^<>]*>", " ", text)
     text = html.unescape(text)
     text = re.sub(r"\{@(?:inheritDoc|hide|suppress)\}", " ", text, flags=re.I)
     text = re.sub(r"\{@\w+\s+([^{}]*)\}", r"\1", text)
     return "\n".join(line.strip() for line in text.split("\n")).strip()
 
 
+def _notice(text: str) -> bool:
+    """Whether a text is a licence notice: it opens like one, or most of its paragraphs speak of it."""
+    parts = [p for p in re.split(r"\n\s*\n|(?<=[.!?])\s+", text) if _WORD.search(p)]
+    told = [bool(_LICENCE.search(p)) for p in parts]
+    return not parts or told[0] or 2 * sum(told) >= len(told) or bool(re.match(r"(?is).*?(?:this|that) file\b", parts[0]))
+
+
 def description(doc: str | None) -> str:
     """What a documentation says in running text: without tags that carry none, code lines and announcements."""
     text = clean(doc)
-    if not text or _LICENCE.search(text) and len(_WORD.findall(text)) < 60 and not re.search(r"(?m)^\s*@(?:param|return)", text):
+    if not text or _LICENCE.search(text) and not re.search(r"(?m)^\s*@(?:param|return)", text) and _notice(text):
         return ""
     kept = []
     for line in text.split("\n"):
@@ -213,7 +278,7 @@ def pair(source: str, doc: str | None, name: str | None, path: str | None, lang:
     """(function name, code, description, where the documentation stood), or None if no documentation counts."""
     kind = lexer.family(path, lang, source)
     if kind not in ("brace", "python"):
-        kind = "python" if re.search(r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(", source) else "brace"
+        kind = "python" if re.search(r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\([^\n]*:", source) else kind if kind in ("sql", "hash") and _KEYWORD.search(source) else "brace"
     found = None
     for function in functions(source, kind):
         found = found or function

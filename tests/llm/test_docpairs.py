@@ -46,3 +46,28 @@ def test_pairs_over_rows(spark):
     rows = [(1, "METHOD", "a", "A.kt", "kotlin", "fun a() {}", good), (1, "METHOD", "a", "A.kt", "kotlin", "fun a() {}", good), (2, "CLASS", "b", "A.kt", "kotlin", "class b", good), (3, "METHOD", "c", None, None, None, good), (4, "JOB", None, " ", None, "  ", good), (5, "TEST", None, None, None, "x" * 200_000, good), (None, "METHOD", "a", "A.kt", "kotlin", "fun a() {}", good)]
     assert sorted(r.node_id for r in D.pairs(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 5]
     assert D.pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bodies_by_end_keyword():
+    sql = "-- Adds a row.\ncreate or replace function a.f(x int) returns int as $$\nbegin\n if x then return 1; end if;\nend;\n$$ language plpgsql;\ncreate function g() returns int as $b$ select 1 $b$;\n"
+    assert [(n, d) for n, _, _, d in D.functions(sql, "sql")] == [("f", "-- Adds a row."), ("g", None)]
+    ruby = "# Greets.\ndef hi(n)\n  if n\n    puts 1\n  end\nend\n\ndef yo\n  while x do\n  end\nend\n"
+    assert [(n, ruby[a:b].count("\n"), d) for n, a, b, d in D.functions(ruby, "hash")] == [("hi", 4, "# Greets."), ("yo", 3, None)]
+    shell = "# Starts it.\nstart() {\n  if a; then b; fi\n}\nstop() {\n x\n}\n"
+    assert [(n, shell[a:b].count("\n")) for n, a, b, _ in D.functions(shell, "hash")] == [("start", 2), ("stop", 2)]
+
+
+def test_distance_and_size_do_not_decide():
+    far = "/** Computes the yearly sum of all orders. */\n" + "@ApiResponse(code = 400)\n" * 40 + "fun total(): Int = 1\n"
+    assert [d for *_, d in D.functions(far, "brace")] == ["/** Computes the yearly sum of all orders. */"]
+    notice = "Copyright 2020. " + "Licensed under the terms of the licence agreement. " * 30
+    assert D.description(notice) == "" and D.description("Checks whether the customer holds a driving licence. Returns false for minors. Asks the register otherwise.")
+
+
+def test_time_is_in_proportion():
+    import time
+
+    for piece, kind in (("/** Computes the sum. */\nfun f(a: Int): Int {\n  return a\n}\n", "brace"), ("def f(a):\n    return a\n", "python")):
+        began = time.process_time()
+        assert len(list(D.functions(piece * 8000, kind))) == 8000
+        assert time.process_time() - began < 3
