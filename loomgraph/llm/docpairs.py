@@ -187,6 +187,7 @@ def _lines_above(text: str, start: int, floor: int) -> str | None:
 # fixed values: tags whose rest is no description, phrases that announce a text, words that stand for none
 _NO_TEXT = {"author", "since", "see", "version", "hide", "inheritdoc", "suppress", "date", "generated", "link", "deprecated_since", "serial", "ignore", "internal"}
 _LICENCE = re.compile(r"(?i)copyright|\blicen[cs]e|licen[cs]ed under|all rights reserved|spdx-|may be copied|redistribut|лицензи|авторски[ех] прав|lizenz|licencia\b|droits r[ée]serv")
+_OPENING = re.compile(r"(?i)copyright|licen[cs]ed under|all rights reserved|spdx-|лицензи|авторски[ех] прав|droits r[ée]serv")
 _TO_COME = re.compile(
     r"(?i)^\W*(?:todo|fixme|xxx|tbd|tbc|wip)\b|(?:will|shall|must|should|needs? to|to) be (?:added|written|documented|described|filled|provided|completed|supplied)|(?:added|documented|written) later|auto[- ]?generated|generated (?:by|from|method|code|stub|automatically|comment)|created (?:by|from) (?:a )?template|method stub|"
     r"по шаблону|будет (?:добавлен|написан|дополнен|описан)|автоматически|сгенерирован|нужно (?:описать|дописать|добавить)|описание (?:позже|появится)|"
@@ -221,7 +222,7 @@ def _notice(text: str) -> bool:
     """Whether a text is a licence notice: it opens like one, or most of its paragraphs speak of it."""
     parts = [p for p in re.split(r"\n\s*\n|(?<=[.!?])\s+", text) if _WORD.search(p)]
     told = [bool(_LICENCE.search(p)) for p in parts]
-    return not parts or told[0] or 2 * sum(told) >= len(told) or bool(re.match(r"(?is).*?(?:this|that) file\b", parts[0]))
+    return not parts or bool(_OPENING.search(parts[0])) or 2 * sum(told) >= len(told) or bool(re.match(r"(?is).*?(?:this|that) file\b", parts[0]))
 
 
 def description(doc: str | None) -> str:

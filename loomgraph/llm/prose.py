@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,14 +71,14 @@ def languages(text: str) -> dict[str, tuple[int, int]]:
     if _QUERY.match(text):
         return out
     for sentence in _SENTENCE.split(text):
-        if len(sentence) < 12 or _QUERY.match(sentence):
+        if not sentence or _QUERY.match(sentence):
             continue
         bare = _TAG.sub(" ", sentence)
         bare = _ADDRESS.sub(" ", bare)
         if _CODE.search(bare):
             continue
         words = [w.lower() for w in _TOKEN.findall(_IDENTIFIER.sub(" ", bare))]
-        if len(words) < 3:
+        if not words:
             continue
         lang = language(words)
         if lang:
@@ -86,9 +87,9 @@ def languages(text: str) -> dict[str, tuple[int, int]]:
     return out
 
 
-def _worth(text: str) -> bool:
-    """Whether a span could hold running text at all: some words with spaces between them."""
-    return len(text) >= 15 and text.count(" ") + text.count("\n") >= 3
+def _worth(text: str, least: int = MIN_WORDS) -> bool:
+    """Whether a span has as many words as running text needs at all."""
+    return sum(1 for _ in islice(_TOKEN.finditer(text), least)) == least
 
 
 def _spans(nodes: DataFrame) -> DataFrame:

@@ -44,3 +44,8 @@ def test_rows(spark):
     shares = {(r.node_id, r.text_lang): r.share for r in prose.node_shares(df).collect()}
     assert 0.9 < shares[3, "en"] <= 1 and shares[2, "fr"] > 0.9
     assert prose.node_languages(df.limit(0)).count() == 0
+
+
+def test_short_and_tabbed_spans_count():
+    assert prose._worth("a\tb\tc\td\te") and not prose._worth("a b c d")
+    assert prose.languages("It is. The job is on")["en"][0] == 6
