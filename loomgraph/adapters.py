@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.runtime import table
 
@@ -38,6 +39,19 @@ def estate(spark: SparkSession, d: str) -> DataFrame:
     return uses.union(calls).union(makes).union(holds).distinct()
 
 
+# kinds of the edges between siblings, by number
+SIBLING_KINDS = ("CALLS_CODE", "THROWS", "READS", "IMPLEMENTS", "CALLS", "DEPENDS_ON", "WRITES", "CALLS_HTTP")
+
+
+def siblings(spark: SparkSession, d: str) -> DataFrame:
+    """Each node and the next one of its parent as an edge, whose kind goes by the node's number."""
+    rows = nodes(spark, d).where("parent_id is not null")
+    after = F.lead("id").over(Window.partitionBy("parent_id").orderBy("id"))
+    kind = F.element_at(F.array(*map(F.lit, SIBLING_KINDS)), (F.col("id") % len(SIBLING_KINDS) + 1).cast("int"))
+    return rows.select(F.col("id").alias("src_id"), after.alias("dst_id"), kind.alias("kind")).where("dst_id is not null")
+
+
+SIBLINGS_SQL = f"siblings AS (SELECT * FROM (SELECT id AS src_id, lead(id) OVER (PARTITION BY parent_id ORDER BY id) AS dst_id, {list(SIBLING_KINDS)}[id % {len(SIBLING_KINDS)} + 1] AS kind FROM n WHERE parent_id IS NOT NULL) WHERE dst_id IS NOT NULL)"
 ESTATE_SQL = """estate AS (
     SELECT DISTINCT 6000000000 + l_orderkey AS src_id, 5000000000 + l_partkey AS dst_id, 'DEPENDS_ON' AS kind FROM lineitem
     UNION SELECT 6000000000 + l_orderkey, 4000000000 + l_suppkey, 'CALLS_HTTP' FROM lineitem

@@ -68,15 +68,24 @@ def function_fqn(package: Column, owner: Column, name: Column, params: Column) -
 
 
 # fixed values: words of signatures that are no types
-SIGNATURE_WORDS = ("fun", "val", "var", "suspend", "override", "private", "public", "protected", "internal", "open", "abstract", "final", "static", "return", "void", "in", "out", "vararg", "inline", "operator", "where")
+SIGNATURE_WORDS = ("fun", "val", "var", "override", "public", "private", "protected", "internal", "class", "interface", "object", "where")
 
 
-def type_tokens(signature: Column) -> Column:
-    """Distinct identifiers of a signature that are dotted or capitalised and no keywords."""
-    tokens = F.regexp_extract_all(signature, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)"), 1)
+def types_in(text: Column) -> Column:
+    """Distinct identifiers that are dotted or capitalised and no keywords."""
+    tokens = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)"), 1)
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda t: ~t.isin(*SIGNATURE_WORDS) & (F.contains(t, F.lit(".")) | t.rlike("^[A-Z]")))))
 
 
+def type_tokens(signature: Column) -> Column:
+    """Types of a signature: of what stands between the first and the last bracket, and behind the last one.
+
+    Without brackets the whole signature stands on both sides, as a text without the mark is its own part.
+    """
+    inner = F.regexp_replace(F.regexp_replace(signature, r"(?s)^[^(]*\(", ""), r"(?s)\)[^)]*$", "")
+    return types_in(F.concat(inner, F.lit(":"), F.regexp_replace(signature, r"(?s)^.*\)", "")))
+
+
 def camel_parts(name: Column) -> Column:
     """Parts before capitals and between underscores and hyphens."""
     return F.filter(F.split(F.regexp_replace(name, r"([A-Z])", "_$1"), "[_-]"), lambda p: p != "")
@@ -131,7 +140,7 @@ def token_count(text: Column) -> Column:
 
 
 # fixed values: what counts as markdown
-MARKDOWN = (r"(?m)^[ \t]{0,3}#{1,6}[ \t]", r"\[[^\]]+\]\([^)]+\)", r"`{1,3}[^`]+`{1,3}", r"(?m)^[ \t]{0,3}[-*+][ \t]+", r"\*\*[^*]+\*\*|__[^_]+__")
+MARKDOWN = (r"(?m)^\s{0,3}#{1,6}\s", r"\[[^\]]+\]\([^)]+\)", r"`{1,3}[^`]+`{1,3}", r"(?m)^\s{0,3}[-*+]\s+", r"\*\*[^*]+\*\*|__[^_]+__")
 
 
 def uses_markdown(text: Column) -> Column:
@@ -215,43 +224,51 @@ def first_score(answer: Column) -> Column:
     return F.when(number != "", F.least(F.greatest(number.cast("double"), F.lit(0.0)), F.lit(10.0)))
 
 
-# fixed values: identifiers that a documentation need not name
-STOP_IDENTIFIERS = ("return", "public", "private", "class", "void", "static", "import", "package", "final", "override", "null", "true", "false", "else", "while", "function", "string")
+# fixed values: identifiers that a documentation need not name; the score of a documentation that cannot be read
+STOP_IDENTIFIERS = ("val", "var", "fun", "return", "class", "override", "private", "public", "import", "package", "if", "else", "when", "for", "while", "try", "catch", "finally")
+MIDDLE_SCORE = 5.0
 
 
 def coverage(code: Column, doc: Column) -> Column:
-    """10 times the share of the code's identifiers of more than three characters that the documentation names."""
-    words = F.regexp_extract_all(code, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)
-    keys = F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*STOP_IDENTIFIERS)))
+    """10 times the share of the code's identifiers of more than three characters, each as it is written, that the documentation names in any case."""
+    words = F.regexp_extract_all(code, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\b"), 1)
+    keys = F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*STOP_IDENTIFIERS)))
     low = F.lower(doc)
-    named = F.size(F.filter(keys, lambda w: F.contains(low, w)))
+    named = F.size(F.filter(keys, lambda w: F.contains(low, F.lower(w))))
     blank = (F.coalesce(F.trim(code), F.lit("")) == "") | (F.coalesce(F.trim(doc), F.lit("")) == "")
     return F.when(blank, F.lit(0.0)).when(F.size(keys) == 0, F.lit(10.0)).otherwise(named * F.lit(10.0) / F.size(keys))
 
 
 def readability(text: Column) -> Column:
-    """Flesch reading ease, held to 0..100, in tenths; syllables are runs of vowels."""
+    """Flesch reading ease, held to 0..100, in tenths; syllables are runs of vowels.  A blank text has the middle score."""
     words = F.regexp_count(text, F.lit(r"\p{L}+"))
     sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
     syllables = F.regexp_count(F.lower(text), F.lit("[aeiouyаеёиоуыэюяäöüáéíóúàèùâêîôû]+"))
     ease = F.lit(206.835) - F.lit(1.015) * words / sentences - F.lit(84.6) * syllables / words
-    return F.when(words > 0, F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0)) / 10).otherwise(F.lit(0.0))
+    return F.when(words > 0, F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0)) / 10).otherwise(F.lit(MIDDLE_SCORE))
 
 
 def final_score(cover: Column, readable: Column, semantic: Column, judge: Column) -> Column:
     """Weighted score; the mean of the three local ones where no judge answered."""
-    weighted = F.lit(0.15) * cover + F.lit(0.15) * readable + F.lit(0.10) * semantic + F.lit(0.60) * judge
+    weighted = F.lit(0.15) * semantic + F.lit(0.15) * cover + F.lit(0.10) * readable + F.lit(0.60) * judge
     return F.round(F.when(judge.isNotNull(), weighted).otherwise((cover + readable + semantic) / 3), 2)
 
 
-# fixed values: called names that are no calls of the project
-CALL_NOISE = ("if", "for", "while", "when", "switch", "catch", "return", "throw", "super", "this", "constructor", "try", "else", "fun", "listof", "mapof", "setof", "println", "require", "check", "let", "also", "apply", "run", "with")
+# fixed values: names whose calls say nothing
+CALL_NOISE = ("listOf", "map", "of", "timer", "start", "stop", "sequenceOf", "arrayOf", "mutableListOf")
+
+
+def simple_calls(code: Column) -> Column:
+    """Distinct names with a bracket behind them, whatever stands in front."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(code, F.lit(r"\b(\w+)\s*\("), 1), lambda c: ~c.isin(*CALL_NOISE))))
 
 
-def called_names(code: Column) -> Column:
-    """Distinct names that are called in a source, as receiver.member or name."""
-    calls = F.regexp_extract_all(code, F.lit(r"((?:[A-Za-z_][A-Za-z0-9_]*\.)?[A-Za-z_][A-Za-z0-9_]*)\("), 1)
-    return F.array_sort(F.array_distinct(F.filter(calls, lambda c: ~F.lower(F.substring_index(c, ".", -1)).isin(*CALL_NOISE))))
+def dotted_calls(code: Column) -> Column:
+    """Distinct calls receiver.member; neither the member nor the receiver's last part is noise."""
+    noise = lambda c: c.isin(*CALL_NOISE)
+    whole = F.regexp_extract_all(code, F.lit(r"([\w.]+\b\.\w+)\s*\("), 1)
+    receiver = lambda c: F.substring_index(F.regexp_replace(c, r"\.\w+$", ""), ".", -1)
+    return F.array_sort(F.array_distinct(F.filter(whole, lambda c: ~noise(F.substring_index(c, ".", -1)) & ~noise(receiver(c)))))
 
 
 def thrown_types(code: Column) -> Column:

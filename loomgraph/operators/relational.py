@@ -170,26 +170,41 @@ def stale_docs(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.where(F.col("public_state").isNotNull() | F.col("tech_state").isNotNull())
 
 
+# fixed values: edges by which a method depends on another, kinds whose documents rest on those of their children, order of kinds
+METHOD_DEPENDENCIES = (
+    "CALLS_CODE", "THROWS", "READS", "WRITES", "QUERIES", "CALLS_HTTP", "CALLS_GRPC", "PRODUCES", "CONSUMES", "CONFIGURES", "CIRCUIT_BREAKER_TO", "RETRIES_TO", "TIMEOUTS_TO", "DEPENDS_ON",
+)
+RESTS_ON = {("CLASS", "INTERFACE", "ENUM", "RECORD"): ("METHOD", "FIELD"), ("PACKAGE",): ("CLASS", "INTERFACE", "ENUM", "RECORD", "PACKAGE"), ("MODULE", "REPO"): ("PACKAGE", "MODULE")}
+KIND_ORDER = (
+    ("FIELD", "ENDPOINT", "TOPIC", "INFRASTRUCTURE"), ("METHOD",), ("CLASS", "INTERFACE", "ENUM", "RECORD", "SERVICE", "MAPPER", "CONFIG", "SCHEMA", "EXCEPTION", "TEST"), ("PACKAGE",), ("MODULE",), ("REPO",),
+)
+
+
+def kind_priority(kind: Column) -> Column:
+    """Place of a kind in the order of documentation, from the bottom up; unknown kinds come last."""
+    return F.coalesce(*[F.when(kind.isin(*kinds), F.lit(k)) for k, kinds in enumerate(KIND_ORDER)], F.lit(len(KIND_ORDER)))
+
+
 def ready_nodes(nodes: DataFrame, docs: DataFrame, edges: DataFrame, locale: str, limit: int | None = None, break_cycles: bool = False) -> DataFrame:
-    """(id, kind, prio) of undocumented nodes whose prerequisites are documented, bottom-up by kind.
+    """(id, kind, prio) of nodes without a document in the locale whose prerequisites are documented, bottom-up by kind.
 
     Methods wait for the methods they depend on (not for themselves), types for their methods and fields, packages for
-    types and packages, modules and repositories for packages and modules.  Documented means a digest that is not blank.
-    With ``break_cycles`` nobody waits.  The blocking nodes come from one anti join, the rest from another.
+    types and packages, modules and repositories for packages and modules.  A prerequisite is documented if its digest is
+    not empty; a node with any document, even an empty one, is not asked for again.  With ``break_cycles`` nobody waits.
     """
-    done = docs.where((F.col("locale") == locale) & (F.trim("doc_digest") != "")).select(F.col("node_id").alias("id")).distinct()
-    open_ = nodes.join(done, "id", "left_anti")
-    small = open_.select(F.col("id").alias("need"), F.col("kind").alias("need_kind"))
-    method = F.col("kind").isin("METHOD", "ENDPOINT", "JOB", "TEST")
-    group = F.when(F.col("kind").isin("MODULE", "REPO"), 3).when(F.col("kind") == "PACKAGE", 2).when(method | (F.col("kind") == "FIELD"), 0).otherwise(1)
-    calls = edges.where("src_id <> dst_id and kind <> 'CONTAINS'").join(small, F.col("dst_id") == F.col("need")).where(F.col("need_kind").isin("METHOD", "ENDPOINT", "JOB", "TEST"))
-    waiting_calls = calls.join(nodes.where(method).select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("src_id").alias("id"))
-    child = open_.select(F.col("parent_id").alias("pid"), "kind").withColumn("child_group", group).where("pid is not null").select("pid", "child_group").distinct()
-    parent = nodes.withColumn("g", group).select("id", "g").join(child, F.col("id") == F.col("pid"))
-    waits = ((F.col("g") == 1) & (F.col("child_group") == 0)) | ((F.col("g") == 2) & F.col("child_group").isin(1, 2)) | ((F.col("g") == 3) & F.col("child_group").isin(2, 3))
-    blocked = waiting_calls.union(parent.where(waits).select("id")).distinct()
-    ready = open_ if break_cycles else open_.join(blocked, "id", "left_anti")
-    rows = ready.select("id", "kind", group.alias("prio"))
+    mine = docs.where(F.col("locale") == locale)
+    open_ = nodes.join(mine.select(F.col("node_id").alias("id")).distinct(), "id", "left_anti")
+    if not break_cycles:
+        told = mine.where(F.col("doc_digest") != "").select(F.col("node_id").alias("id")).distinct()
+        untold = nodes.join(told, "id", "left_anti")
+        needs = untold.where("kind = 'METHOD'").select(F.col("id").alias("dst_id"))
+        blocked = edges.where(F.col("kind").isin(*METHOD_DEPENDENCIES) & (F.col("src_id") != F.col("dst_id"))).join(needs, "dst_id", "left_semi").select(F.col("src_id").alias("id"), F.array(F.lit("METHOD")).alias("for_kinds"))
+        rests = F.explode(F.array(*[F.struct(F.array(*map(F.lit, above)).alias("above"), F.array(*map(F.lit, below)).alias("below")) for above, below in RESTS_ON.items()]))
+        children = untold.where("parent_id is not null").select(F.col("parent_id").alias("id"), "kind", rests.alias("r")).where(F.array_contains("r.below", F.col("kind")))
+        blocked = blocked.union(children.select("id", "r.above")).distinct()
+        waiting = nodes.select("id", "kind").join(blocked, "id").where(F.array_contains("for_kinds", F.col("kind"))).select("id")
+        open_ = open_.join(waiting, "id", "left_anti")
+    rows = open_.select("id", "kind", kind_priority(F.col("kind")).alias("prio"))
     return rows.orderBy("prio", "id").limit(limit) if limit else rows
 
 

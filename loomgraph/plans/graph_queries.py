@@ -122,13 +122,13 @@ SQL = {
     "subgraph_edges": f"{_E}, s AS (SELECT 4000000000 + s_suppkey AS id FROM supplier WHERE s_acctbal > 5000) SELECT src_id, dst_id, kind FROM estate WHERE src_id IN (SELECT id FROM s) OR dst_id IN (SELECT id FROM s)",
     "subgraph_nodes": "SELECT DISTINCT id, coalesce(name, fqn) AS label, kind, package AS grp FROM node WHERE application_id = 1 AND kind IN ('CLASS', 'METHOD')",
     "shortest_path": f"{_C}, ends AS (SELECT src_id, min(dst_id) AS from_id, max(dst_id) AS to_id FROM contains GROUP BY src_id HAVING min(dst_id) < max(dst_id)) SELECT from_id, to_id, CASE WHEN src_id IN (from_id, to_id) THEN 2.5 ELSE 5.0 END::double AS cost, CASE WHEN src_id IN (from_id, to_id) THEN 1 ELSE 2 END AS hops, CASE WHEN src_id IN (from_id, to_id) THEN from_id || '/' || to_id ELSE from_id || '/' || src_id || '/' || to_id END AS path FROM ends",
-    "ancestors_closure": f"{_C}, r(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'PACKAGE' UNION SELECT r.root, c.dst_id, r.depth + 1 FROM r JOIN contains c ON c.src_id = r.id WHERE r.depth < 6), m AS (SELECT root, id, min(depth) AS depth FROM r GROUP BY root, id HAVING min(depth) > 0) SELECT m.root AS package_id, n.kind, count(*) AS n, CAST(min(m.depth) AS INTEGER) AS least_depth FROM m JOIN n ON m.id = n.id GROUP BY m.root, n.kind",
+    "ancestors_closure": f"{_C}, r(root, id, depth, path) AS (SELECT id, id, 0, [id] FROM n WHERE kind = 'PACKAGE' UNION ALL SELECT r.root, c.dst_id, r.depth + 1, list_append(r.path, c.dst_id) FROM r JOIN contains c ON c.src_id = r.id WHERE NOT list_contains(r.path, c.dst_id)), m AS (SELECT root, id, min(depth) AS depth FROM r GROUP BY root, id HAVING min(depth) > 0) SELECT m.root AS package_id, n.kind, count(*) AS n, CAST(min(m.depth) AS INTEGER) AS least_depth FROM m JOIN n ON m.id = n.id GROUP BY m.root, n.kind",
     "transitive_points": "SELECT DISTINCT CAST(2000000000 + s.s_nationkey AS BIGINT) AS id, p.p_brand AS value FROM supplier s JOIN lineitem l ON l.l_suppkey = s.s_suppkey JOIN part p ON p.p_partkey = l.l_partkey",
     "parent_climb": f"""{_C}, stop AS (SELECT id FROM n WHERE kind IN ('CLIENT', 'CONFIG', 'SERVICE', 'CLASS')),
-        r(site, pos, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'ENDPOINT' UNION SELECT r.site, c.src_id, r.depth + 1 FROM r JOIN contains c ON c.dst_id = r.pos WHERE r.depth < 10 AND r.pos NOT IN (SELECT id FROM stop)),
+        r(site, pos, depth, path) AS (SELECT id, id, 0, [id] FROM n WHERE kind = 'ENDPOINT' UNION ALL SELECT r.site, c.src_id, r.depth + 1, list_append(r.path, c.src_id) FROM r JOIN contains c ON c.dst_id = r.pos WHERE r.pos NOT IN (SELECT id FROM stop) AND NOT list_contains(r.path, c.src_id)),
         m AS (SELECT site, pos, min(depth) AS depth FROM r GROUP BY site, pos) SELECT site AS site_id, pos AS id, CAST(depth AS INTEGER) AS depth FROM m WHERE pos IN (SELECT id FROM stop)""",
     "method_summaries": f"""{_C}, own AS (SELECT id, list_distinct(regexp_extract_all(source_code, '/api/v[0-9]+/[a-z]+/[a-z]+')) AS urls, contains(source_code, 'retry') AS a, contains(source_code, 'timeout') AS b FROM n WHERE source_code IS NOT NULL),
-        r(root, id, depth) AS (SELECT id, id, 0 FROM own UNION SELECT r.root, c.dst_id, r.depth + 1 FROM r JOIN contains c ON c.src_id = r.id WHERE r.depth < 4), m AS (SELECT DISTINCT root, id FROM r)
+        r(root, id) AS (SELECT id, id FROM own UNION SELECT r.root, c.dst_id FROM r JOIN contains c ON c.src_id = r.id), m AS (SELECT DISTINCT root, id FROM r)
         SELECT root AS id, CAST(len(u) AS INTEGER) AS n_urls, md5(array_to_string(u, ',')) AS urls_hash, a AS has_retry, b AS has_timeout FROM (SELECT root, list_sort(list_distinct(flatten(list(urls)))) AS u, bool_or(a) AS a, bool_or(b) AS b FROM m JOIN own ON m.id = own.id GROUP BY root)""",
     "dep_topk_per_node": f"{_E} SELECT src_id, CAST(rank AS INTEGER) AS rank, dst_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY CASE kind WHEN 'CALLS_HTTP' THEN 1 WHEN 'DEPENDS_ON' THEN 2 WHEN 'PRODUCES' THEN 3 ELSE 99 END, dst_id, kind) AS rank FROM estate) WHERE rank <= 20",
 }

@@ -29,11 +29,14 @@ def node_by_fqn(spark, d):
 
 
 def fqn_contains(spark, d):
-    return R.fqn_like(A.nodes(spark, d), 1, "order", 1000).select("id", "fqn")
+    return R.fqn_like(A.nodes(spark, d), 1, "voice", 1000).select("id", "fqn")
 
 
 def class_lookup(spark, d):
-    return R.classes_named(A.nodes(spark, d), "orderservice", TYPE_KINDS, True).select("id", "fqn").unionByName(R.classes_named(A.nodes(spark, d), "OrderService", TYPE_KINDS).select("id", "fqn")).distinct()
+    """The name of the first type, in any case, and that of the last one as it is written."""
+    nodes = A.nodes(spark, d)
+    first, last = nodes.where(F.col("kind").isin(*TYPE_KINDS)).agg(F.min_by("name", "id"), F.max_by("name", "id")).first()
+    return R.classes_named(nodes, first.upper(), TYPE_KINDS, True).select("id", "fqn").unionByName(R.classes_named(nodes, last, TYPE_KINDS).select("id", "fqn")).distinct()
 
 
 def class_method_lookup(spark, d):
@@ -113,7 +116,7 @@ def stale_docs(spark, d):
 
 
 def ready_nodes(spark, d):
-    return R.ready_nodes(A.nodes(spark, d), _docs(spark, d), A.contains(spark, d), "en")
+    return R.ready_nodes(A.nodes(spark, d), _docs(spark, d), A.siblings(spark, d).unionByName(A.contains(spark, d)), "en")
 
 
 def cycle_break_nodes(spark, d):
@@ -182,13 +185,14 @@ QUERIES = {
 }
 
 _N = f"WITH {A.NODE_SQL}, {A.CONTAINS_SQL}, d AS (SELECT DISTINCT * FROM node_doc), c AS (SELECT DISTINCT * FROM chunk)"
-_GROUP = "CASE WHEN kind IN ('MODULE', 'REPO') THEN 3 WHEN kind = 'PACKAGE' THEN 2 WHEN kind IN ('METHOD', 'ENDPOINT', 'JOB', 'TEST', 'FIELD') THEN 0 ELSE 1 END"
-_READY = f"""{_N}, done AS (SELECT DISTINCT node_id AS id FROM d WHERE locale = 'en' AND trim(doc_digest) <> ''), op AS (SELECT *, {_GROUP} AS g FROM n WHERE id NOT IN (SELECT id FROM done)), ng AS (SELECT *, {_GROUP} AS g FROM n)"""
+_PRIO = "CASE WHEN kind IN ('FIELD', 'ENDPOINT', 'TOPIC', 'INFRASTRUCTURE') THEN 0 WHEN kind = 'METHOD' THEN 1 WHEN kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'SERVICE', 'MAPPER', 'CONFIG', 'SCHEMA', 'EXCEPTION', 'TEST') THEN 2 WHEN kind = 'PACKAGE' THEN 3 WHEN kind = 'MODULE' THEN 4 WHEN kind = 'REPO' THEN 5 ELSE 6 END"
+_OPEN = f"{_N}, {A.SIBLINGS_SQL}, op AS (SELECT * FROM n WHERE id NOT IN (SELECT node_id FROM d WHERE locale = 'en')), miss AS (SELECT * FROM n WHERE id NOT IN (SELECT node_id FROM d WHERE locale = 'en' AND doc_digest IS NOT NULL AND doc_digest <> ''))"
+_DEPENDS = "('CALLS_CODE', 'THROWS', 'READS', 'WRITES', 'QUERIES', 'CALLS_HTTP', 'CALLS_GRPC', 'PRODUCES', 'CONSUMES', 'CONFIGURES', 'CIRCUIT_BREAKER_TO', 'RETRIES_TO', 'TIMEOUTS_TO', 'DEPENDS_ON')"
 SQL = {
     "nodes_by_kind": f"{_N} SELECT id, application_id, kind FROM n WHERE application_id IN (1, 2, 3) AND kind IN ('METHOD', 'CLASS')",
     "node_by_fqn": f"{_N} SELECT id, application_id, fqn FROM n WHERE (application_id, fqn) IN (SELECT (application_id, min(fqn)) FROM n GROUP BY application_id)",
-    "fqn_contains": f"{_N} SELECT id, fqn FROM n WHERE application_id = 1 AND fqn LIKE '%order%' ORDER BY fqn, id LIMIT 1000",
-    "class_lookup": f"{_N} SELECT id, fqn FROM n WHERE kind IN {TYPE_KINDS} AND (lower(name) = 'orderservice' OR lower(fqn) LIKE '%.orderservice')",
+    "fqn_contains": f"{_N} SELECT id, fqn FROM n WHERE application_id = 1 AND fqn LIKE '%voice%' ORDER BY fqn, id LIMIT 1000",
+    "class_lookup": f"{_N}, t AS (SELECT * FROM n WHERE kind IN {TYPE_KINDS}), x AS (SELECT arg_min(name, id) AS a, arg_max(name, id) AS z FROM t) SELECT DISTINCT t.id, t.fqn FROM t, x WHERE lower(t.name) = lower(a) OR ends_with(lower(t.fqn), '.' || lower(a)) OR t.name = z OR ends_with(t.fqn, '.' || z)",
     "class_method_lookup": f"{_N} SELECT m.id, lower(p.name) AS owner, lower(m.name) AS method FROM n m JOIN n p ON m.parent_id = p.id WHERE m.kind = 'METHOD'",
     "audit_search": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' AND props LIKE '%k%' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100 OFFSET 100",
     "json_containment": f"{_N} SELECT id, fqn FROM n WHERE coalesce(list_contains(CAST(json_extract(meta, '$.annotations') AS VARCHAR[]), '@Repository'), false) OR coalesce(CAST(json_extract(meta, '$.synthetic') AS BOOLEAN), false)",
@@ -207,8 +211,12 @@ SQL = {
     "stale_docs": f"""{_N}, p AS (SELECT node_id, lang_detected AS locale, max(updated_at) AS at FROM c WHERE source = 'doc' AND kind = 'public' GROUP BY 1, 2), t AS (SELECT node_id, lang_detected AS locale, max(updated_at) AS at FROM c WHERE source = 'doc' AND kind = 'tech' GROUP BY 1, 2),
         s AS (SELECT d.node_id, d.locale, CASE WHEN trim(d.doc_public) <> '' THEN CASE WHEN p.at IS NULL THEN 'missing' WHEN p.at < d.updated_at THEN 'stale' END END AS public_state, CASE WHEN trim(d.doc_tech) <> '' THEN CASE WHEN t.at IS NULL THEN 'missing' WHEN t.at < d.updated_at THEN 'stale' END END AS tech_state
         FROM d LEFT JOIN p ON d.node_id = p.node_id AND d.locale = p.locale LEFT JOIN t ON d.node_id = t.node_id AND d.locale = t.locale) SELECT * FROM s WHERE public_state IS NOT NULL OR tech_state IS NOT NULL""",
-    "ready_nodes": f"{_READY}, blocked AS (SELECT DISTINCT p.id FROM ng p JOIN op k ON k.parent_id = p.id WHERE (p.g = 1 AND k.g = 0) OR (p.g = 2 AND k.g IN (1, 2)) OR (p.g = 3 AND k.g IN (2, 3))) SELECT id, kind, CAST(g AS INTEGER) AS prio FROM op WHERE id NOT IN (SELECT id FROM blocked)",
-    "cycle_break_nodes": f"{_READY} SELECT id, kind, CAST(g AS INTEGER) AS prio FROM op",
+    "ready_nodes": f"""{_OPEN} SELECT id, kind, CAST({_PRIO} AS INTEGER) AS prio FROM op
+        WHERE (kind <> 'METHOD' OR id NOT IN (SELECT e.src_id FROM siblings e JOIN miss t ON t.id = e.dst_id WHERE e.src_id <> e.dst_id AND e.kind IN {_DEPENDS} AND t.kind = 'METHOD'))
+        AND (kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD') OR id NOT IN (SELECT parent_id FROM miss WHERE parent_id IS NOT NULL AND kind IN ('METHOD', 'FIELD')))
+        AND (kind <> 'PACKAGE' OR id NOT IN (SELECT parent_id FROM miss WHERE parent_id IS NOT NULL AND kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'PACKAGE')))
+        AND (kind NOT IN ('MODULE', 'REPO') OR id NOT IN (SELECT parent_id FROM miss WHERE parent_id IS NOT NULL AND kind IN ('PACKAGE', 'MODULE')))""",
+    "cycle_break_nodes": f"{_OPEN} SELECT id, kind, CAST({_PRIO} AS INTEGER) AS prio FROM op",
     "latest_per_group": f"{_N} SELECT node_id, id FROM (SELECT node_id, id, row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM c) WHERE r = 1",
     "recent_chats": "SELECT conversation_id, count(*) AS n FROM spring_ai_chat_memory GROUP BY conversation_id ORDER BY max(timestamp) DESC, conversation_id LIMIT 10",
     "edge_upsert": f"WITH {A.ESTATE_SQL} SELECT * FROM estate",

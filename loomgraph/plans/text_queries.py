@@ -111,7 +111,7 @@ def doc_readability(spark, d):
 
 def call_extraction(spark, d):
     nodes = table(spark, d, "node").where("kind in ('METHOD', 'ENDPOINT', 'JOB', 'TEST') and source_code is not null").select("id", "source_code").distinct()
-    return nodes.select("id", F.array_join(T.called_names(F.col("source_code")), ",").alias("calls"), F.array_join(T.thrown_types(F.col("source_code")), ",").alias("throws"))
+    return nodes.select("id", F.array_join(T.simple_calls(F.col("source_code")), ",").alias("calls"), F.array_join(T.dotted_calls(F.col("source_code")), ",").alias("dotted"), F.array_join(T.thrown_types(F.col("source_code")), ",").alias("throws"))
 
 
 def kdoc_parse(spark, d):
@@ -167,13 +167,14 @@ SQL = {
     "fqn_normalize": f"""SELECT id, norm, CASE WHEN norm LIKE 'infra:http:%' THEN 'HTTP' WHEN norm LIKE 'infra:kafka:%' THEN 'KAFKA' WHEN norm LIKE 'infra:camel:%' THEN 'CAMEL' END AS integration,
         CASE WHEN norm LIKE 'infra:http:%' THEN regexp_replace(regexp_replace(norm, '^infra:http:', ''), '^([A-Z]+):', '\\1 ') WHEN norm LIKE 'infra:%' THEN regexp_replace(norm, '^infra:(kafka:topic|camel:uri):', '') ELSE coalesce(name, old) END AS label
         FROM (SELECT id, old, name, {_NORM} AS norm FROM (SELECT DISTINCT id, name, CASE WHEN kind = 'TOPIC' THEN 'topic://' || fqn WHEN kind = 'ENDPOINT' THEN 'endpoint://GET /' || fqn ELSE fqn END AS old FROM node))""",
-    "signature_types": f"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(signature, '([A-Za-z_][A-Za-z0-9_.]*)', 1), lambda t: t NOT IN ({", ".join(repr(w) for w in T.SIGNATURE_WORDS)}) AND (contains(t, '.') OR regexp_matches(t, '^[A-Z]'))))), ',') AS types FROM (SELECT DISTINCT id, signature FROM node WHERE signature IS NOT NULL)""",
+    "signature_types": r"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(s, '([A-Za-z_][A-Za-z0-9_.]*)', 1), lambda t: t NOT IN ('fun', 'val', 'var', 'override', 'public', 'private', 'protected', 'internal', 'class', 'interface', 'object', 'where') AND (contains(t, '.') OR regexp_matches(t, '^[A-Z]'))))), ',') AS types
+        FROM (SELECT id, regexp_extract(substr(signature, strpos(signature, '(') + 1), '^((?s).*)\)', 1) || ':' || regexp_extract(signature, '[^)]*$') AS s FROM (SELECT DISTINCT id, signature FROM node WHERE signature IS NOT NULL))""",
     "camel_split": "SELECT id, array_to_string(p, ' ') AS parts, CAST(len(p) AS INTEGER) AS n FROM (SELECT id, list_filter(regexp_split_to_array(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_-]'), lambda x: x <> '') AS p FROM (SELECT DISTINCT id, name FROM node))",
     "keyword_match": rf"SELECT id, coalesce(regexp_matches(content, '(?i)(^|[^\p{{L}}\p{{N}}_])queue($|[^\p{{L}}\p{{N}}_])'), false) AS exact, coalesce(contains(lower(content), 'retrywindow') OR (contains(lower(content), 'retry') AND contains(lower(content), 'window')), false) AS fuzzy FROM {_C}",
     "tf_relevance": rf"""SELECT id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(list_filter(w, lambda x: contains(x, 'queue') OR contains('queue', x))) * 10.0::double / len(w) + len(list_filter(w, lambda x: contains(x, 'retry') OR contains('retry', x))) * 10.0::double / len(w), 6) END AS relevance
         FROM (SELECT id, list_filter(regexp_split_to_array(lower(content), '{_S}+'), lambda x: x <> '') AS w FROM {_C} WHERE content IS NOT NULL)""",
     "content_hash_tokens": rf"SELECT id, CASE WHEN trim(content) <> '' THEN sha256(content) END AS sha256, CAST(len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+')) AS INTEGER) AS tokens FROM {_C} WHERE content IS NOT NULL",
-    "md_grade": r"""SELECT node_id, locale, regexp_matches(t, '(?m)^[ \t]{0,3}#{1,6}[ \t]') OR regexp_matches(t, '\[[^\]]+\]\([^)]+\)') OR regexp_matches(t, '`{1,3}[^`]+`{1,3}') OR regexp_matches(t, '(?m)^[ \t]{0,3}[-*+][ \t]+') OR regexp_matches(t, '\*\*[^*]+\*\*|__[^_]+__') AS markdown,
+    "md_grade": r"""SELECT node_id, locale, regexp_matches(t, '(?m)^\s{0,3}#{1,6}\s') OR regexp_matches(t, '\[[^\]]+\]\([^)]+\)') OR regexp_matches(t, '`{1,3}[^`]+`{1,3}') OR regexp_matches(t, '(?m)^\s{0,3}[-*+]\s+') OR regexp_matches(t, '\*\*[^*]+\*\*|__[^_]+__') AS markdown,
         CASE WHEN n >= 300 OR length(t) >= 2000 THEN 'A' WHEN n >= 120 OR length(t) >= 800 THEN 'B' ELSE 'C' END AS grade, CAST(least(length(t), 240) + CASE WHEN length(t) > 240 THEN 1 ELSE 0 END AS INTEGER) AS preview_chars
         FROM (SELECT DISTINCT node_id, locale, doc_tech AS t, len(regexp_extract_all(doc_tech, '[^ \t\n\x0B\f\r]+')) AS n FROM node_doc WHERE doc_tech IS NOT NULL)""",
     "lang_ratio": r"SELECT doc_id, CASE WHEN l > 0 THEN round(c::double / l, 6) ELSE 0.0 END AS cyrillic, CASE WHEN l > 0 THEN c::double / l ELSE 0.0 END >= 0.6 AS russian FROM (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS l, len(regexp_extract_all(text, '\p{Cyrillic}')) AS c FROM documents WHERE text IS NOT NULL)",
@@ -183,17 +184,18 @@ SQL = {
         n.parent_id IS NULL OR (n.parent_id <> n.id AND coalesce(p.application_id = n.application_id, false)) AS good_parent FROM n LEFT JOIN n p ON n.parent_id = p.id""",
     "env_placeholders": r"""SELECT DISTINCT id, p AS placeholder, nullif(trim(regexp_extract(p, '\$\{([^}:]+)(:([^}]*))?\}', 1)), '') AS env_var, CASE WHEN trim(regexp_extract(p, '\$\{([^}:]+)(:([^}]*))?\}', 3)) <> '' THEN regexp_extract(p, '\$\{([^}:]+)(:([^}]*))?\}', 3) END AS default_value
         FROM (SELECT id, unnest(regexp_extract_all(source_code, '\$\{[^}:]+(?::[^}]*)?\}')) AS p FROM node WHERE kind = 'CONFIG')""",
-    "doc_coverage": f"""WITH k AS (SELECT d.node_id, d.locale, n.source_code AS code, d.doc_tech AS doc, list_distinct(list_filter(list_transform(regexp_extract_all(n.source_code, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x)), lambda w: length(w) > 3 AND w NOT IN ({", ".join(repr(w) for w in T.STOP_IDENTIFIERS)}))) AS keys
+    "doc_coverage": f"""WITH k AS (SELECT d.node_id, d.locale, n.source_code AS code, d.doc_tech AS doc, list_distinct(list_filter(regexp_extract_all(n.source_code, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'), lambda w: length(w) > 3 AND w NOT IN ('return', 'class', 'override', 'private', 'public', 'import', 'package', 'else', 'when', 'while', 'catch', 'finally'))) AS keys
         FROM (SELECT DISTINCT node_id, locale, doc_tech FROM node_doc) d JOIN (SELECT DISTINCT id, source_code FROM node) n ON d.node_id = n.id)
-        SELECT node_id, locale, CASE WHEN coalesce(trim(code), '') = '' OR coalesce(trim(doc), '') = '' THEN 0.0::double WHEN len(keys) = 0 THEN 10.0::double ELSE round(len(list_filter(keys, lambda w: contains(lower(doc), w))) * 10.0::double / len(keys), 6) END AS coverage FROM k""",
-    "call_extraction": f"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(source_code, '((?:[A-Za-z_][A-Za-z0-9_]*\\.)?[A-Za-z_][A-Za-z0-9_]*)\\(', 1), lambda c: lower(regexp_extract(c, '[^.]*$')) NOT IN ({", ".join(repr(w) for w in T.CALL_NOISE)})))), ',') AS calls,
-        array_to_string(list_sort(list_distinct(regexp_extract_all(source_code, 'throw[ \\t]+(?:new[ \\t]+)?([A-Z][A-Za-z0-9_.]*)', 1))), ',') AS throws
-        FROM (SELECT DISTINCT id, source_code FROM node WHERE kind IN ('METHOD', 'ENDPOINT', 'JOB', 'TEST') AND source_code IS NOT NULL)""",
+        SELECT node_id, locale, CASE WHEN coalesce(trim(code), '') = '' OR coalesce(trim(doc), '') = '' THEN 0.0::double WHEN len(keys) = 0 THEN 10.0::double ELSE round(len(list_filter(keys, lambda w: contains(lower(doc), lower(w)))) * 10.0::double / len(keys), 6) END AS coverage FROM k""",
+    "call_extraction": r"""WITH z AS (SELECT ['listOf', 'map', 'of', 'timer', 'start', 'stop', 'sequenceOf', 'arrayOf', 'mutableListOf'] AS noise) SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(source_code, '\b(\w+)\s*\(', 1), lambda c: NOT list_contains(noise, c)))), ',') AS calls,
+        array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(source_code, '([\w.]+\b\.\w+)\s*\(', 1), lambda c: NOT list_contains(noise, string_split(c, '.')[-1]) AND NOT list_contains(noise, string_split(c, '.')[-2])))), ',') AS dotted,
+        array_to_string(list_sort(list_distinct(regexp_extract_all(source_code, 'throw[ \t]+(?:new[ \t]+)?([A-Z][A-Za-z0-9_.]*)', 1))), ',') AS throws
+        FROM (SELECT DISTINCT id, source_code FROM node WHERE kind IN ('METHOD', 'ENDPOINT', 'JOB', 'TEST') AND source_code IS NOT NULL), z""",
     "judge_scores": "SELECT * FROM (VALUES (1, 7.5::double, 'Score: 7.5 of 10'), (2, NULL, 'none'), (3, 10.0::double, '42'), (4, NULL, NULL), (5, 0.0::double, '0')) t(id, score, bare)",
     "markdown_section": "SELECT * FROM (VALUES (1, 'Indexes nodes.'), (2, NULL), (3, 'line one' || chr(10) || 'line two'), (4, NULL)) t(id, body)",
     "annotation_arguments": rf"""SELECT id, verb, path, {_PATH.format(u='path')} AS canonical FROM (SELECT id, verb, path, {_BARE.format(u='path')} AS c FROM (
         SELECT DISTINCT id, a, CASE WHEN regexp_extract(a, '@?(Get|Post|Put|Delete|Patch|Request)Mapping', 1) = 'Request' THEN 'GET' ELSE upper(regexp_extract(a, '@?(Get|Post|Put|Delete|Patch|Request)Mapping', 1)) END AS verb, nullif(regexp_extract(a, '"([^"]*)"', 1), '') AS path
         FROM (SELECT id, unnest(regexp_extract_all(source_code, '@[A-Za-z]+Mapping\("[^"]*"\)')) AS a FROM node WHERE kind = 'ENDPOINT' AND source_code IS NOT NULL)))""",
     "infra_names": "SELECT id, array_to_string(list_filter(string_split(key, '-'), lambda p: lower(p) NOT IN ('client', 'settings', 'config', 'configuration', 'properties')), '-') || ' (HTTP)' AS name FROM application",
-    "doc_readability": r"""SELECT node_id, locale, CASE WHEN w > 0 THEN round(least(greatest(206.835 - 1.015 * w::double / greatest(s, 1) - 84.6 * v::double / w, 0), 100) / 10, 4) ELSE 0.0 END::double AS readability FROM (SELECT DISTINCT node_id, locale, len(regexp_extract_all(doc_public, '\p{L}+')) AS w, len(regexp_extract_all(doc_public, '[.!?]+')) AS s, len(regexp_extract_all(lower(doc_public), '[aeiouyаеёиоуыэюяäöüáéíóúàèùâêîôû]+')) AS v FROM node_doc WHERE doc_public IS NOT NULL)""",
+    "doc_readability": r"""SELECT node_id, locale, CASE WHEN w > 0 THEN round(least(greatest(206.835 - 1.015 * w::double / greatest(s, 1) - 84.6 * v::double / w, 0), 100) / 10, 4) ELSE 5.0 END::double AS readability FROM (SELECT DISTINCT node_id, locale, len(regexp_extract_all(doc_public, '\p{L}+')) AS w, len(regexp_extract_all(doc_public, '[.!?]+')) AS s, len(regexp_extract_all(lower(doc_public), '[aeiouyаеёиоуыэюяäöüáéíóúàèùâêîôû]+')) AS v FROM node_doc WHERE doc_public IS NOT NULL)""",
 }
