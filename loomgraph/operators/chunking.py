@@ -12,47 +12,86 @@ from loomgraph.functions import text as T
 from loomgraph.operators.relational import first_rows
 
 
-def chunk_plan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, source, kind, priority, section, relations): one planned chunk per node.
+# fixed values: kinds that are planned first
+PLAN_PRIORITY = {"ENDPOINT": 10, "METHOD": 10, "INFRASTRUCTURE": 10, "CLASS": 5}
+HINT_CONFIDENCE = 0.7
 
-    Nodes with a signature or documentation give a technical document, the rest a snippet of code; relations count calls.
+
+def chunk_plan(nodes: DataFrame) -> DataFrame:
+    """(node_id, plan_id, source, kind, lang, priority, title, section): one planned chunk per node.
+
+    Nodes with a signature or documentation give a technical document, the rest a snippet of code; the priority goes by
+    the kind of node; the section is the parts of the package and the name.  The plan's relations are rows of their own,
+    see ``relation_hints``, since a hub has any number of them.
     """
     documented = F.coalesce((F.trim("signature") != "") | (F.trim("doc_comment") != ""), F.lit(False))
-    made = edges.where("kind in ('CALLS', 'CALLS_CODE')").groupBy(F.col("src_id").alias("id")).agg(F.count(F.lit(1)).alias("relations"))
-    rows = nodes.join(made, "id", "left")
-    priority = F.when(documented & F.col("source_code").isNotNull(), 10).when(documented, 5).otherwise(0)
-    return rows.select(F.col("id").alias("node_id"), F.when(documented, "doc").otherwise("code").alias("source"), F.when(documented, "tech").otherwise("snippet").alias("kind"), priority.alias("priority"), F.concat_ws("/", "package", "name").alias("section"), F.coalesce("relations", F.lit(0)).alias("relations"))
+    source, kind = F.when(documented, "doc").otherwise("code"), F.when(documented, "tech").otherwise("snippet")
+    priority = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in PLAN_PRIORITY.items()], F.lit(0))
+    section = F.concat(F.coalesce(F.split("package", r"\."), F.array().cast("array<string>")), F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>")))
+    return nodes.select(
+        F.col("id").alias("node_id"), F.concat_ws(":", "id", source, kind).alias("plan_id"), source.alias("source"), kind.alias("kind"),
+        F.when(documented, "ru").otherwise(F.col("lang")).alias("lang"), priority.alias("priority"), F.col("fqn").alias("title"), section.alias("section"),
+    )
+
+
+def relation_hints(edges: DataFrame) -> DataFrame:
+    """(node_id, kind, dst_id, confidence): the calls that a node's planned chunk hints at."""
+    return edges.where("kind = 'CALLS'").select(F.col("src_id").alias("node_id"), "kind", "dst_id", F.lit(HINT_CONFIDENCE).alias("confidence"))
 
 
 # fixed values: order in which dependencies are shown
-DEPENDENCY_PRIORITY = {"CALLS_CODE": 1, "CALLS_HTTP": 2, "PRODUCES": 3, "CONSUMES": 4, "THROWS": 5, "IMPLEMENTS": 6, "DEPENDS_ON": 7}
+DEPENDENCY_PRIORITY = {
+    k: i
+    for i, k in enumerate(
+        ("CALLS_CODE", "THROWS", "READS", "WRITES", "QUERIES", "CALLS_HTTP", "CALLS_GRPC", "PRODUCES", "CONSUMES", "CONFIGURES", "CIRCUIT_BREAKER_TO", "RETRIES_TO", "TIMEOUTS_TO", "DEPENDS_ON")
+    )
+}
+TYPES = ("CLASS", "INTERFACE", "ENUM", "RECORD")
+CONTAINERS = ("PACKAGE", "MODULE", "REPO")
 
 
 def doc_context(nodes: DataFrame, docs: DataFrame, edges: DataFrame, locale: str, deps: int = 20, children: int = 40) -> DataFrame:
-    """(node_id, deps, children, missing_deps, missing_children): digests of what a node rests on, in a definite order."""
+    """(node_id, block, shown, missing, n_deps, n_children): the digests a node's document rests on, in a definite order.
+
+    A method shows its first ``deps`` dependencies by kind and id, a type its first ``children`` methods and fields, a
+    container its first children of any kind; other nodes show nothing.  What has no digest is marked missing; only edges
+    of the fixed kinds count as dependencies.
+    """
     from loomgraph.operators.traverse import top_dependencies
 
     digest = docs.where(F.col("locale") == locale).groupBy("node_id").agg(F.max("doc_digest").alias("digest"))
-    names = nodes.select(F.col("id").alias("node_id"), F.coalesce("name", "fqn").alias("label")).join(digest, "node_id", "left")
-
-    def gathered(rows: DataFrame, order: list[str]) -> DataFrame:
-        full = rows.join(names, F.col("other") == F.col("node_id")).drop("node_id")
-        line = F.concat("label", F.lit(": "), F.coalesce("digest", F.lit("-")))
-        return full.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), F.count(F.when(F.col("digest").isNull(), 1)).alias("missing"))
-
-    top = top_dependencies(edges.where("src_id <> dst_id and kind <> 'CONTAINS'"), DEPENDENCY_PRIORITY, deps).select(F.col("src_id").alias("owner"), F.col("dst_id").alias("other"), "rank")
-    kids = first_rows(nodes.where("parent_id is not null and parent_id <> id").select(F.col("parent_id").alias("owner"), F.col("id").alias("other"), "kind"), ["owner"], ["kind", "other"], children)
-    d = gathered(top, ["rank"]).toDF("node_id", "deps", "missing_deps")
-    c = gathered(kids.select("owner", "other", "rank"), ["rank"]).toDF("node_id", "children", "missing_children")
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return nodes.select(F.col("id").alias("node_id")).join(d, "node_id", "left").join(c, "node_id", "left").select("node_id", "deps", "children", zero("missing_deps").alias("missing_deps"), zero("missing_children").alias("missing_children"))
-
-
-def prompt_name(kind: Column, has_doc: Column, has_code: Column, has_deps: Column, has_children: Column) -> Column:
+    names = nodes.select(F.col("id").alias("other"), "fqn").join(digest.withColumnRenamed("node_id", "other"), "other", "left")
+    kinds = nodes.select(F.col("id").alias("owner"), F.col("kind").alias("owner_kind"))
+    used = top_dependencies(edges, DEPENDENCY_PRIORITY, deps).select(F.col("src_id").alias("owner"), F.col("dst_id").alias("other"), "rank", F.col("kind").alias("how"))
+    used = used.join(kinds.where("owner_kind = 'METHOD'"), "owner").withColumn("line", F.concat(F.lit("- edge="), "how", F.lit(" dst=")))
+    kids = nodes.where("parent_id is not null").select(F.col("parent_id").alias("owner"), F.col("id").alias("other"), "kind").join(kinds, "owner")
+    kids = kids.where((F.col("owner_kind").isin(*TYPES) & F.col("kind").isin("METHOD", "FIELD")) | F.col("owner_kind").isin(*CONTAINERS))
+    kids = first_rows(kids, ["owner"], ["other"], children).withColumn("line", F.lit("- child=")).withColumn("how", F.lit(None).cast("string"))
+    cols = ["owner", "other", "rank", "how", "line"]
+    rows = used.select(*cols).unionByName(kids.select(*cols)).join(names, "other", "left")
+    blank = F.coalesce(F.trim("digest"), F.lit("")) == ""
+    text = F.concat("line", F.coalesce("fqn", F.concat(F.lit("node#"), "other")), F.when(blank, " digest=missing").otherwise(F.concat(F.lit("\n  "), F.regexp_replace("digest", "\n", "\n  "))))
+    # at most ``deps`` or ``children`` lines per node are gathered
+    blocks = rows.groupBy(F.col("owner").alias("node_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", text.alias("text")))), lambda x: x["text"]), "\n").alias("block"),
+        F.count(F.lit(1)).alias("shown"), F.count(F.when(blank, 1)).alias("missing"),
+        F.count(F.when(F.col("how").isin(*DEPENDENCY_PRIORITY), 1)).alias("n_deps"), F.count(F.when(F.col("how").isNull(), 1)).alias("n_children"),
+    )
+    asks = F.col("kind").isin("METHOD", *TYPES, *CONTAINERS)
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return nodes.select(F.col("id").alias("node_id"), "kind").join(blocks, "node_id", "left").select("node_id", F.when(asks, F.coalesce("block", F.lit("- none"))).alias("block"), zero("shown"), zero("missing"), zero("n_deps"), zero("n_children"))
+
+
+def prompt_name(kind: Column, deps: Column, children: Column, has_code: Column) -> Column:
     """Which prompt a node's profile calls for."""
-    family = F.when(kind.isin("METHOD", "ENDPOINT", "JOB", "TEST"), "method").when(kind == "FIELD", "field").when(kind == "PACKAGE", "package").when(kind.isin("MODULE", "REPO"), "module").otherwise("type")
-    basis = F.when(has_children & family.isin("type", "package", "module"), "children").when(has_code & has_deps, "code+deps").when(has_code, "code").when(has_doc, "doc").otherwise("name")
-    return F.concat_ws(".", family, basis)
+    two = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    return (
+        F.when(kind == "METHOD", two(deps > 0, "method-with-deps", "method-no-deps"))
+        .when(kind.isin(*TYPES), two(children > 0, "type-with-children", "type-no-children"))
+        .when(kind.isin(*CONTAINERS), two(children > 0, "container-with-children", "container-no-children"))
+        .when(kind == "INFRASTRUCTURE", "infrastructure")
+        .otherwise(two(has_code, "leaf-with-code", "leaf-no-code"))
+    )
 
 
 def generate_docs(nodes: DataFrame, locale: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -75,10 +114,11 @@ def generate_docs(nodes: DataFrame, locale: str, model: Callable[[list[str]], li
     return rows.mapInPandas(run, "node_id long, locale string, doc_tech string, doc_digest string, source_hash string")
 
 
-def post_process(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, most: int = 30_000) -> DataFrame:
+def post_process(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, most: int = 30_000, summarise: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """Chunks with hash, token count and, where a model is given, vector; what is there already stays.
 
-    Texts beyond ``most`` characters are embedded by their beginning.
+    Texts beyond ``most`` characters do not fit a model: they are summarised first, and without ``summarise`` the vector
+    is the mean of those of their pieces of ``most`` characters, so that no part of a text is left out.
     """
     done = chunks.withColumn("content_hash", F.coalesce("content_hash", T.content_hash(F.col("content")))).withColumn("token_count", F.coalesce("token_count", T.token_count(F.col("content"))))
     if embed is None:
@@ -87,10 +127,16 @@ def post_process(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             todo = batch["embedding"].isna() & batch["content"].fillna("").str.strip().ne("")
-            vectors = embed([c[:most] for c in batch.loc[todo, "content"]]) if todo.any() else []
+            texts = batch.loc[todo, "content"].tolist()
+            if summarise and any(len(t) > most for t in texts):
+                short = iter(summarise([t for t in texts if len(t) > most]))
+                texts = [next(short) if len(t) > most else t for t in texts]
+            pieces = [[t[i : i + most] for i in range(0, len(t), most)] for t in texts]
+            vectors = iter(embed([p for ps in pieces for p in ps]) if pieces else [])
             column = batch["embedding"].tolist()
-            for at, vector in zip([i for i, t in enumerate(todo) if t], vectors):
-                column[at] = [float(x) for x in vector]
+            for at, ps in zip([i for i, t in enumerate(todo) if t], pieces):
+                own = [next(vectors) for _ in ps]
+                column[at] = [float(sum(x)) / len(own) for x in zip(*own)]
             yield batch.assign(embedding=column)
 
     return done.mapInPandas(run, done.schema)

@@ -78,9 +78,16 @@ def annotations(nodes: DataFrame) -> DataFrame:
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
-    """DEPENDS_ON from a member's owner, else from itself, to the types of its signature."""
+    """DEPENDS_ON from a member's owner, else from itself, to the types it names.
+
+    Parsed parameter and return types (``param_types``, ``return_type``) count where there are any, else the signature.
+    """
     owner = F.coalesce("owner_id", "id")
-    rows = nodes.select("application_id", owner.alias("src_id"), "package", "imports", F.explode(T.type_tokens(F.col("signature"))).alias("type")).distinct()
+    named = T.type_tokens(F.col("signature"))
+    if {"param_types", "return_type"} <= set(nodes.columns):
+        parsed = F.concat(F.coalesce("param_types", F.array().cast("array<string>")), F.when(F.trim("return_type") != "", F.array("return_type")).otherwise(F.array().cast("array<string>")))
+        named = F.when(F.size(parsed) > 0, T.types_in(F.array_join(parsed, ","))).otherwise(named)
+    rows = nodes.select("application_id", owner.alias("src_id"), "package", "imports", F.explode(named).alias("type")).distinct()
     return _edges(resolve_types(rows, nodes), "src_id", "dst_id", "DEPENDS_ON")
 
 
@@ -124,6 +131,34 @@ def integration_points(methods: DataFrame) -> DataFrame:
     return http.unionByName(kafka).unionByName(camel)
 
 
+# fixed values: the fields of an analysis that hold the targets of each type
+TARGET_FIELDS = {"HTTP": "urls", "KAFKA": "kafkaTopics", "CAMEL": "camelUris"}
+
+
+def methods_by_target(methods: DataFrame, type_: str, target: str, library: int | None = None) -> DataFrame:
+    """Methods whose analysis names exactly this address, topic or Camel address, in one library or in all."""
+    rows = methods if library is None else methods.where(F.col("library_id") == library)
+    return rows.where(F.coalesce(F.array_contains(F.col(f"analysis.{TARGET_FIELDS[type_]}"), target), F.lit(False)))
+
+
+def parent_clients(methods: DataFrame, library: int) -> DataFrame:
+    """Methods of a library that its analysis marks as the outermost clients."""
+    return methods.where((F.col("library_id") == library) & F.coalesce("analysis.isParentClient", F.lit(False)))
+
+
+def method_summaries(methods: DataFrame) -> DataFrame:
+    """(method_id, library_id, http, kafka, camel, is_parent_client, has_retry, has_timeout, has_circuit_breaker) of every method.
+
+    ``http`` counts addresses times verbs (no verb counts as one); a method without an analysis has none and no flags.
+    """
+    n = lambda f: F.coalesce(F.nullif(F.size(f"analysis.{f}"), F.lit(-1)), F.lit(0))
+    flag = lambda f: F.coalesce(f"analysis.{f}", F.lit(False))
+    return methods.select(
+        "method_id", "library_id", (n("urls") * F.greatest(n("httpMethods"), F.lit(1))).alias("http"), n("kafkaTopics").alias("kafka"), n("camelUris").alias("camel"),
+        flag("isParentClient").alias("is_parent_client"), flag("hasRetry").alias("has_retry"), flag("hasTimeout").alias("has_timeout"), flag("hasCircuitBreaker").alias("has_circuit_breaker"),
+    )
+
+
 def integration_edges(callers: DataFrame, points: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """(src_id, target_fqn, kind) of callers (src_id, method_id) and the points of what they call.
 

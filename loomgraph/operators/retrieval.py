@@ -116,10 +116,20 @@ def expand_query(query: str, matches: DataFrame) -> DataFrame:
     return matches.agg(joined.alias("s")).select(F.when(F.col("s") == "", F.lit(query)).otherwise(F.concat(F.lit(query + " (Контекст: ["), "s", F.lit("])"))).alias("query"))
 
 
+# fixed values: parts of names that are no terms of the business; the least purpose that is worth asking a model about
+TECHNICAL_NAMES = ("DataSource", "Config", "Adapter", "Bean", "Test", "Properties")
+LEAST_PURPOSE = 60
+
+
 def mine_synonyms(candidates: DataFrame, known: DataFrame, stop_terms: tuple[str, ...] = ()) -> DataFrame:
-    """New (term, description, node_name) pairs: five characters or more, no ideographs, not the node's name, distinct and unknown by lower case."""
+    """New (term, description, node_name) pairs of candidates (term, description, node_name, purpose).
+
+    Nodes of technical names and purposes of less than ``LEAST_PURPOSE`` characters are passed over.  A term has five
+    characters or more, no ideographs, is not the node's name, and is distinct and unknown by lower case.
+    """
     t = F.trim("term")
-    good = (F.length(t) >= 5) & (F.length(F.trim("description")) >= 5) & ~t.rlike(r"\p{IsHan}") & (F.lower(t) != F.lower("node_name"))
+    technical = T.any_of([F.contains(F.lower(F.coalesce("node_name", F.lit(""))), F.lit(w.lower())) for w in TECHNICAL_NAMES])
+    good = ~technical & (F.length("purpose") >= LEAST_PURPOSE) & (F.length(t) >= 5) & (F.length(F.trim("description")) >= 5) & ~t.rlike(r"\p{IsHan}") & (F.lower(t) != F.lower("node_name"))
     if stop_terms:
         good = good & ~F.lower(t).isin(*stop_terms)
     fresh = first_rows(candidates.where(good).withColumn("low", F.lower(t)), ["low"], ["term", "description"]).drop("rank")

@@ -1,11 +1,13 @@
 """Queries of linking, the graph between applications and stateful operators, with their SQL."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph import adapters as A
 from loomgraph.operators import crossapp as X
 from loomgraph.operators import linking as L
 from loomgraph.runtime import table
+from loomgraph.schema import TYPE_KINDS
 from loomgraph.streaming import limits as S
 
 
@@ -22,13 +24,48 @@ def prefix_chain(spark, d):
 
 
 def type_resolution(spark, d):
-    """Types that the fields of Kotlin classes name, resolved inside the application."""
-    rows = _nodes(spark, d).where("kind = 'CLASS' and lang = 'kotlin' and source_code is not null")
-    named = F.explode(F.array_distinct(F.regexp_extract_all("source_code", F.lit(r"private val [A-Za-z]+: ([A-Z][A-Za-z]+)"), 1)))
-    wanted = rows.select("application_id", F.col("id").alias("src_id"), "package", F.array().cast("array<string>").alias("imports"), named.alias("type"))
+    """Every type names the next type of its application: by its full name, by an import, or by its simple name alone."""
+    types = _nodes(spark, d).where(F.col("kind").isin(*TYPE_KINDS))
+    after = F.lead("fqn").over(Window.partitionBy("application_id").orderBy("id"))
+    rows = types.select("application_id", F.col("id").alias("src_id"), "package", after.alias("next")).where("next is not null")
+    simple, way = F.substring_index("next", ".", -1), F.col("src_id") % 3
+    wanted = rows.select("application_id", "src_id", "package", F.when(way == 1, F.array("next")).otherwise(F.array().cast("array<string>")).alias("imports"), F.when(way == 0, F.col("next")).otherwise(simple).alias("type"))
     return L.resolve_types(wanted, _nodes(spark, d))
 
 
+def _methods(spark, d):
+    """Functions with what an analysis of their sources would say: addresses, verbs by number, topics and flags."""
+    rows = _nodes(spark, d).where("kind in ('METHOD', 'ENDPOINT', 'CLIENT') and source_code is not null")
+    said = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("source_code", F.lit(p), 1)))
+    none, odd = F.array().cast("array<string>"), F.col("id") % 2 == 1
+    analysis = F.struct(
+        said(r"(/api/v[0-9]+/[a-z]+)").alias("urls"), F.when(odd, F.array(F.lit("GET"), F.lit("POST"))).otherwise(none).alias("httpMethods"), said(r'topic = "([a-z0-9.]+)"').alias("kafkaTopics"), said(r'"(direct:[a-z]+)').alias("camelUris"),
+        (F.col("kind") == "CLIENT").alias("isParentClient"), F.contains("source_code", F.lit("retry")).alias("hasRetry"), F.contains("source_code", F.lit("timeout")).alias("hasTimeout"), F.lit(False).alias("hasCircuitBreaker"),
+    )
+    return rows.select(F.col("id").alias("method_id"), F.col("application_id").alias("library_id"), F.when(F.col("id") % 7 != 0, analysis).alias("analysis"))
+
+
+def integration_by_target(spark, d):
+    """The most named topic and address, and the methods that name them, in all libraries and in the first."""
+    m = _methods(spark, d)
+    out = None
+    for type_, field in (("HTTP", "urls"), ("KAFKA", "kafkaTopics")):
+        each = m.select(F.explode(f"analysis.{field}").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        top = each.agg(F.min_by("t", F.struct(-F.col("n"), "t"))).first()[0] or ""
+        for library in (None, 1):
+            part = L.methods_by_target(m, type_, top, library).select(F.lit(type_).alias("type"), F.lit(top).alias("target"), F.lit(library or 0).alias("library"), "method_id")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def integration_summaries(spark, d):
+    return L.method_summaries(_methods(spark, d))
+
+
+def integration_parents(spark, d):
+    return L.parent_clients(_methods(spark, d), 1).select("method_id")
+
+
 def call_edges(spark, d):
     """Calls inside a type: every called name is looked for in the owner, with its overloads."""
     nodes = _nodes(spark, d)
@@ -98,21 +135,28 @@ def events_after(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (contains_edges, prefix_chain, type_resolution, call_edges, prefix_join, crossapp_integrations, url_endpoint_match, crossapp_edges, rate_fixed_window, rate_sliding_log, run_state_fold, claim_postprocess, events_after)
+    for f in (contains_edges, prefix_chain, type_resolution, integration_by_target, integration_summaries, integration_parents, call_edges, prefix_join, crossapp_integrations, url_endpoint_match, crossapp_edges, rate_fixed_window, rate_sliding_log, run_state_fold, claim_postprocess, events_after)
 }
 
 _N = f"WITH RECURSIVE {A.NODE_SQL}"
 _TYPES = "('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'SERVICE', 'MAPPER', 'EXCEPTION', 'CLIENT', 'CONFIG', 'ENDPOINT')"
 _UP = "CASE WHEN contains({0}, '.') THEN regexp_replace({0}, '\\.[^.]*$', '') END"
+_M = f"""{_N}, z AS (SELECT id, application_id, kind, source_code, list_distinct(regexp_extract_all(source_code, '/api/v[0-9]+/[a-z]+')) AS urls, list_distinct(regexp_extract_all(source_code, 'topic = "([a-z0-9.]+)"', 1)) AS topics, list_distinct(regexp_extract_all(source_code, '"(direct:[a-z]+)', 1)) AS camel FROM n WHERE kind IN ('METHOD', 'ENDPOINT', 'CLIENT') AND source_code IS NOT NULL), m AS (SELECT * FROM z WHERE id % 7 <> 0)"""
 SQL = {
     "contains_edges": f"""{_N}, e AS (SELECT p.id AS src_id, c.id AS dst_id FROM n c JOIN n p ON c.kind = 'PACKAGE' AND p.kind = 'PACKAGE' AND c.application_id = p.application_id AND p.fqn = {_UP.format('c.fqn')}
         UNION SELECT p.id, c.id FROM n c JOIN n p ON c.kind IN {_TYPES} AND p.kind = 'PACKAGE' AND c.application_id = p.application_id AND p.fqn = c.package
         UNION SELECT p.id, c.id FROM n c JOIN n p ON c.kind IN ('METHOD', 'FIELD', 'TEST', 'JOB', 'ENDPOINT') AND p.kind IN {_TYPES} AND c.application_id = p.application_id AND p.fqn = regexp_replace(split_part(c.fqn, '(', 1), '\\.[^.]*$', ''))
         SELECT DISTINCT src_id, dst_id, 'CONTAINS' AS kind FROM e WHERE src_id <> dst_id""",
     "prefix_chain": f"{_N}, p AS (SELECT DISTINCT application_id, string_split(package, '.') AS s FROM n WHERE trim(package) <> ''), e AS (SELECT DISTINCT application_id, array_to_string(s[1:k], '.') AS fqn FROM (SELECT application_id, s, unnest(range(1, len(s) + 1)) AS k FROM p)) SELECT application_id, fqn, regexp_extract(fqn, '[^.]*$') AS name, {_UP.format('fqn')} AS parent_fqn FROM e",
-    "type_resolution": f"""{_N}, w AS (SELECT DISTINCT application_id, id AS src_id, package, unnest(list_distinct(regexp_extract_all(source_code, 'private val [A-Za-z]+: ([A-Z][A-Za-z]+)', 1))) AS type FROM n WHERE kind = 'CLASS' AND lang = 'kotlin' AND source_code IS NOT NULL),
-        t AS (SELECT application_id, fqn, package, id, regexp_extract(fqn, '[^.]*$') AS simple FROM n WHERE kind IN {_TYPES})
-        SELECT src_id, type, CAST(way AS INTEGER) AS way, dst_id FROM (SELECT w.src_id, w.type, t.id AS dst_id, CASE WHEN t.fqn = w.type THEN 1 WHEN t.package = w.package THEN 3 ELSE 4 END AS way, row_number() OVER (PARTITION BY w.src_id, w.type ORDER BY CASE WHEN t.fqn = w.type THEN 1 WHEN t.package = w.package THEN 3 ELSE 4 END, t.fqn, t.id) AS r FROM w JOIN t ON w.application_id = t.application_id AND w.type = t.simple) WHERE r = 1""",
+    "type_resolution": f"""{_N}, t AS (SELECT application_id, id, fqn, package, regexp_extract(fqn, '[^.]*$') AS simple FROM n WHERE kind IN {_TYPES}), z AS (SELECT application_id, id AS src_id, package, lead(fqn) OVER (PARTITION BY application_id ORDER BY id) AS nx FROM t),
+        w AS (SELECT *, regexp_extract(nx, '[^.]*$') AS s, CASE WHEN src_id % 3 = 0 THEN nx ELSE regexp_extract(nx, '[^.]*$') END AS type FROM z WHERE nx IS NOT NULL),
+        h AS (SELECT w.src_id, w.type, t.id AS dst_id, t.fqn, CASE WHEN t.fqn = w.type THEN 1 WHEN w.src_id % 3 = 1 AND t.fqn = w.nx THEN 2 WHEN t.package = w.package THEN 3 WHEN contains(w.type, '.') THEN NULL ELSE 4 END AS way FROM w JOIN t ON w.application_id = t.application_id AND w.s = t.simple)
+        SELECT src_id, type, CAST(way AS INTEGER) AS way, dst_id FROM (SELECT *, row_number() OVER (PARTITION BY src_id, type ORDER BY way, fqn, dst_id) AS r FROM h WHERE way IS NOT NULL) WHERE r = 1""",
+    "integration_by_target": f"""{_M}, e AS (SELECT 'HTTP' AS type, id, application_id, unnest(urls) AS t FROM m UNION ALL SELECT 'KAFKA', id, application_id, unnest(topics) FROM m), c AS (SELECT type, t, count(*) AS c FROM e GROUP BY ALL), top AS (SELECT type, arg_min(t, (-c, t)) AS t FROM c GROUP BY type)
+        SELECT e.type, e.t AS target, CAST(l.l AS INTEGER) AS library, e.id AS method_id FROM e JOIN top USING (type, t), (VALUES (0), (1)) l(l) WHERE l.l = 0 OR e.application_id = 1""",
+    "integration_summaries": f"""{_M} SELECT id AS method_id, application_id AS library_id, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(urls) * CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END END AS INTEGER) AS http, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(topics) END AS INTEGER) AS kafka, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(camel) END AS INTEGER) AS camel,
+        id % 7 <> 0 AND kind = 'CLIENT' AS is_parent_client, id % 7 <> 0 AND contains(source_code, 'retry') AS has_retry, id % 7 <> 0 AND contains(source_code, 'timeout') AS has_timeout, false AS has_circuit_breaker FROM z""",
+    "integration_parents": f"{_M} SELECT id AS method_id FROM m WHERE kind = 'CLIENT' AND application_id = 1",
     "prefix_join": f"{_N}, k AS (SELECT DISTINCT package AS key FROM n WHERE package IS NOT NULL), g AS (SELECT DISTINCT package AS grp FROM n WHERE kind = 'CONFIG' AND package IS NOT NULL) SELECT key, arg_max(grp, length(grp)) AS grp FROM k JOIN g ON key = grp OR starts_with(key, grp || '.') GROUP BY key",
     "crossapp_integrations": f"""{_N}, {A.CONTAINS_SQL}, s AS (SELECT id, application_id, 'infra:kafka:topic:' || name AS target, name AS label FROM n WHERE kind = 'TOPIC'), e AS (SELECT a.application_id, s.target, s.label, c.kind FROM contains c JOIN s ON c.dst_id = s.id JOIN n a ON c.src_id = a.id UNION ALL SELECT a.application_id, s.target, s.label, c.kind FROM contains c JOIN s ON c.src_id = s.id JOIN n a ON c.dst_id = a.id)
         SELECT application_id, target, label, 'KAFKA' AS type, kind, count(*) AS n FROM e GROUP BY ALL""",

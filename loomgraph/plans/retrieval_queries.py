@@ -11,6 +11,7 @@ from loomgraph.operators import retrieval as V
 from loomgraph.operators.relational import judge_summary
 from loomgraph.functions import text as T
 from loomgraph.functions.vector import cosine
+from loomgraph.plans.text_queries import SQL as T_SQL
 from loomgraph.runtime import table
 
 QUESTION = "queue index"
@@ -34,7 +35,7 @@ def knn_cosine(spark, d):
 
 def knn_scoped_threshold(spark, d):
     c = _chunks(spark, d)
-    return V.knn(c, _vector(c), 20, application=1).select("id", F.round("similarity", 6).alias("similarity"))
+    return V.knn(c, _vector(c), 20, application=1, threshold=0.01).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 def fts_conjunctive(spark, d):
@@ -73,7 +74,7 @@ def synonym_mining(spark, d):
     """Pairs from documents' digests that the dictionary does not know."""
     nodes = A.nodes(spark, d).select(F.col("id").alias("node_id"), F.col("name").alias("node_name"))
     docs = table(spark, d, "node_doc").dropDuplicates(["node_id", "locale"]).join(nodes, "node_id")
-    pairs = docs.select("node_name", F.regexp_extract("doc_digest", r"uses=(\w+)", 1).alias("term"), F.substring("doc_public", 1, 60).alias("description"))
+    pairs = docs.select("node_name", F.regexp_extract("doc_digest", r"uses=(\w+)", 1).alias("term"), F.col("doc_public").alias("description"), F.col("doc_tech").alias("purpose"))
     return V.mine_synonyms(pairs, table(spark, d, "synonym_dictionary"), ("password",)).select(F.lower("term").alias("term"))
 
 
@@ -93,8 +94,9 @@ def final_scores(spark, d):
     docs = table(spark, d, "node_doc").dropDuplicates(["node_id", "locale"])
     nodes = A.nodes(spark, d).select(F.col("id").alias("node_id"), "source_code")
     rows = docs.join(nodes, "node_id").join(sem, "node_id", "left")
+    judge = F.when(F.col("node_id") % 2 == 0, (F.col("node_id") % 11).cast("double"))  # every other document was judged
     semantic = F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(0.0)) * 10
-    return rows.select("node_id", "locale", T.final_score(T.coverage(F.col("source_code"), F.col("doc_tech")), T.readability(F.col("doc_public")), semantic, F.lit(None).cast("double")).alias("score"))
+    return rows.select("node_id", "locale", T.final_score(T.coverage(F.col("source_code"), F.col("doc_tech")), T.readability(F.col("doc_public")), semantic, judge).alias("score"))
 
 
 def context_assembly(spark, d):
@@ -160,18 +162,28 @@ _C = f"WITH c AS (SELECT DISTINCT id, application_id, content, CASE WHEN {_OK.fo
 _FT = "SELECT id, len(list_filter(t, lambda x: x IN ('queue', 'index')))::double / len(t) AS score FROM tk WHERE list_contains(t, 'queue') AND list_contains(t, 'index')"
 SQL = {
     "knn_cosine": f"{_C} SELECT id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.01 ORDER BY sim DESC, id LIMIT 20",
-    "knn_scoped_threshold": f"{_C} SELECT id, round(sim, 6) AS similarity FROM s WHERE application_id = 1 AND sim >= 0.3 ORDER BY sim DESC, id LIMIT 20",
+    "knn_scoped_threshold": f"{_C} SELECT id, round(sim, 6) AS similarity FROM s WHERE application_id = 1 AND sim >= 0.01 ORDER BY sim DESC, id LIMIT 20",
     "fts_conjunctive": f"{_C} SELECT id, round(score, 6) AS score FROM ({_FT}) ORDER BY score DESC, id LIMIT 50",
     "hybrid_rrf": f"""{_C}, a AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM (SELECT id, sim FROM s WHERE sim >= 0.01 ORDER BY sim DESC, id LIMIT 20)), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT * FROM ({_FT}) ORDER BY score DESC, id LIMIT 20))
         SELECT id, round(sum(p), 9) AS score FROM (SELECT id, 0.6::double / (60 + r) AS p FROM a UNION ALL SELECT id, 0.4::double / (60 + r) FROM b) GROUP BY id ORDER BY sum(p) DESC, id LIMIT 10""",
     "keyword_filter_two_stage": r"SELECT DISTINCT id FROM chunk WHERE regexp_matches(content, '(?i)(^|[^\p{L}\p{N}_])(queue|depot)($|[^\p{L}\p{N}_])')",
     "synonym_dual_threshold": f"""WITH n AS (SELECT DISTINCT id, term, CASE WHEN {_OK.format('term_embedding')} THEN CAST(term_embedding AS DOUBLE[]) END AS t, CASE WHEN {_OK.format('desc_embedding')} THEN CAST(desc_embedding AS DOUBLE[]) END AS v FROM synonym_dictionary),
         q AS (SELECT t AS q FROM n WHERE t IS NOT NULL ORDER BY id LIMIT 1), top AS (SELECT * FROM n WHERE t IS NOT NULL ORDER BY list_cosine_similarity(t, (SELECT q FROM q)) DESC, id LIMIT 50) SELECT id, term, round(list_cosine_similarity(v, (SELECT q FROM q)), 6) AS similarity FROM top WHERE list_cosine_similarity(v, (SELECT q FROM q)) >= 0.05""",
-    "synonym_mining": r"""WITH p AS (SELECT DISTINCT n.name AS node_name, regexp_extract(d.doc_digest, 'uses=(\w+)', 1) AS term, substr(d.doc_public, 1, 60) AS description FROM (SELECT DISTINCT node_id, locale, doc_digest, doc_public FROM node_doc) d JOIN (SELECT DISTINCT id, name FROM node) n ON d.node_id = n.id)
-        SELECT DISTINCT lower(term) AS term FROM p WHERE length(term) >= 5 AND length(trim(description)) >= 5 AND lower(term) <> lower(node_name) AND lower(term) <> 'password' AND lower(term) NOT IN (SELECT lower(trim(term)) FROM synonym_dictionary WHERE term IS NOT NULL)""",
+    "synonym_mining": r"""WITH p AS (SELECT DISTINCT n.name AS node_name, regexp_extract(d.doc_digest, 'uses=(\w+)', 1) AS term, d.doc_public AS description, d.doc_tech AS purpose FROM (SELECT DISTINCT node_id, locale, doc_digest, doc_public, doc_tech FROM node_doc) d JOIN (SELECT DISTINCT id, name FROM node) n ON d.node_id = n.id)
+        SELECT DISTINCT lower(term) AS term FROM p WHERE NOT regexp_matches(lower(coalesce(node_name, '')), 'datasource|config|adapter|bean|test|properties') AND length(purpose) >= 60 AND length(term) >= 5 AND length(trim(description)) >= 5 AND lower(term) <> lower(node_name) AND lower(term) <> 'password' AND lower(term) NOT IN (SELECT lower(trim(term)) FROM synonym_dictionary WHERE term IS NOT NULL)""",
     "exact_node_search": "SELECT id, fqn, 2 AS how FROM (SELECT DISTINCT id, fqn FROM node) WHERE contains(lower(fqn), 'order') ORDER BY fqn, id LIMIT 3",
     "context_assembly": """WITH d AS (SELECT DISTINCT node_id, doc_tech FROM node_doc WHERE locale = 'en'), n AS (SELECT DISTINCT id, source_code FROM node), p AS (SELECT id AS query_id, 1 AS position, '## Code' || chr(10) || substr(source_code, 1, 1500) AS t FROM n WHERE id IN (SELECT node_id FROM d) AND trim(source_code) <> ''
         UNION ALL SELECT node_id, 2, '## Documentation' || chr(10) || substr(doc_tech, 1, 3000) FROM d WHERE trim(doc_tech) <> ''), c AS (SELECT query_id, substr(string_agg(t, chr(10) || chr(10) ORDER BY position), 1, 12000) AS context FROM p GROUP BY query_id) SELECT query_id, CAST(length(context) AS INTEGER) AS chars, md5(context) AS hash FROM c""",
+    "final_scores": f"""WITH y AS (SELECT source_node_id AS node_id, max(list_cosine_similarity(CAST(term_embedding AS DOUBLE[]), CAST(desc_embedding AS DOUBLE[]))) AS c FROM synonym_dictionary WHERE {_OK.format('term_embedding')} AND {_OK.format('desc_embedding')} GROUP BY 1),
+        cov AS ({T_SQL['doc_coverage'].replace('round(len', '(len').replace('/ len(keys), 6)', '/ len(keys))')}), rd AS ({T_SQL['doc_readability'].replace('round(least', '(least').replace('/ 10, 4)', '/ 10)')}),
+        a AS (SELECT cov.node_id, cov.locale, coverage AS v, coalesce(readability, 5.0) AS r, greatest(coalesce(c, 0), 0) * 10 AS s FROM cov LEFT JOIN rd ON cov.node_id = rd.node_id AND cov.locale = rd.locale LEFT JOIN y ON cov.node_id = y.node_id)
+        SELECT node_id, locale, round(CASE WHEN node_id % 2 = 0 THEN 0.15::double * s + 0.15::double * v + 0.1::double * r + 0.6::double * (node_id % 11) ELSE (v + r + s) / 3 END, 2) AS score FROM a""",
+    "intent_class": r"""WITH m AS (SELECT DISTINCT content AS c, lower(content) AS l FROM spring_ai_chat_memory WHERE content IS NOT NULL), f AS (SELECT *, len(regexp_extract_all(c, 'at\s+[\w.$]+\.\w+\([^)]*:\d+\)')) AS f, regexp_matches(c, '[\w.]+Exception\s*:') OR contains(c, 'Caused by:') AS h FROM m)
+        SELECT md5(c) AS message, CASE WHEN f >= 2 OR (f = 1 AND h) THEN 'STACKTRACE' WHEN regexp_matches(l, 'архитектур|как устроен|обзор систем|какие слои|интеграци|технологи|структура проект|из чего состоит|architecture|overview|layers|system design') THEN 'ARCHITECTURE'
+        WHEN regexp_matches(c, '[A-Z][a-z]+[A-Z]') OR regexp_matches(c, '(?i)(^|[^\p{L}\p{N}_])(класс|class|метод|method|функция|function)\s+[A-Za-z_]') THEN 'EXACT' ELSE 'DEFAULT' END AS intent,
+        CASE WHEN regexp_matches(l, 'авториз|безопасност|security|auth|доступ|права') THEN 'SECURITY' WHEN regexp_matches(l, 'интеграц|внешни|integration|клиент|client|http|kafka|rabbit') THEN 'INTEGRATION' WHEN regexp_matches(l, 'данн|модел|табли|data|model|table|бд|database|хранени') THEN 'DATA' ELSE 'GENERAL' END AS topic,
+        nullif(regexp_extract(c, '(?i)(?:класс|class)\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') AS class_name,
+        coalesce(nullif(regexp_extract(c, '(?i)метод\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(c, '(?i)method\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(c, '(?i)функция\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(c, '(?i)function\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '')) AS method_name FROM f""",
     "stacktrace_root": "SELECT 1 AS trace_id, 'java.lang.IllegalStateException' AS exception, 'java.lang.NullPointerException' AS cause, 'com.acme.UserService' AS owner, 'getUser' AS method, 42 AS line",
     "stacktrace_frames": """SELECT 1 AS trace_id, * FROM (VALUES (0, 'com.acme.Api', 'call', 'Api.kt', 10, true), (1, 'org.springframework.web.X', 'run', 'X.java', 5, false), (2, 'java.util.List', 'get', 'List.java', 1, false), (3, 'com.acme.UserService', 'getUser', 'UserService.kt', 42, true), (4, 'com.acme.Main', 'main', 'Main.kt', 7, true)) t(at, owner, method, file, line, is_app)""".replace("t(at,", 't("at",'),
     "function_kind_refine": """WITH a AS (SELECT DISTINCT id, list_transform(regexp_extract_all(source_code, '@[A-Za-z]+'), lambda x: lower(x[2:])) AS a FROM node WHERE kind IN ('METHOD', 'ENDPOINT', 'JOB', 'TEST') AND source_code IS NOT NULL)

@@ -184,7 +184,7 @@ SQL = {
         n.parent_id IS NULL OR (n.parent_id <> n.id AND coalesce(p.application_id = n.application_id, false)) AS good_parent FROM n LEFT JOIN n p ON n.parent_id = p.id""",
     "env_placeholders": r"""SELECT DISTINCT id, p AS placeholder, nullif(trim(regexp_extract(p, '\$\{([^}:]+)(:([^}]*))?\}', 1)), '') AS env_var, CASE WHEN trim(regexp_extract(p, '\$\{([^}:]+)(:([^}]*))?\}', 3)) <> '' THEN regexp_extract(p, '\$\{([^}:]+)(:([^}]*))?\}', 3) END AS default_value
         FROM (SELECT id, unnest(regexp_extract_all(source_code, '\$\{[^}:]+(?::[^}]*)?\}')) AS p FROM node WHERE kind = 'CONFIG')""",
-    "doc_coverage": f"""WITH k AS (SELECT d.node_id, d.locale, n.source_code AS code, d.doc_tech AS doc, list_distinct(list_filter(regexp_extract_all(n.source_code, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'), lambda w: length(w) > 3 AND w NOT IN ('return', 'class', 'override', 'private', 'public', 'import', 'package', 'else', 'when', 'while', 'catch', 'finally'))) AS keys
+    "doc_coverage": f"""WITH k AS (SELECT d.node_id, d.locale, n.source_code AS code, d.doc_tech AS doc, list_distinct(list_filter(regexp_extract_all(n.source_code, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND length(w) > 3 AND w NOT IN ('return', 'class', 'override', 'private', 'public', 'import', 'package', 'else', 'when', 'while', 'catch', 'finally'))) AS keys
         FROM (SELECT DISTINCT node_id, locale, doc_tech FROM node_doc) d JOIN (SELECT DISTINCT id, source_code FROM node) n ON d.node_id = n.id)
         SELECT node_id, locale, CASE WHEN coalesce(trim(code), '') = '' OR coalesce(trim(doc), '') = '' THEN 0.0::double WHEN len(keys) = 0 THEN 10.0::double ELSE round(len(list_filter(keys, lambda w: contains(lower(doc), lower(w)))) * 10.0::double / len(keys), 6) END AS coverage FROM k""",
     "call_extraction": r"""WITH z AS (SELECT ['listOf', 'map', 'of', 'timer', 'start', 'stop', 'sequenceOf', 'arrayOf', 'mutableListOf'] AS noise) SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(source_code, '\b(\w+)\s*\(', 1), lambda c: NOT list_contains(noise, c)))), ',') AS calls,
