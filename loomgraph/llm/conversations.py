@@ -1,11 +1,14 @@
 """Rebuilding conversations from message rows.
 
-Method: a conversation may be of any length, so it is cut into fragments: the row ranges of one global range
-partitioning by (conversation, time, sequence).  Each fragment also carries the last message of the fragment before it,
-so that fragments overlap.  Per fragment the repeats are removed and its turns are summed up (first and last speaker,
-strict alternation, blanks).  The overlap graph joins each fragment whose prefix hash equals another's suffix hash; a
-hash covers order, role and content of a message, so a path is unambiguous.  Along a path the sums are merged; a fragment
-without its predecessor is a gap and drops the conversation.
+Method: conversations come as export fragments that overlap: each begins with the message the one before it ends with.
+Per fragment the repeats are removed and its turns are summed up (first and last speaker, strict alternation, blanks).
+The overlap graph joins a fragment whose first message's hash is the hash of another one's last message; a hash covers
+time, sequence, role and content, so a message is one within its conversation and a path is unambiguous.  Pointer doubling
+along the edges merges the sums of a path and gives each fragment its place; nothing but the matches orders the
+fragments.  A conversation whose fragments form no single path has a gap (or an ambiguity) and is dropped.
+
+The rows at hand are no export yet, so ``export`` cuts them into fragments: the ranges of one global range partitioning,
+whose bounds fall anywhere, inside long conversations too, so that no conversation has to lie in one task.
 """
 
 from __future__ import annotations
@@ -43,31 +46,98 @@ def messages(rows: DataFrame, keep_content: bool = False) -> DataFrame:
         blank(F.col("content")).alias("blank"),
         *([F.col("content")] if keep_content else []),
     )
-    return slim.dropDuplicates(["conv", "ts", "seq", "role", "hash", "blank"])
+    return slim.dropDuplicates(["conv", *_ORDER, "blank"])
 
 
 _ORDER = ["ts", "seq", "role", "hash"]
+_SUMS = ["first", "last", "turns", "rows", "broken"]
 
 
-def fragments(msgs: DataFrame, pieces: int | None = None) -> DataFrame:
-    """Messages with ``frag``, their fragment's number; fragments of a conversation follow its order.
+def export(msgs: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Messages as fragments (conv, fragment, ...), in which each fragment but a conversation's first begins with a copy of the message before it.
 
-    The bounds of the ranges come from a sample, so the assignment is written down once before it is used in several places.
+    The bounds of the ranges come from a sample, so the assignment is written down once before it is used in several
+    places.  ``fragment`` is a mere name: it tells nothing about the order.
     """
     n = pieces or partitions(msgs.sparkSession)
-    return cut(msgs.repartitionByRange(n, "conv", *_ORDER).withColumn("frag", F.spark_partition_id()))
+    cutted = cut(msgs.repartitionByRange(n, "conv", *_ORDER).withColumn("range", F.spark_partition_id()))
+    named = F.xxhash64("conv", "range").alias("fragment")
+    last = cutted.groupBy("conv", "range").agg(F.max(F.struct(*_ORDER, "blank")).alias("m"))
+    after = last.withColumn("range", F.lead("range").over(Window.partitionBy("conv").orderBy("range"))).where("range is not null")
+    copies = after.select("conv", named, *[F.col(f"m.{c}") for c in [*_ORDER, "blank"]])
+    return cutted.select("conv", named, *[c for c in cutted.columns if c not in ("conv", "range")]).unionByName(copies, allowMissingColumns=True)
 
 
-def _with_overlap(msgs: DataFrame) -> DataFrame:
-    """Each fragment with the last message of the one before it in front (``lead`` true); ``head`` and ``tail`` hashes."""
-    key = F.struct(*_ORDER)
-    name = F.md5(F.to_json(key))
-    tails = msgs.groupBy("conv", "frag").agg(F.max(key).alias("last"), F.count(F.lit(1)).alias("n"))
-    by_conv = Window.partitionBy("conv").orderBy("frag")
-    leads = tails.withColumn("before", F.lag("last").over(by_conv)).where(F.col("before").isNotNull())
-    carried = leads.select("conv", "frag", F.col("before.ts").alias("ts"), F.col("before.seq").alias("seq"), F.col("before.role").alias("role"), F.col("before.hash").alias("hash"), F.lit(False).alias("blank"), F.lit(True).alias("lead"))
-    own = msgs.select("conv", "frag", *_ORDER, "blank", F.lit(False).alias("lead"))
-    return own.unionByName(carried).withColumn("name", name)
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the fragment (``at``, from 1) and whether they repeat the row before (``again``)."""
+    w = Window.partitionBy("conv", "fragment").orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER])
+    again = F.coalesce((F.lag("role").over(w) == F.col("role")) & (F.lag("hash").over(w) == F.col("hash")), F.lit(False))
+    return rows.withColumn("at", F.row_number().over(w)).withColumn("again", again)
+
+
+def _summaries(fragments: DataFrame) -> DataFrame:
+    """(conv, fragment, head, tail, and the sums of the first message and of the rest) of each fragment."""
+    w = Window.partitionBy("conv", "fragment").orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER])
+    turn = ~F.col("again") & F.col("role").isin("USER", "ASSISTANT")
+    spoken, rest = F.when(turn, F.col("role")), turn & (F.col("at") > 1)
+    marked = _numbered(fragments).withColumn("spoken", spoken).withColumn("prior", F.last("spoken", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    name = F.md5(F.to_json(F.struct(*_ORDER)))
+    said = F.when(rest, F.col("at"))
+    return marked.groupBy("conv", "fragment").agg(
+        F.min_by(name, "at").alias("head"),
+        F.max_by(name, "at").alias("tail"),
+        F.max(F.when(F.col("at") == 1, F.col("spoken"))).alias("head_role"),
+        F.coalesce(F.bool_or((F.col("at") == 1) & turn & F.col("blank")), F.lit(False)).alias("head_blank"),
+        F.min_by("spoken", said).alias("first"),
+        F.max_by("spoken", said).alias("last"),
+        F.count(F.when(rest, 1)).alias("turns"),
+        F.count(F.when((F.col("at") > 1) & ~F.col("again"), 1)).alias("rows"),
+        F.coalesce(F.bool_or(rest & (F.col("blank") | (F.col("prior") == F.col("spoken")))), F.lit(False)).alias("broken"),
+    )
+
+
+def _then(a: str, b: str) -> list[Column]:
+    """Sums of one stretch and the one behind it."""
+    x, y = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
+    clash = F.coalesce(x("last") == y("first"), F.lit(False))
+    return [F.coalesce(x("first"), y("first")).alias("first"), F.coalesce(y("last"), x("last")).alias("last"), (x("turns") + y("turns")).alias("turns"), (x("rows") + y("rows")).alias("rows"), (x("broken") | y("broken") | clash).alias("broken")]
+
+
+def assemble(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((conv, fragment, before, starts), (conv, kept, turns)) of overlapping fragments, whatever they are called.
+
+    ``before`` counts the rows of the conversation before the fragment's own ones, ``starts`` tells the first fragment.
+    """
+    sums = cut(_summaries(fragments))
+    # an edge where a suffix hash is a prefix hash
+    tails = sums.select("conv", F.col("tail").alias("head"), F.col("fragment").alias("prev"))
+    found = sums.join(tails, ["conv", "head"]).where("prev <> fragment")
+    edges = found.groupBy("conv", "fragment").agg(F.min("prev").alias("prev"), F.count(F.lit(1)).alias("ways"))
+    nexts = found.groupBy("conv", F.col("prev").alias("fragment")).agg(F.count(F.lit(1)).alias("next"))
+    linked = sums.join(edges, ["conv", "fragment"], "left").join(nexts, ["conv", "fragment"], "left")
+    # the first fragment's first message counts; elsewhere it is the copy of the one before
+    opening = F.struct(F.col("head_role").alias("first"), F.col("head_role").alias("last"), F.when(F.col("head_role").isNotNull(), 1).otherwise(0).alias("turns"), F.lit(1).alias("rows"), F.col("head_blank").alias("broken"))
+    nothing = F.struct(F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("turns"), F.lit(0).alias("rows"), F.lit(False).alias("broken"))
+    start = linked.withColumn("h", F.when(F.col("prev").isNull(), opening).otherwise(nothing)).withColumn("r", F.struct(*_SUMS))
+    walk = start.select("conv", "fragment", "prev", F.coalesce("ways", F.lit(0)).alias("ways"), F.coalesce("next", F.lit(0)).alias("next"), F.col("prev").isNull().alias("starts"), F.col("rows").alias("own"), *_then("h.", "r."))
+    going = cut(walk.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv"))))
+    alone, going = going.where("n = 1"), going.where("n > 1")
+    left, before = going.where("prev is not null").count(), None
+    while left and left != before:
+        far = going.select("conv", F.col("fragment").alias("prev"), F.col("prev").alias("prev2"), F.struct(*_SUMS).alias("a"))
+        longer = going.withColumn("b", F.struct(*_SUMS)).drop(*_SUMS).where("prev is not null").join(far, ["conv", "prev"])
+        moved = longer.select("conv", "fragment", F.col("prev2").alias("prev"), "ways", "next", "starts", "own", "n", *_then("a.", "b."))
+        going = cut(going.where("prev is null").unionByName(moved))
+        before, left = left, going.where("prev is not null").count()
+    # a single path: one start, no fork, every fragment reached from the start
+    whole = going.groupBy("conv").agg(
+        ((F.sum(F.col("starts").cast("int")) == 1) & (F.max("ways") <= 1) & (F.count("prev") == 0) & (F.max("next") <= 1)).alias("path"),
+        F.max_by(F.struct(*_SUMS), "rows").alias("s"),
+    )
+    kept = lambda first, last, broken: ~broken & F.coalesce((first == "USER") & (last == "ASSISTANT"), F.lit(False))
+    verdict = alone.select("conv", kept(F.col("first"), F.col("last"), F.col("broken")).alias("kept"), "turns").unionByName(whole.select("conv", (F.col("path") & kept(F.col("s.first"), F.col("s.last"), F.col("s.broken"))).alias("kept"), F.col("s.turns").alias("turns")))
+    places = alone.unionByName(going).select("conv", "fragment", (F.col("rows") - F.col("own")).alias("before"), "starts")
+    return places, verdict
 
 
 def verdicts(rows: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -76,47 +146,7 @@ def verdicts(rows: DataFrame, pieces: int | None = None) -> DataFrame:
     Rows are ordered by time, then ``metadata.seq`` (rows without either come first), then role and content hash, which
     makes ties definite.  A row with the role and content of the row just before it counts once.
     """
-    msgs = _with_overlap(fragments(messages(rows), pieces))
-    w = Window.partitionBy("conv", "frag").orderBy(F.col("lead").desc(), *[F.col(c).asc_nulls_first() for c in _ORDER])
-    marked = msgs.withColumn("again", (F.lag("role").over(w) == F.col("role")) & (F.lag("hash").over(w) == F.col("hash")))
-    marked = marked.withColumn("turn", ~F.col("lead") & ~F.coalesce("again", F.lit(False)) & F.col("role").isin("USER", "ASSISTANT"))
-    spoken = F.when(F.col("turn"), F.col("role"))
-    # the speaker of the last turn before this row inside the fragment
-    prior = F.last(spoken, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    order = F.struct("lead", *_ORDER)
-    summed = (
-        marked.withColumn("prior", prior)
-        .groupBy("conv", "frag")
-        .agg(
-            F.min(F.when(F.col("lead"), F.col("name"))).alias("head"),
-            F.max_by(F.col("name"), F.when(~F.col("lead"), order)).alias("tail"),
-            F.min_by(spoken, F.when(F.col("turn"), order)).alias("first"),
-            F.max_by(spoken, F.when(F.col("turn"), order)).alias("last"),
-            F.count(F.when(F.col("turn"), 1)).alias("turns"),
-            F.coalesce(F.bool_or(F.col("turn") & (F.col("prior") == F.col("role"))), F.lit(False)).alias("clash"),
-            F.coalesce(F.bool_or(F.col("turn") & F.col("blank")), F.lit(False)).alias("empty"),
-        )
-    )
-    # overlap graph: an edge where a suffix hash is a prefix hash; heads and tails are unique within a conversation
-    suffix = summed.select("conv", F.col("tail").alias("head"), F.lit(True).alias("linked")).distinct()
-    paths = summed.join(suffix, ["conv", "head"], "left")
-    by_conv = Window.partitionBy("conv").orderBy("frag")
-    said = F.last("last", ignorenulls=True).over(by_conv.rowsBetween(Window.unboundedPreceding, -1))
-    merged = paths.withColumn("said", said).withColumn("gap", F.col("head").isNotNull() & F.col("linked").isNull())
-    return (
-        merged.groupBy("conv")
-        .agg(
-            F.sum("turns").alias("turns"),
-            F.bool_or(F.col("clash") | F.col("empty") | F.col("gap") | F.coalesce(F.col("said") == F.col("first"), F.lit(False))).alias("broken"),
-            F.min_by("first", F.when(F.col("first").isNotNull(), F.col("frag"))).alias("begins"),
-            F.max_by("last", F.when(F.col("last").isNotNull(), F.col("frag"))).alias("ends"),
-        )
-        .select(
-            F.col("conv").alias("conversation_id"),
-            (~F.col("broken") & F.coalesce((F.col("begins") == "USER") & (F.col("ends") == "ASSISTANT"), F.lit(False))).alias("kept"),
-            "turns",
-        )
-    )
+    return assemble(export(messages(rows), pieces))[1].withColumnRenamed("conv", "conversation_id")
 
 
 def dropped(rows: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -126,17 +156,11 @@ def dropped(rows: DataFrame, pieces: int | None = None) -> DataFrame:
 
 def turns(rows: DataFrame, pieces: int | None = None) -> DataFrame:
     """Kept conversations as (conversation_id, position, role, content), repeats removed, all roles."""
-    kept = verdicts(rows, pieces).where("kept").select(F.col("conversation_id").alias("conv"))
-    # the content is fetched by its message, never ordered or ranked with it
-    full = messages(rows, keep_content=True).join(kept, "conv", "left_semi")
-    slim = _with_overlap(fragments(full.drop("content"), pieces))
-    w = Window.partitionBy("conv", "frag").orderBy(F.col("lead").desc(), *[F.col(c).asc_nulls_first() for c in _ORDER])
-    again = F.coalesce((F.lag("role").over(w) == F.col("role")) & (F.lag("hash").over(w) == F.col("hash")), F.lit(False))
-    first = slim.withColumn("again", again).where(~F.col("lead") & ~F.col("again"))
-    counts = first.groupBy("conv", "frag").agg(F.count(F.lit(1)).alias("n"))
-    by_conv = Window.partitionBy("conv").orderBy("frag").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(by_conv), F.lit(0))).drop("n")
-    inside = Window.partitionBy("conv", "frag").orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER])
-    placed = first.withColumn("at", F.row_number().over(inside)).join(offsets, ["conv", "frag"]).withColumn("position", (F.col("offset") + F.col("at")).cast("int"))
-    same = (F.col("p.conv") == F.col("m.conv")) & F.col("p.ts").eqNullSafe(F.col("m.ts")) & F.col("p.seq").eqNullSafe(F.col("m.seq")) & (F.col("p.role") == F.col("m.role")) & (F.col("p.hash") == F.col("m.hash"))
-    return placed.alias("p").join(full.alias("m"), same).select(F.col("p.conv").alias("conversation_id"), "position", F.col("p.role").alias("role"), F.col("m.content").alias("content"))
+    fragments = export(messages(rows, keep_content=True), pieces)
+    places, verdict = assemble(fragments.drop("content"))
+    good = places.join(verdict.where("kept").select("conv"), "conv", "left_semi")
+    own = _numbered(fragments).where(~F.col("again")).join(good, ["conv", "fragment"]).where("starts or at > 1")
+    inside = F.row_number().over(Window.partitionBy("conv", "fragment").orderBy("at"))
+    # the first message of the start is among what ``before`` counts
+    position = F.when(F.col("starts"), inside).otherwise(F.col("before") + inside).cast("int")
+    return own.select(F.col("conv").alias("conversation_id"), position.alias("position"), "role", "content")

@@ -42,3 +42,19 @@ def test_hot_conversation_over_many_fragments(spark):
 
 def test_empty(spark):
     assert C.dropped(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_order_and_gaps_come_from_the_matches(spark):
+    long = [("USER" if i % 2 == 0 else "AI", f"text {i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows("hot", long) + rows("x", CASES["good"][0]), SCHEMA)
+    parts = C.cut(C.export(C.messages(df), 9))
+    names = sorted(r.fragment for r in parts.where("conv = 'hot'").select("fragment").distinct().collect())
+    assert len(names) > 5
+
+    def kept(fragments):
+        return {r.conv for r in C.assemble(fragments)[1].where("kept").collect()}
+
+    assert kept(parts) == {"hot", "x"}
+    assert kept(parts.withColumn("fragment", F.xxhash64(F.lit(7), "fragment"))) == {"hot", "x"}
+    inner = C.assemble(parts)[0].where("conv = 'hot' and not starts").orderBy("before").first().fragment
+    assert kept(parts.where(F.col("fragment") != inner)) == {"x"}
