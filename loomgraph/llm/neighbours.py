@@ -8,6 +8,11 @@ yet seldom in every substring, so the number of indexes is chosen from the angle
 escapes with probability ``MISS``.  Candidates are screened by the Hamming distance of their first code inside the join
 and then reranked with the float vectors.
 
+The planes of the codes go through the origin or through the mean of the sample, whichever makes the join cheaper as
+estimated on the sample: vectors that all point one way fall on one side of every plane through the origin.  The length of
+a substring is chosen for the least cost as well.  Slots that hold many rows all the same are split: their rows are coded
+by further rotations, and within the slot again only equal substrings meet.
+
 Vectors that are null, all zero, of another dimension or hold a null, NaN or infinite element take no part.  Equal
 vectors are indexed once and expanded afterwards.  Every row is indexed; only the rotations come from the sample.
 """
@@ -23,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut, partitions
 
 DIM = 64
 SAMPLE = 20_000
 MISS = 1e-3
 SCREEN_SIGMAS = 4.5
 QUERY_BLOCK = 8192
+HOT = 2048
 
 
 def usable(rows: DataFrame, id_col: str, columns: dict[str, str], dim: int = DIM) -> DataFrame:
@@ -43,17 +49,14 @@ def usable(rows: DataFrame, id_col: str, columns: dict[str, str], dim: int = DIM
     return out.where((F.size("vec") == dim) & finite & some & F.col("id").isNotNull())
 
 
-def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20) -> np.ndarray:
-    """dim x 64*count matrix of ``count`` rotations, each learned from another random start.
-
-    The vectors are not centred: a bit is the side of a plane through the origin, which only the angle decides.
-    """
+def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20, seed: int = 977) -> np.ndarray:
+    """dim x 64*count matrix of ``count`` rotations, each learned from another random start."""
     dim = sample.shape[1]
     axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1] if len(sample) > 1 else np.eye(dim)
     projected = sample @ axes
     out = []
     for k in range(count):
-        turn = np.linalg.qr(np.random.default_rng(977 + k).standard_normal((dim, dim)))[0]
+        turn = np.linalg.qr(np.random.default_rng(seed + k).standard_normal((dim, dim)))[0]
         for _ in range(rounds if len(sample) > dim else 0):
             left, _, right = np.linalg.svd(np.sign(projected @ turn).T @ projected)
             turn = (left @ right).T
@@ -61,16 +64,56 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = 20) -> np.ndar
     return np.hstack(out).astype(np.float32)
 
 
-def plan(rows: int, cosine: float, miss: float = MISS) -> tuple[int, int, int, int]:
-    """(bits of a substring, number of indexes, rotations of 64 bits, Hamming radius of the screen)."""
-    differ = math.acos(min(1.0, cosine)) / math.pi
-    bits = max(12, min(30, math.ceil(math.log2(max(rows, 2)))))
-    hit = (1 - differ) ** bits
-    indexes = max(1, math.ceil(math.log(miss) / math.log(1 - hit))) if hit < 1 else 1
+def differing(cosine: float, norm: float = 1.0) -> float:
+    """Share of bits in which vectors at this cosine differ, if their lengths from the centre are ``norm``."""
+    apart = math.sqrt(max(0.0, 2 - 2 * min(1.0, cosine)))
+    return min(0.5, 2 * math.asin(min(1.0, apart / (2 * norm))) / math.pi)
+
+
+def plan(rows: int, differ: float, miss: float = MISS) -> tuple[int, int, int, int]:
+    """(bits of a substring, number of indexes, rotations of 64 bits, Hamming radius of the screen) at the least cost.
+
+    A row costs one entry in every index and the rows that chance puts beside it; of equal costs the longer substring.
+    """
+    best = None
+    for bits in range(12, max(13, min(30, math.ceil(math.log2(max(rows, 2)))) + 1)):
+        hit = (1 - differ) ** bits
+        indexes = max(1, math.ceil(math.log(miss) / math.log1p(-hit))) if hit < 1 else 1
+        cost = indexes * (4 + rows / 2**bits)
+        if best is None or cost <= best[0]:
+            best = cost, bits, indexes
+    _, bits, indexes = best
     radius = math.ceil(64 * differ + SCREEN_SIGMAS * math.sqrt(64 * differ * (1 - differ)))
     return bits, indexes, math.ceil(bits * indexes / 64), radius
 
 
+def centre(sample: np.ndarray, rows: int, cosine: float) -> tuple[np.ndarray, float]:
+    """(centre of the planes, share of bits that differ at the cosine): the origin or the sample's mean, by estimated cost.
+
+    The cost counts how often two vectors of the sample share a substring.  Around the mean the shortest twentieth of the
+    lengths decides how far apart a pair may look.
+    """
+    dim = sample.shape[1]
+    options = [(np.zeros(dim), differing(cosine))]
+    if len(sample) > dim:
+        mean = sample.mean(axis=0)
+        norm = float(np.quantile(np.linalg.norm(sample - mean, axis=1), 0.05))
+        if norm > 0:
+            options.append((mean, differing(cosine, norm)))
+    best = None
+    for middle, differ in options:
+        bits, indexes, _, _ = plan(rows, differ)
+        signs = (sample - middle) @ learn_rotations(sample - middle, 1) > 0 if len(sample) else np.zeros((0, 64), bool)
+        shared = []
+        for lo in range(0, 64 - bits + 1, bits):
+            counts = np.unique(signs[:, lo : lo + bits] @ (1 << np.arange(bits)), return_counts=True)[1]
+            shared.append(float((counts * (counts - 1)).sum()) / max(1, len(sample) * (len(sample) - 1)))
+        cost = indexes * (4 + rows * (sum(shared) / len(shared)))
+        if best is None or cost < best[0]:
+            best = cost, middle, differ
+    return best[1], best[2]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
@@ -88,18 +131,18 @@ def _sample(vectors: DataFrame, rows: int, size: int, dim: int) -> np.ndarray:
     return _matrix(column, dim).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 
-def _codes(vectors: DataFrame, rotations: np.ndarray, bits: int, indexes: int, dim: int) -> DataFrame:
-    """(field, id, code, subs): the first 64 bits and the substrings of all rotations."""
-    shared = vectors.sparkSession.sparkContext.broadcast(rotations)
+def _codes(vectors: DataFrame, rotations: np.ndarray, bits: int, indexes: int, dim: int, middle: np.ndarray | None = None) -> DataFrame:
+    """(field, id, code, subs): the first 64 bits and the substrings of all rotations, around ``middle``."""
+    shared = vectors.sparkSession.sparkContext.broadcast((rotations, (np.zeros(dim) if middle is None else middle).astype(np.float32)))
     schema = pa.schema([("field", pa.string()), ("id", pa.int64()), ("code", pa.int64()), ("subs", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = shared.value
+        turn, around = shared.value
         weights = (1 << np.arange(bits)).astype(np.int32)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                signs = _matrix(part.column(2), dim) @ turn > 0
+                signs = (_matrix(part.column(2), dim) - around) @ turn > 0
                 code = np.packbits(signs[:, :64], axis=1).view(np.int64).ravel()
                 subs = (signs[:, : bits * indexes].reshape(-1, indexes, bits) * weights).sum(axis=2, dtype=np.int32)
                 ends = np.arange(0, subs.size + 1, indexes, dtype=np.int32)
@@ -115,25 +158,40 @@ def _cosine(a: str, b: str) -> F.Column:
     return dot / (norm(a) * norm(b))
 
 
-def similar_pairs(vectors: DataFrame, cosine: float, sample: int = SAMPLE, miss: float = MISS, dim: int = DIM) -> DataFrame:
+def _meet(probes: DataFrame, radius: int) -> DataFrame:
+    """(f, id_a, id_b) of rows in one slot and field whose first codes are near."""
+    left = probes.select("slot", "f", F.col("id").alias("id_a"), F.col("code").alias("code_a"))
+    right = probes.select("slot", F.col("f").alias("g"), F.col("id").alias("id_b"), F.col("code").alias("code_b"))
+    near = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius
+    return left.join(right.hint("merge"), "slot").where((F.col("id_a") < F.col("id_b")) & (F.col("f") == F.col("g")) & near).select("f", "id_a", "id_b")
+
+
+def similar_pairs(vectors: DataFrame, cosine: float, sample: int = SAMPLE, miss: float = MISS, dim: int = DIM, hot: int = HOT) -> DataFrame:
     """(field, id_a, id_b, cosine): any two rows of a field, ``id_a`` < ``id_b``, with at least this cosine."""
     one = vectors.groupBy("field", "vec").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids"))
     one = cut(one)
     rows = one.count()
-    bits, indexes, rotations, radius = plan(rows, cosine, miss)
-    turn = learn_rotations(_sample(one, rows, sample, dim), rotations)
-    coded = _codes(one, turn, bits, indexes, dim)
-    probes = coded.select("field", "id", "code", F.posexplode("subs").alias("at", "sub"))
-    # one long names field, index and substring
-    slot = F.shiftleft(F.xxhash64("field", "at").bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col("sub").cast("long"))
-    probes = probes.select(slot.alias("slot"), "field", "id", "code")
+    taken = _sample(one, rows, sample, dim)
+    middle, differ = centre(taken, rows, cosine)
+    bits, indexes, rotations, radius = plan(rows, differ, miss)
+    turn = learn_rotations(taken - middle, rotations)
     names = {name: k for k, name in enumerate(sorted(r["field"] for r in one.select("field").distinct().collect()))}
     number = F.coalesce(*[F.when(F.col("field") == name, F.lit(k)) for name, k in names.items()], F.lit(-1)).cast("byte")
-    probes = probes.select("slot", number.alias("f"), "id", "code")
-    left = probes.select("slot", "f", F.col("id").alias("id_a"), F.col("code").alias("code_a"))
-    right = probes.select("slot", F.col("f").alias("g"), F.col("id").alias("id_b"), F.col("code").alias("code_b"))
-    near = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius
-    pairs = left.join(right.hint("merge"), "slot").where((F.col("id_a") < F.col("id_b")) & (F.col("f") == F.col("g")) & near).select("f", "id_a", "id_b").distinct()
+    coded = _codes(one, turn, bits, indexes, dim, middle)
+    # one long names field, index and substring
+    slot = F.shiftleft(F.xxhash64("field", "at").bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col("sub").cast("long"))
+    probes = coded.select("field", "id", "code", F.posexplode("subs").alias("at", "sub")).select(slot.alias("slot"), number.alias("f"), "id", "code")
+    probes = probes.repartition(partitions(vectors.sparkSession), "slot")
+    # the count asks for every column, so that all uses of the probes are the same exchange
+    counts = probes.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("fl"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("code").alias("c")).where("n > 1 and lo <= hi and fl is not null and c is not null")
+    full = probes.join(counts.where(F.col("n") > hot).select("slot"), "slot", "left_semi")
+    pairs = _meet(probes.join(counts.where(F.col("n") <= hot).select("slot"), "slot", "left_semi"), radius)
+    # rows of full slots are coded again by other rotations; within a slot only equal substrings of those meet
+    ids = full.select("f", "id").distinct()
+    again = _codes(one.where(number.isNotNull()).withColumn("f", number).join(ids, ["f", "id"], "left_semi"), learn_rotations(taken - middle, rotations, seed=7919), bits, indexes, dim, middle)
+    finer = again.select(number.alias("f"), "id", F.posexplode("subs").alias("at", "sub"))
+    split = full.join(finer, ["f", "id"]).select(F.xxhash64("slot", "at", "sub").alias("slot"), "f", "id", "code")
+    pairs = pairs.unionByName(_meet(split, radius)).distinct()
     floats = one.select(number.alias("f"), "field", "id", "vec", "ids")
     ranked = (
         cut(pairs)

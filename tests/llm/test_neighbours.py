@@ -57,7 +57,7 @@ def test_recall_of_nearest(spark):
 
 
 def test_plan_follows_size_and_angle():
-    small, large = N.plan(10**4, 0.95), N.plan(10**8, 0.95)
+    small, large = N.plan(10**4, N.differing(0.95)), N.plan(10**8, N.differing(0.95))
     assert large[0] > small[0] and large[1] > small[1]
     differ = math.acos(0.95) / math.pi
     assert (1 - (1 - differ) ** small[0]) ** small[1] <= 1e-3
@@ -71,3 +71,26 @@ def test_clashing_columns(spark):
 @pytest.mark.parametrize("rows", [1, 2])
 def test_tiny_tables(spark, rows):
     assert N.similar_pairs(table(spark, [(i, [float(i + 1), 1.0] + [0.0] * 62) for i in range(rows)]), 0.5).count() == rows - 1
+
+
+def brute(rows):
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    return {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))}
+
+
+@pytest.mark.parametrize("shift, hot", [(2.0, 2048), (0.0, 3), (2.0, 3)])
+def test_shifted_vectors_and_full_slots(spark, shift, hot):
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(vectors(600, 5) + shift)]
+    got = {(r.id_a, r.id_b) for r in N.similar_pairs(table(spark, rows), 0.95, hot=hot).collect()}
+    want = brute(rows)
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60
+
+
+def test_planes_go_through_the_mean_where_that_is_cheaper():
+    x = np.random.default_rng(2).standard_normal((4000, 64))
+    for shift, moved in ((0.0, False), (2.0, True)):
+        y = x + shift
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        middle, differ = N.centre(y, 20_000, 0.95)
+        assert bool(np.abs(middle).sum() > 0.5) == moved and (differ > 0.15) == moved
