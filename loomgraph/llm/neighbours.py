@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.runtime import cut, partitions
+from loomgraph.runtime import cut
 
 DIM = 64
 SAMPLE = 20_000
@@ -181,17 +181,16 @@ def similar_pairs(vectors: DataFrame, cosine: float, sample: int = SAMPLE, miss:
     # one long names field, index and substring
     slot = F.shiftleft(F.xxhash64("field", "at").bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col("sub").cast("long"))
     probes = coded.select("field", "id", "code", F.posexplode("subs").alias("at", "sub")).select(slot.alias("slot"), number.alias("f"), "id", "code")
-    probes = probes.repartition(partitions(vectors.sparkSession), "slot")
-    # the count asks for every column, so that all uses of the probes are the same exchange
-    counts = probes.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("fl"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("code").alias("c")).where("n > 1 and lo <= hi and fl is not null and c is not null")
-    full = probes.join(counts.where(F.col("n") > hot).select("slot"), "slot", "left_semi")
-    pairs = _meet(probes.join(counts.where(F.col("n") <= hot).select("slot"), "slot", "left_semi"), radius)
-    # rows of full slots are coded again by other rotations; within a slot only equal substrings of those meet
-    ids = full.select("f", "id").distinct()
-    again = _codes(one.where(number.isNotNull()).withColumn("f", number).join(ids, ["f", "id"], "left_semi"), learn_rotations(taken - middle, rotations, seed=7919), bits, indexes, dim, middle)
-    finer = again.select(number.alias("f"), "id", F.posexplode("subs").alias("at", "sub"))
-    split = full.join(finer, ["f", "id"]).select(F.xxhash64("slot", "at", "sub").alias("slot"), "f", "id", "code")
-    pairs = pairs.unionByName(_meet(split, radius)).distinct()
+    full_slots = cut(probes.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("slot"))
+    if full_slots.isEmpty():
+        pairs = _meet(probes, radius).distinct()
+    else:
+        # rows of full slots are coded again by other rotations; within a slot only equal substrings of those meet
+        full = cut(probes.join(full_slots, "slot", "left_semi"))
+        again = one.withColumn("f", number).join(full.select("f", "id").distinct(), ["f", "id"], "left_semi")
+        finer = _codes(again, learn_rotations(taken - middle, rotations, seed=7919), bits, indexes, dim, middle).select(number.alias("f"), "id", F.posexplode("subs").alias("at", "sub"))
+        split = full.join(finer, ["f", "id"]).select(F.xxhash64("slot", "at", "sub").alias("slot"), "f", "id", "code")
+        pairs = _meet(probes.join(full_slots, "slot", "left_anti"), radius).unionByName(_meet(split, radius)).distinct()
     floats = one.select(number.alias("f"), "field", "id", "vec", "ids")
     ranked = (
         cut(pairs)
