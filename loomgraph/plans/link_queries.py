@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph import adapters as A
+from loomgraph.operators import classify as C
 from loomgraph.operators import crossapp as X
 from loomgraph.operators import linking as L
 from loomgraph.runtime import table
@@ -39,7 +40,9 @@ def _methods(spark, d):
     said = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("source_code", F.lit(p), 1)))
     none, odd = F.array().cast("array<string>"), F.col("id") % 2 == 1
     analysis = F.struct(
-        said(r"(/api/v[0-9]+/[a-z]+)").alias("urls"), F.when(odd, F.array(F.lit("GET"), F.lit("POST"))).otherwise(none).alias("httpMethods"), said(r'topic = "([a-z0-9.]+)"').alias("kafkaTopics"), said(r'"(direct:[a-z]+)').alias("camelUris"),
+        said(r"(/api/v[0-9]+/[a-z]+)").alias("urls"), F.when(odd, F.array(F.lit("GET"), F.lit("POST"))).otherwise(none).alias("httpMethods"), said(r'topic = "([a-z0-9.]+)"').alias("kafkaTopics"), said(r'"([a-z]+/[a-z]+)"').alias("camelUris"),
+        F.transform(said(r'topic = "([a-z0-9.]+)"'), lambda t: F.struct(t.alias("topic"), F.when(odd, "PRODUCE").otherwise("CONSUME").alias("operation"), F.lit("x").alias("clientType"))).alias("kafkaCalls"),
+        F.transform(said(r'"([a-z]+/[a-z]+)"'), lambda t: F.struct(t.alias("uri"), F.lit("TO").alias("direction"))).alias("camelCalls"),
         (F.col("kind") == "CLIENT").alias("isParentClient"), F.contains("source_code", F.lit("retry")).alias("hasRetry"), F.contains("source_code", F.lit("timeout")).alias("hasTimeout"), F.lit(False).alias("hasCircuitBreaker"),
     )
     return rows.select(F.col("id").alias("method_id"), F.col("application_id").alias("library_id"), F.when(F.col("id") % 7 != 0, analysis).alias("analysis"))
@@ -66,6 +69,72 @@ def integration_parents(spark, d):
     return L.parent_clients(_methods(spark, d), 1).select("method_id")
 
 
+def integration_points(spark, d):
+    return L.integration_points(_methods(spark, d))
+
+
+def integration_edges(spark, d):
+    """Each function calls the next one of its parent; what that one reaches becomes the caller's edges."""
+    m = _methods(spark, d)
+    callers = A.siblings(spark, d).select("src_id", F.col("dst_id").alias("method_id"))
+    flags = m.select("method_id", *[F.col(f"analysis.{f}").alias(f) for f in ("hasRetry", "hasTimeout", "hasCircuitBreaker")])
+    return L.integration_edges(callers, L.integration_points(m), flags)
+
+
+def _next_types(spark, d):
+    """Types with the simple name of the next type of their application, where a linker looks for names."""
+    nodes = _nodes(spark, d).where(F.col("kind").isin(*TYPE_KINDS))
+    after = F.substring_index(F.lead("fqn").over(Window.partitionBy("application_id").orderBy("id")), ".", -1)
+    return nodes.withColumn("next", after).withColumn("imports", F.array().cast("array<string>"))
+
+
+def _some(column):
+    return F.when(F.col("next").isNotNull(), F.array(column))
+
+
+def inheritance_edges(spark, d):
+    rows = _next_types(spark, d)
+    return L.inheritance(rows.withColumn("supertypes", _some(F.col("next"))).withColumn("supertypes_resolved", F.lit(None).cast("array<string>")))
+
+
+def annotation_edges(spark, d):
+    rows = _next_types(spark, d)
+    return L.annotations(rows.withColumn("annotations", _some(F.concat(F.lit("@"), "next", F.lit('("x")')))))
+
+
+def signature_edges(spark, d):
+    """Every other type has parsed parameter types, the others a signature only."""
+    rows, odd = _next_types(spark, d), F.col("id") % 2 == 1
+    rows = rows.withColumn("param_types", F.when(odd, _some(F.concat("next", F.lit("<Long?>"))))).withColumn("return_type", F.lit(None).cast("string")).withColumn("owner_id", F.lit(None).cast("long"))
+    return L.signatures(rows.withColumn("signature", F.when(~odd, F.concat(F.lit("override fun Wrong(x: "), "next", F.lit("): where")))))
+
+
+def throws_edges(spark, d):
+    return L.throws(_next_types(spark, d).withColumn("throws_types", _some(F.col("next"))))
+
+
+def config_edges(spark, d):
+    """Members read a value below their package, property classes take it as their prefix; groups are the packages with a configuration."""
+    nodes = _nodes(spark, d)
+    value = F.when(F.col("kind") == "CONFIG", F.concat(F.lit('@ConfigurationProperties(prefix = "'), "package", F.lit('")'))).otherwise(F.concat(F.lit('@Value("${'), "package", F.lit('.limit:5}")')))
+    return L.config_edges(nodes.withColumn("source_code", value), nodes.where("kind = 'CONFIG' and package is not null and id % 2 = 0").select(F.col("package").alias("grp")))
+
+
+def frame_nodes(spark, d):
+    """A frame for every method, mapped back to its node."""
+    nodes = _nodes(spark, d)
+    base = F.substring_index("fqn", "(", 1)
+    found = nodes.where("kind = 'METHOD'").select(F.col("id").alias("trace_id"), F.lit(0).alias("at"), F.concat(F.regexp_replace(base, r"\.[^.]*$", ""), F.lit("$Inner")).alias("owner"), F.substring_index(base, ".", -1).alias("method"))
+    return C.frame_nodes(found, nodes, "trace_id")
+
+
+def audit_capture(spark, d):
+    """Events as requests of an API."""
+    verb = F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "click", "HEAD").otherwise("POST")
+    events = table(spark, d, "events").select("event_id", verb.alias("http_method"), F.when(F.col("user_id") % 3 == 0, "/health").otherwise(F.concat(F.lit("/api/"), "event_type")).alias("resource"))
+    return S.audit_capture(events)
+
+
 def call_edges(spark, d):
     """Calls inside a type: every called name is looked for in the owner, with its overloads."""
     nodes = _nodes(spark, d)
@@ -101,9 +170,10 @@ def url_endpoint_match(spark, d):
 
 
 def crossapp_edges(spark, d):
-    """All strategies as one graph."""
+    """All strategies as one graph; every node names the next one of its application as its supertype."""
     nodes = _nodes(spark, d)
-    types = nodes.select("id", "application_id", F.col("name").alias("fqn"), "kind", F.lit(None).cast("array<string>").alias("supertypes"))
+    after = F.lead("name").over(Window.partitionBy("application_id").orderBy("id"))
+    types = nodes.select("id", "application_id", F.col("name").alias("fqn"), "kind", F.when(after.isNotNull(), F.array(after)).alias("supertypes"))
     return X.graph(X.contracts(types, nodes.select("parent_id", "kind")), crossapp_integrations(spark, d), url_endpoint_match(spark, d))
 
 
@@ -135,13 +205,17 @@ def events_after(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (contains_edges, prefix_chain, type_resolution, integration_by_target, integration_summaries, integration_parents, call_edges, prefix_join, crossapp_integrations, url_endpoint_match, crossapp_edges, rate_fixed_window, rate_sliding_log, run_state_fold, claim_postprocess, events_after)
+    for f in (contains_edges, prefix_chain, type_resolution, integration_by_target, integration_summaries, integration_parents, integration_points, integration_edges, inheritance_edges, annotation_edges, signature_edges, throws_edges, config_edges, frame_nodes, audit_capture, call_edges, prefix_join, crossapp_integrations, url_endpoint_match, crossapp_edges, rate_fixed_window, rate_sliding_log, run_state_fold, claim_postprocess, events_after)
 }
 
 _N = f"WITH RECURSIVE {A.NODE_SQL}"
 _TYPES = "('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'SERVICE', 'MAPPER', 'EXCEPTION', 'CLIENT', 'CONFIG', 'ENDPOINT')"
 _UP = "CASE WHEN contains({0}, '.') THEN regexp_replace({0}, '\\.[^.]*$', '') END"
-_M = f"""{_N}, z AS (SELECT id, application_id, kind, source_code, list_distinct(regexp_extract_all(source_code, '/api/v[0-9]+/[a-z]+')) AS urls, list_distinct(regexp_extract_all(source_code, 'topic = "([a-z0-9.]+)"', 1)) AS topics, list_distinct(regexp_extract_all(source_code, '"(direct:[a-z]+)', 1)) AS camel FROM n WHERE kind IN ('METHOD', 'ENDPOINT', 'CLIENT') AND source_code IS NOT NULL), m AS (SELECT * FROM z WHERE id % 7 <> 0)"""
+_M = f"""{_N}, z AS (SELECT id, application_id, kind, source_code, list_distinct(regexp_extract_all(source_code, '/api/v[0-9]+/[a-z]+')) AS urls, list_distinct(regexp_extract_all(source_code, 'topic = "([a-z0-9.]+)"', 1)) AS topics, list_distinct(regexp_extract_all(source_code, '"([a-z]+/[a-z]+)"', 1)) AS camel FROM n WHERE kind IN ('METHOD', 'ENDPOINT', 'CLIENT') AND source_code IS NOT NULL), m AS (SELECT * FROM z WHERE id % 7 <> 0)"""
+_PTS = f"""{_M}, {A.SIBLINGS_SQL}, pts AS (SELECT id AS method_id, 'HTTP' AS type, target, CASE WHEN id % 2 = 1 THEN unnest(['GET', 'POST']) END AS verb, CAST(NULL AS VARCHAR) AS operation FROM (SELECT id, unnest(urls) AS target FROM m) WHERE id % 2 = 1 UNION ALL SELECT id, 'HTTP', unnest(urls), NULL, NULL FROM m WHERE id % 2 = 0
+    UNION ALL SELECT id, 'KAFKA', unnest(topics), NULL, CASE WHEN id % 2 = 1 THEN 'PRODUCE' ELSE 'CONSUME' END FROM m UNION ALL SELECT id, 'CAMEL', unnest(camel), NULL, 'TO' FROM m)"""
+_RS = f"""{_N}, t AS (SELECT application_id, id, fqn, package, regexp_extract(fqn, '[^.]*$') AS simple FROM n WHERE kind IN {_TYPES}), z AS (SELECT application_id, id AS src_id, package, regexp_extract(lead(fqn) OVER (PARTITION BY application_id ORDER BY id), '[^.]*$') AS s FROM t),
+    rs AS (SELECT src_id, dst_id, s FROM (SELECT z.src_id, z.s, t.id AS dst_id, row_number() OVER (PARTITION BY z.src_id ORDER BY CASE WHEN t.fqn = z.s THEN 1 WHEN t.package = z.package THEN 3 ELSE 4 END, t.fqn, t.id) AS r FROM z JOIN t ON z.application_id = t.application_id AND z.s = t.simple) WHERE r = 1 AND src_id <> dst_id)"""
 SQL = {
     "contains_edges": f"""{_N}, e AS (SELECT p.id AS src_id, c.id AS dst_id FROM n c JOIN n p ON c.kind = 'PACKAGE' AND p.kind = 'PACKAGE' AND c.application_id = p.application_id AND p.fqn = {_UP.format('c.fqn')}
         UNION SELECT p.id, c.id FROM n c JOIN n p ON c.kind IN {_TYPES} AND p.kind = 'PACKAGE' AND c.application_id = p.application_id AND p.fqn = c.package
@@ -157,6 +231,21 @@ SQL = {
     "integration_summaries": f"""{_M} SELECT id AS method_id, application_id AS library_id, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(urls) * CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END END AS INTEGER) AS http, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(topics) END AS INTEGER) AS kafka, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(camel) END AS INTEGER) AS camel,
         id % 7 <> 0 AND kind = 'CLIENT' AS is_parent_client, id % 7 <> 0 AND contains(source_code, 'retry') AS has_retry, id % 7 <> 0 AND contains(source_code, 'timeout') AS has_timeout, false AS has_circuit_breaker FROM z""",
     "integration_parents": f"{_M} SELECT id AS method_id FROM m WHERE kind = 'CLIENT' AND application_id = 1",
+    "integration_points": f"""{_PTS} SELECT * FROM pts""",
+    "integration_edges": f"""{_PTS}, c AS (SELECT s.src_id, p.* FROM siblings s JOIN pts p ON s.dst_id = p.method_id), t AS (SELECT *, CASE type WHEN 'HTTP' THEN 'infra:http:' || coalesce(verb, 'ANY') || ':' || target WHEN 'KAFKA' THEN 'infra:kafka:topic:' || target ELSE 'infra:camel:uri:' || target END AS target_fqn FROM c)
+        SELECT src_id, target_fqn, CASE type WHEN 'HTTP' THEN 'CALLS_HTTP' WHEN 'KAFKA' THEN CASE WHEN operation = 'PRODUCE' THEN 'PRODUCES' ELSE 'CONSUMES' END ELSE 'CALLS_CAMEL' END AS kind FROM t
+        UNION SELECT src_id, target_fqn, 'RETRIES_TO' FROM t JOIN m ON t.method_id = m.id WHERE type = 'HTTP' AND contains(source_code, 'retry') UNION SELECT src_id, target_fqn, 'TIMEOUTS_TO' FROM t JOIN m ON t.method_id = m.id WHERE type = 'HTTP' AND contains(source_code, 'timeout')""",
+    "inheritance_edges": f"{_RS} SELECT DISTINCT src_id, dst_id, unnest([CASE WHEN n.kind = 'INTERFACE' THEN 'IMPLEMENTS' ELSE 'INHERITS' END, 'DEPENDS_ON']) AS kind FROM rs JOIN n ON dst_id = n.id",
+    "annotation_edges": f"{_RS} SELECT DISTINCT src_id, dst_id, unnest(['ANNOTATED_WITH', 'DEPENDS_ON']) AS kind FROM rs",
+    "signature_edges": f"{_RS} SELECT DISTINCT src_id, dst_id, 'DEPENDS_ON' AS kind FROM rs WHERE regexp_matches(s, '^[A-Z]')",
+    "throws_edges": f"{_RS} SELECT DISTINCT src_id, dst_id, 'THROWS' AS kind FROM rs",
+    "config_edges": f"""{_N}, g AS (SELECT DISTINCT package AS grp FROM n WHERE kind = 'CONFIG' AND package IS NOT NULL AND id % 2 = 0), w AS (SELECT id, package || CASE WHEN kind = 'CONFIG' THEN '' ELSE '.limit' END AS key, CASE WHEN kind = 'CONFIG' THEN 'CONFIGURES' ELSE 'DEPENDS_ON' END AS kind FROM n WHERE kind IN ('FIELD', 'METHOD', 'CONFIG') AND package <> '')
+        SELECT id AS src_id, arg_max(grp, length(grp)) AS grp, kind FROM w JOIN g ON key = grp OR starts_with(key, grp || '.') GROUP BY id, kind""",
+    "frame_nodes": f"{_N}, b AS (SELECT id, fqn, split_part(fqn, '(', 1) AS base FROM n WHERE kind = 'METHOD'), f AS (SELECT base, arg_min(id, (fqn, id)) AS id FROM b GROUP BY base) SELECT b.id AS trace_id, 0 AS \"at\", f.id FROM b JOIN f USING (base)",
+    "audit_capture": "SELECT * FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'HEAD' ELSE 'POST' END AS http_method, CASE WHEN user_id % 3 = 0 THEN '/health' ELSE '/api/' || event_type END AS resource FROM events) WHERE http_method = 'POST' AND resource LIKE '/api%'",
+    "rate_sliding_log": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), w(user_id, r, log, ok) AS (SELECT user_id, r, [t], true FROM e WHERE r = 1
+        UNION ALL SELECT e.user_id, e.r, CASE WHEN len(list_filter(w.log, lambda x: e.t - x <= 3600000000)) < 3 THEN list_append(list_filter(w.log, lambda x: e.t - x <= 3600000000), e.t) ELSE list_filter(w.log, lambda x: e.t - x <= 3600000000) END, len(list_filter(w.log, lambda x: e.t - x <= 3600000000)) < 3 FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
+        SELECT user_id, count(*) FILTER (ok) AS admitted, count(*) FILTER (NOT ok) AS rejected FROM w GROUP BY user_id""",
     "prefix_join": f"{_N}, k AS (SELECT DISTINCT package AS key FROM n WHERE package IS NOT NULL), g AS (SELECT DISTINCT package AS grp FROM n WHERE kind = 'CONFIG' AND package IS NOT NULL) SELECT key, arg_max(grp, length(grp)) AS grp FROM k JOIN g ON key = grp OR starts_with(key, grp || '.') GROUP BY key",
     "crossapp_integrations": f"""{_N}, {A.CONTAINS_SQL}, s AS (SELECT id, application_id, 'infra:kafka:topic:' || name AS target, name AS label FROM n WHERE kind = 'TOPIC'), e AS (SELECT a.application_id, s.target, s.label, c.kind FROM contains c JOIN s ON c.dst_id = s.id JOIN n a ON c.src_id = a.id UNION ALL SELECT a.application_id, s.target, s.label, c.kind FROM contains c JOIN s ON c.src_id = s.id JOIN n a ON c.dst_id = a.id)
         SELECT application_id, target, label, 'KAFKA' AS type, kind, count(*) AS n FROM e GROUP BY ALL""",
@@ -172,3 +261,9 @@ SQL = {
         UNION ALL SELECT e.user_id, e.r, CASE WHEN e.t - w.start >= 3600000000 THEN e.t ELSE w.start END, CASE WHEN e.t - w.start >= 3600000000 THEN 1 ELSE w.used + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
         SELECT user_id, count(*) FILTER (used <= 3) AS admitted, count(*) FILTER (used > 3) AS rejected FROM w GROUP BY user_id""",
 }
+SQL["crossapp_edges"] = f"""{SQL['crossapp_integrations'].split('SELECT application_id, target')[0].rstrip()}, i AS (SELECT application_id, target, label, 'KAFKA' AS type, kind, count(*) AS n FROM e GROUP BY ALL), u AS ({SQL['url_endpoint_match']}),
+    face AS (SELECT * FROM n WHERE kind = 'INTERFACE'), sh AS (SELECT name FROM face GROUP BY name HAVING count(DISTINCT application_id) >= 2), mc AS (SELECT parent_id, count(*) AS c FROM n WHERE kind = 'METHOD' GROUP BY parent_id),
+    most AS (SELECT face.name, coalesce(max(c), 0) AS methods FROM face JOIN sh ON face.name = sh.name LEFT JOIN mc ON mc.parent_id = face.id GROUP BY face.name), nx AS (SELECT application_id, lead(name) OVER (PARTITION BY application_id ORDER BY id) AS super FROM n),
+    g AS (SELECT 'app:' || f.application_id AS source, f.name AS target, CASE WHEN EXISTS (SELECT 1 FROM nx WHERE nx.application_id = f.application_id AND nx.super = f.name) THEN 'PROVIDES' ELSE 'CONSUMES' END AS kind, most.methods AS n FROM (SELECT DISTINCT name, application_id FROM face) f JOIN most ON f.name = most.name
+    UNION ALL SELECT 'app:' || application_id, target, kind, n FROM i UNION ALL SELECT DISTINCT 'app:' || server_app, label, 'PROVIDES', 1 FROM u UNION ALL SELECT DISTINCT 'app:' || client_app, label, 'CALLS_HTTP', 1 FROM u)
+    SELECT source, target, kind, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY ALL"""

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from loomgraph import adapters as A
+from loomgraph.operators import chunking as K
 from loomgraph.operators import relational as R
+from loomgraph.operators import retrieval as V
 from loomgraph.operators import upsert as U
 from loomgraph.runtime import table
 from loomgraph.schema import TYPE_KINDS
@@ -22,10 +24,10 @@ def nodes_by_kind(spark, d):
 
 
 def node_by_fqn(spark, d):
-    """Point lookups, as a semi join of the names that applications ask for."""
+    """The node of the first name of the first application."""
     nodes = A.nodes(spark, d)
-    wanted = nodes.groupBy("application_id").agg(F.min("fqn").alias("fqn"))
-    return nodes.join(wanted, ["application_id", "fqn"], "left_semi").select("id", "application_id", "fqn")
+    first = nodes.where("fqn is not null").agg(F.min(F.struct("application_id", "fqn")).alias("x")).first()["x"]
+    return R.by_fqn(nodes, first.application_id, first.fqn).select("id", "application_id", "fqn")
 
 
 def fqn_contains(spark, d):
@@ -40,10 +42,12 @@ def class_lookup(spark, d):
 
 
 def class_method_lookup(spark, d):
-    """Every method with its owner's name: the parent self join of the class and method lookup, for all names at once."""
+    """The first method with an owner, by its own and its owner's name in any case, and all methods of that name."""
     nodes = A.nodes(spark, d)
-    owner = nodes.select(F.col("id").alias("parent_id"), F.lower("name").alias("owner"))
-    return nodes.where("kind = 'METHOD'").join(owner, "parent_id").select("id", "owner", F.lower("name").alias("method"))
+    owners = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("owner"))
+    one = nodes.where("kind = 'METHOD'").join(owners, "parent_id").agg(F.min(F.struct("id", "owner", "name")).alias("x")).first()["x"]
+    both = R.methods_of_class(nodes, one.owner.upper(), one.name.upper(), True).select("id", F.lit("both").alias("by"))
+    return both.unionByName(R.methods_named(nodes, one.name).select("id", F.lit("name").alias("by")))
 
 
 def audit_search(spark, d):
@@ -170,6 +174,32 @@ def planned_content(spark, d):
     return U.planned_content(A.nodes(spark, d)).select("id", F.md5("content").alias("hash"))
 
 
+def meta_merge(spark, d):
+    """Names taken over by number: every third is removed, every third is blank and passed over."""
+    third = F.col("id") % 3
+    old = F.create_map(F.lit("kind"), "kind", F.lit("name"), F.coalesce("name", F.lit("-")))
+    new = F.create_map(F.lit("name"), F.when(third == 1, "").when(third == 2, F.lower(F.coalesce("name", F.lit("-")))), F.lit("package"), F.coalesce("package", F.lit("")))
+    merged = U.merge_meta(old, new)
+    return A.nodes(spark, d).where("kind is not null").select("id", F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("meta"))
+
+
+def run_totals(spark, d):
+    return K.run_summary(K.chunk_plan(A.nodes(spark, d)), 10.0)
+
+
+def generated_docs(spark, d):
+    """Documents by a model that tells the length of its prompt, or nothing for sources of even number."""
+    nodes = A.nodes(spark, d).withColumn("signature", F.when(F.col("id") % 2 == 0, F.lit("SKIP")).otherwise(F.col("signature")))
+    out = K.generate_docs(nodes, "en", lambda prompts: [None if "\nSKIP" in p else f"{len(p)} characters" for p in prompts])
+    return out.select("node_id", "locale", "doc_tech", "doc_digest", "source_hash")
+
+
+def reranked(spark, d):
+    """Chunks scored by a model that likes long texts, the five best of them."""
+    rows = _chunks(spark, d).select("id", "content", F.lit(0.0).alias("similarity"))
+    return V.answer_set(V.rerank(rows, lambda texts: [float(len(t)) for t in texts]), 5)
+
+
 def delete_orphans(spark, d):
     """Synonyms without those of nodes that have a document."""
     syn = table(spark, d, "synonym_dictionary").dropDuplicates(["id"]).select("id", "source_node_id")
@@ -180,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodes_by_kind, node_by_fqn, fqn_contains, class_lookup, class_method_lookup, audit_search, json_containment, incomplete_chunks, documented_nodes, app_stats, global_stats, kind_counts, shared_contracts, judge_aggregate, capped_names,
-        annotation_usage, multi_query_dedupe, undirected_edges, stale_docs, ready_nodes, cycle_break_nodes, latest_per_group, recent_chats, edge_upsert, doc_upsert, doc_chunk_sync, node_change_detect, merge_policies, planned_content, delete_orphans,
+        annotation_usage, multi_query_dedupe, undirected_edges, stale_docs, ready_nodes, cycle_break_nodes, latest_per_group, recent_chats, edge_upsert, doc_upsert, doc_chunk_sync, node_change_detect, merge_policies, planned_content, meta_merge, run_totals, generated_docs, reranked, delete_orphans,
     )
 }
 
@@ -190,10 +220,11 @@ _OPEN = f"{_N}, {A.SIBLINGS_SQL}, op AS (SELECT * FROM n WHERE id NOT IN (SELECT
 _DEPENDS = "('CALLS_CODE', 'THROWS', 'READS', 'WRITES', 'QUERIES', 'CALLS_HTTP', 'CALLS_GRPC', 'PRODUCES', 'CONSUMES', 'CONFIGURES', 'CIRCUIT_BREAKER_TO', 'RETRIES_TO', 'TIMEOUTS_TO', 'DEPENDS_ON')"
 SQL = {
     "nodes_by_kind": f"{_N} SELECT id, application_id, kind FROM n WHERE application_id IN (1, 2, 3) AND kind IN ('METHOD', 'CLASS')",
-    "node_by_fqn": f"{_N} SELECT id, application_id, fqn FROM n WHERE (application_id, fqn) IN (SELECT (application_id, min(fqn)) FROM n GROUP BY application_id)",
+    "node_by_fqn": f"{_N} SELECT id, application_id, fqn FROM n WHERE (application_id, fqn) = (SELECT min((application_id, fqn)) FROM n WHERE fqn IS NOT NULL)",
     "fqn_contains": f"{_N} SELECT id, fqn FROM n WHERE application_id = 1 AND fqn LIKE '%voice%' ORDER BY fqn, id LIMIT 1000",
     "class_lookup": f"{_N}, t AS (SELECT * FROM n WHERE kind IN {TYPE_KINDS}), x AS (SELECT arg_min(name, id) AS a, arg_max(name, id) AS z FROM t) SELECT DISTINCT t.id, t.fqn FROM t, x WHERE lower(t.name) = lower(a) OR ends_with(lower(t.fqn), '.' || lower(a)) OR t.name = z OR ends_with(t.fqn, '.' || z)",
-    "class_method_lookup": f"{_N} SELECT m.id, lower(p.name) AS owner, lower(m.name) AS method FROM n m JOIN n p ON m.parent_id = p.id WHERE m.kind = 'METHOD'",
+    "class_method_lookup": f"""{_N}, o AS (SELECT m.id, p.name AS owner, m.name FROM n m JOIN n p ON m.parent_id = p.id WHERE m.kind = 'METHOD'), one AS (SELECT * FROM o ORDER BY id LIMIT 1)
+        SELECT o.id, 'both' AS "by" FROM o JOIN one ON lower(o.owner) = lower(one.owner) AND lower(o.name) = lower(one.name) UNION ALL SELECT n.id, 'name' FROM n JOIN one ON n.name = one.name WHERE n.kind = 'METHOD'""",
     "audit_search": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' AND props LIKE '%k%' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100 OFFSET 100",
     "json_containment": f"{_N} SELECT id, fqn FROM n WHERE coalesce(list_contains(CAST(json_extract(meta, '$.annotations') AS VARCHAR[]), '@Repository'), false) OR coalesce(CAST(json_extract(meta, '$.synthetic') AS BOOLEAN), false)",
     "incomplete_chunks": f"{_N} SELECT id FROM c WHERE content_hash IS NULL OR token_count IS NULL OR embedding IS NULL",
@@ -227,5 +258,10 @@ SQL = {
     "node_change_detect": f"""{_N} SELECT application_id, fqn, CASE WHEN coalesce(length(source_code) > 400, false) OR (kind = 'CLASS' AND name <> lower(name)) THEN 'update' ELSE 'skip' END AS action, md5(source_code) AS source_hash, line_start FROM n WHERE lang = 'kotlin'""",
     "merge_policies": f"{_N} SELECT id, coalesce(content_hash, sha256(content)) AS keep, coalesce(sha256(content), content_hash) AS over, CAST(length(CASE WHEN lang_detected IS NULL OR length(source) > length(lang_detected) THEN source ELSE lang_detected END) AS INTEGER) AS longer_chars, 'A' AS grade FROM c",
     "planned_content": f"{_N} SELECT id, md5(CASE WHEN trim(coalesce(source_code, doc_comment, '')) = '' THEN '(empty)' ELSE trim(coalesce(source_code, doc_comment, '')) END) AS hash FROM n",
+    "meta_merge": f"{_N} SELECT id, array_to_string(list_sort(list_filter(['kind=' || kind, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'name=' || coalesce(name, '-') ELSE 'name=' || lower(coalesce(name, '-')) END, CASE WHEN coalesce(package, '') <> '' THEN 'package=' || package END], lambda x: x IS NOT NULL)), ';') AS meta FROM n WHERE kind IS NOT NULL",
+    "run_totals": f"{_N} SELECT count(*) AS nodes, count(DISTINCT CASE WHEN coalesce(trim(signature) <> '' OR trim(doc_comment) <> '', false) THEN 1 ELSE 0 END) AS kinds, round(count(*) / 10.0::double, 3) AS nodes_per_second FROM n",
+    "generated_docs": f"""{_N}, p AS (SELECT id, source_code, id % 2 = 0 OR contains(source_code, chr(10) || 'SKIP') AS skip, length(concat_ws(chr(10), coalesce(fqn, name), signature, source_code)) || ' characters' AS t FROM n)
+        SELECT id AS node_id, 'en' AS locale, CASE WHEN NOT coalesce(skip, false) THEN t END AS doc_tech, CASE WHEN coalesce(skip, false) THEN 'no-content' ELSE t END AS doc_digest, CASE WHEN trim(source_code) <> '' THEN sha256(source_code) END AS source_hash FROM p""",
+    "reranked": f"{_N} SELECT id, CAST(coalesce(length(content), 0) AS DOUBLE) AS similarity FROM c ORDER BY similarity DESC, id LIMIT 5",
     "delete_orphans": f"{_N} SELECT DISTINCT id, source_node_id FROM synonym_dictionary WHERE source_node_id IS NULL OR source_node_id NOT IN (SELECT node_id FROM d WHERE node_id IS NOT NULL)",
 }
