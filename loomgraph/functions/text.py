@@ -209,8 +209,9 @@ def readable_infra_name(group: Column, kind: Column) -> Column:
 
 def section(markdown: Column, title: str) -> Column:
     """Body of the first second-level section whose heading begins with ``title``; null where there is none."""
-    body = F.regexp_extract(markdown, rf"(?is)(^|\n)##[ \t]*{title}[^\n]*\n(.*?)(\n##[^#]|$(?![\r\n]))", 2)
-    return F.when(F.trim(body) != "", F.trim(body))
+    body = F.regexp_extract(markdown, rf"(?is)(^|\n)##[ \t]*{title}[^\n]*(.*?)(?=\n##[^#]|$(?![\r\n]))", 2)
+    body = F.trim(F.regexp_replace(body, "^\n", ""))
+    return F.when(body != "", body)
 
 
 def unfence(answer: Column) -> Column:

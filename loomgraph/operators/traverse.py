@@ -27,7 +27,8 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None, reverse: bo
     nodes, at most one per node where each has one edge into it, as in a hierarchy.
     """
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    # read in every round, so written down once, where the frontier meets it
+    steps = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct().repartition("id"))
     front = roots.select(F.col("id").alias("root_id"), "id").distinct()
     visited = front.withColumn("depth", F.lit(0))
     if max_depth is None:
@@ -46,7 +47,7 @@ def _reach_all(steps: DataFrame, visited: DataFrame) -> DataFrame:
 
     Distances leave no gap, so a round that finds nothing is the last one, whether or not walks go on in circles.
     """
-    jump, length = cut(steps), 1
+    jump, length = steps, 1
     visited = cut(visited)
     while True:
         found = visited.join(jump, "id").groupBy("root_id", F.col("next").alias("id")).agg((F.min("depth") + length).alias("depth"))
@@ -70,7 +71,8 @@ def expand(edges: DataFrame, seeds: DataFrame, radius: int, per_hop: int = 50) -
     """(hop, id, weight): neighbours in both directions over weighted kinds; per hop the ``per_hop`` heaviest, ties by id."""
     radius = max(1, min(3, radius))
     both = edges.select("src_id", "dst_id", "kind").union(edges.select("dst_id", "src_id", "kind"))
-    steps = both.withColumn("weight", _table(EDGE_WEIGHT, F.col("kind"), None)).where("weight is not null").select(F.col("src_id").alias("id"), F.col("dst_id").alias("next"), "weight")
+    steps = both.withColumn("weight", _table(EDGE_WEIGHT, F.col("kind"), None)).where("weight is not null").groupBy(F.col("src_id").alias("id"), F.col("dst_id").alias("next")).agg(F.max("weight").alias("weight"))
+    steps = cut(steps.repartition("id"))
     seen = seeds.select("id").distinct()
     front, out = seen, None
     for hop in range(1, radius + 1):
@@ -151,6 +153,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> Dat
     cost = _table(PATH_COST, F.col("kind"), DEFAULT_COST)
     both = edges.select("src_id", "dst_id", cost.alias("step")).union(edges.select("dst_id", "src_id", cost.alias("step")))
     steps = both.groupBy(F.col("src_id").alias("at"), F.col("dst_id").alias("next")).agg(F.min("step").alias("step")).where("at <> next")
+    steps = cut(steps.repartition("at"))
     wanted = pairs.select("from_id", "to_id").distinct()
     best = cut(wanted.select("from_id", F.col("from_id").alias("at"), F.lit(0.0).alias("cost"), F.array("from_id").alias("path")).distinct())
     front = best

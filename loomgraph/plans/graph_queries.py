@@ -20,7 +20,7 @@ def _one(spark, number):
 
 def impact_bfs(spark, d):
     edges = A.estate(spark, d)
-    return G.impact(edges, _ids(edges), _PART, 3)
+    return G.impact(edges, _ids(edges), _PART)
 
 
 def khop_weighted(spark, d):
@@ -28,7 +28,7 @@ def khop_weighted(spark, d):
 
 
 def neighborhood(spark, d):
-    return G.neighbourhood_edges(A.estate(spark, d), _one(spark, _PART), 1)
+    return G.neighbourhood_edges(A.estate(spark, d), _one(spark, _PART), 2)
 
 
 def direct_neighbours(spark, d):
@@ -72,7 +72,7 @@ def transitive_points(spark, d):
     edges = A.estate(spark, d).where("kind in ('CONTAINS', 'PRODUCES')")
     own = table(spark, d, "part").select((F.lit(5 * 10**9) + F.col("p_partkey")).alias("id"), F.col("p_brand").alias("value"))
     nations = edges.where("kind = 'CONTAINS'").select(F.col("src_id").alias("id")).distinct()
-    sets = G.closure_sets(own, edges, max_depth=3)
+    sets = G.closure_sets(own, edges)
     return sets.join(nations, "id", "left_semi")
 
 
@@ -112,11 +112,11 @@ _BOTH = f"both_ways AS (SELECT src_id AS a, dst_id AS b, CAST({_W} AS DOUBLE) AS
 _NB = f"nb AS (SELECT id FROM (SELECT dst_id AS id FROM estate WHERE src_id = {_SUPPLIER} UNION SELECT src_id FROM estate WHERE dst_id = {_SUPPLIER}) WHERE id <> {_SUPPLIER})"
 _C = f"WITH RECURSIVE {A.NODE_SQL}, {A.CONTAINS_SQL}"
 SQL = {
-    "impact_bfs": f"{_E}, r(id, depth) AS (SELECT CAST({_PART} AS BIGINT), 0 UNION SELECT e.src_id, r.depth + 1 FROM r JOIN estate e ON e.dst_id = r.id WHERE r.depth < 3) SELECT id, min(depth) AS depth FROM r WHERE id <> {_PART} GROUP BY id",
+    "impact_bfs": f"{_E}, r(id, depth) AS (SELECT CAST({_PART} AS BIGINT), 0 UNION SELECT e.src_id, r.depth + 1 FROM r JOIN estate e ON e.dst_id = r.id WHERE r.depth < 5) SELECT id, min(depth) AS depth FROM r WHERE id <> {_PART} GROUP BY id",
     "khop_weighted": f"""{_E}, {_BOTH}, h1 AS (SELECT b AS id, max(w) AS weight FROM both_ways WHERE a = {_SUPPLIER} AND b <> {_SUPPLIER} AND w IS NOT NULL GROUP BY b ORDER BY weight DESC, id LIMIT 50),
         h2 AS (SELECT b AS id, max(w) AS weight FROM both_ways JOIN h1 ON a = h1.id WHERE b <> {_SUPPLIER} AND b NOT IN (SELECT id FROM h1) GROUP BY b ORDER BY weight DESC, id LIMIT 50)
         SELECT 1 AS hop, id, weight FROM h1 UNION ALL SELECT 2, id, weight FROM h2""",
-    "neighborhood": f"{_E} SELECT 1 AS hop, src_id, dst_id, kind FROM estate WHERE src_id = {_PART} OR dst_id = {_PART}",
+    "neighborhood": f"{_E}, a AS (SELECT src_id, dst_id, kind FROM estate WHERE src_id = {_PART} OR dst_id = {_PART}), f AS (SELECT src_id AS id FROM a UNION SELECT dst_id FROM a) SELECT 1 AS hop, * FROM a UNION ALL SELECT 2, src_id, dst_id, kind FROM estate WHERE src_id IN (SELECT id FROM f WHERE id <> {_PART}) OR dst_id IN (SELECT id FROM f WHERE id <> {_PART})",
     "direct_neighbours": f"{_E}, {_NB} SELECT id FROM nb ORDER BY id LIMIT 10000",
     "induced_edges": f"{_E}, {_NB}, s AS (SELECT id FROM nb UNION SELECT {_SUPPLIER}) SELECT src_id || '->' || dst_id || ':' || kind AS id, src_id, dst_id, kind FROM estate WHERE src_id IN (SELECT id FROM s) AND dst_id IN (SELECT id FROM s)",
     "subgraph_edges": f"{_E}, s AS (SELECT 4000000000 + s_suppkey AS id FROM supplier WHERE s_acctbal > 5000) SELECT src_id, dst_id, kind FROM estate WHERE src_id IN (SELECT id FROM s) OR dst_id IN (SELECT id FROM s)",

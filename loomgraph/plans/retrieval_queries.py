@@ -114,17 +114,20 @@ def intent_class(spark, d):
     return m.select(F.md5(c).alias("message"), C.intent(c).alias("intent"), C.topic(c).alias("topic"), C.named_class(c).alias("class_name"), C.named_method(c).alias("method_name"))
 
 
-_TRACE = "java.lang.IllegalStateException: outer\n at com.acme.Api.call(Api.kt:10)\n at org.springframework.web.X.run(X.java:5)\nCaused by: java.lang.NullPointerException: inner\n at java.util.List.get(List.java:1)\n at com.acme.UserService.getUser(UserService.kt:42)\n at com.acme.Main.main(Main.kt:7)"
+def _traces(spark, d):
+    """A trace for every method: a library frame, a cause, and the method's own frame below the cause."""
+    base = F.substring_index("fqn", "(", 1)
+    own = F.concat(F.lit(" at "), base, F.lit("(Own.kt:"), F.coalesce("line_start", F.lit(1)), F.lit(")\n"))
+    text = F.concat(F.lit("java.lang.IllegalStateException: outer\n at org.springframework.web.X.run(X.java:5)\nCaused by: java.lang.NullPointerException: inner\n at java.util.List.get(List.java:1)\n"), own, F.lit(" at com.acme.Main.main(Main.kt:7)"))
+    return A.nodes(spark, d).where("kind = 'METHOD'").select(F.col("id").alias("trace_id"), text.alias("trace"))
 
 
 def stacktrace_frames(spark, d):
-    t = spark.range(1).select(F.lit(1).alias("trace_id"), F.lit(_TRACE).alias("trace"))
-    return C.frames(t, "trace_id", "trace")
+    return C.frames(_traces(spark, d), "trace_id", "trace")
 
 
 def stacktrace_root(spark, d):
-    t = spark.range(1).select(F.lit(1).alias("trace_id"), F.lit(_TRACE).alias("trace"))
-    return C.root_cause(t, "trace_id", "trace")
+    return C.root_cause(_traces(spark, d), "trace_id", "trace")
 
 
 def kind_refine(spark, d):
@@ -160,6 +163,7 @@ QUERIES = {
 _OK = "len({0}) = 64 AND len(list_filter({0}, lambda x: isnan(x) OR x IS NULL)) = 0 AND list_sum(list_transform({0}, lambda x: x * x)) > 0"
 _C = f"WITH c AS (SELECT DISTINCT id, application_id, content, CASE WHEN {_OK.format('embedding')} THEN CAST(embedding AS DOUBLE[]) END AS v FROM chunk), q AS (SELECT v AS q FROM c WHERE v IS NOT NULL ORDER BY id LIMIT 1), s AS (SELECT id, application_id, list_cosine_similarity(v, (SELECT q FROM q)) AS sim FROM c WHERE v IS NOT NULL), tk AS (SELECT id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS t FROM c)"
 _FT = "SELECT id, len(list_filter(t, lambda x: x IN ('queue', 'index')))::double / len(t) AS score FROM tk WHERE list_contains(t, 'queue') AND list_contains(t, 'index')"
+_TR = r"WITH m AS (SELECT DISTINCT id AS trace_id, regexp_replace(split_part(fqn, '(', 1), '\.[^.]*$', '') AS owner, regexp_extract(split_part(fqn, '(', 1), '[^.]*$') AS method, coalesce(line_start, 1) AS line FROM node WHERE kind = 'METHOD')"
 SQL = {
     "knn_cosine": f"{_C} SELECT id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.01 ORDER BY sim DESC, id LIMIT 20",
     "knn_scoped_threshold": f"{_C} SELECT id, round(sim, 6) AS similarity FROM s WHERE application_id = 1 AND sim >= 0.01 ORDER BY sim DESC, id LIMIT 20",
@@ -184,8 +188,9 @@ SQL = {
         CASE WHEN regexp_matches(l, 'авториз|безопасност|security|auth|доступ|права') THEN 'SECURITY' WHEN regexp_matches(l, 'интеграц|внешни|integration|клиент|client|http|kafka|rabbit') THEN 'INTEGRATION' WHEN regexp_matches(l, 'данн|модел|табли|data|model|table|бд|database|хранени') THEN 'DATA' ELSE 'GENERAL' END AS topic,
         nullif(regexp_extract(c, '(?i)(?:класс|class)\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') AS class_name,
         coalesce(nullif(regexp_extract(c, '(?i)метод\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(c, '(?i)method\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(c, '(?i)функция\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(c, '(?i)function\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '')) AS method_name FROM f""",
-    "stacktrace_root": "SELECT 1 AS trace_id, 'java.lang.IllegalStateException' AS exception, 'java.lang.NullPointerException' AS cause, 'com.acme.UserService' AS owner, 'getUser' AS method, 42 AS line",
-    "stacktrace_frames": """SELECT 1 AS trace_id, * FROM (VALUES (0, 'com.acme.Api', 'call', 'Api.kt', 10, true), (1, 'org.springframework.web.X', 'run', 'X.java', 5, false), (2, 'java.util.List', 'get', 'List.java', 1, false), (3, 'com.acme.UserService', 'getUser', 'UserService.kt', 42, true), (4, 'com.acme.Main', 'main', 'Main.kt', 7, true)) t(at, owner, method, file, line, is_app)""".replace("t(at,", 't("at",'),
+    "stacktrace_root": rf"{_TR} SELECT trace_id, 'java.lang.IllegalStateException' AS exception, 'java.lang.NullPointerException' AS cause, owner, method, line FROM m",
+    "stacktrace_frames": rf"""{_TR} SELECT trace_id, x."at", x.owner, x.method, x.file, x.line, x.is_app FROM (SELECT trace_id, unnest([{{'at': 0, 'owner': 'org.springframework.web.X', 'method': 'run', 'file': 'X.java', 'line': 5, 'is_app': false}}, {{'at': 1, 'owner': 'java.util.List', 'method': 'get', 'file': 'List.java', 'line': 1, 'is_app': false}},
+        {{'at': 2, 'owner': owner, 'method': method, 'file': 'Own.kt', 'line': line, 'is_app': true}}, {{'at': 3, 'owner': 'com.acme.Main', 'method': 'main', 'file': 'Main.kt', 'line': 7, 'is_app': true}}]) AS x FROM m)""",
     "function_kind_refine": """WITH a AS (SELECT DISTINCT id, list_transform(regexp_extract_all(source_code, '@[A-Za-z]+'), lambda x: lower(x[2:])) AS a FROM node WHERE kind IN ('METHOD', 'ENDPOINT', 'JOB', 'TEST') AND source_code IS NOT NULL)
         SELECT id, CASE WHEN list_has_any(a, ['test', 'parameterizedtest', 'repeatedtest']) THEN 'TEST' WHEN list_has_any(a, ['getmapping', 'postmapping', 'putmapping', 'deletemapping', 'patchmapping', 'requestmapping']) THEN 'ENDPOINT' WHEN list_contains(a, 'scheduled') THEN 'JOB' ELSE 'METHOD' END AS refined FROM a""",
     "kind_refine": """WITH b AS (SELECT DISTINCT id, kind, lower(coalesce(name, '')) AS n, string_split(lower(coalesce(package, '')), '.') AS p, list_transform(coalesce(CAST(json_extract(meta, '$.annotations') AS VARCHAR[]), []), lambda x: lower(regexp_extract(regexp_replace(x, '^@|\\(.*$', '', 'g'), '[^.]*$'))) AS a FROM node WHERE kind IN ('CLASS', 'INTERFACE', 'SERVICE', 'CLIENT', 'MAPPER', 'RECORD', 'ENUM'))

@@ -122,16 +122,20 @@ def kdoc_parse(spark, d):
     )
 
 
+HEADING = "r"
+
+
 def markdown_section(spark, d):
-    rows = spark.sql(
-        "SELECT * FROM VALUES (1, '# A\n## Purpose\nIndexes nodes.\n## Other\nx'), (2, '## Other\ntext'), (3, '## purpose of it\nline one\nline two'), (4, CAST(NULL AS STRING)) AS t(id, md)"
-    )
-    return rows.select("id", T.section(F.col("md"), "Purpose").alias("body"))
+    """The first section whose heading begins with ``HEADING``, headings of any level taken as second-level ones, of technical documents and of all documents."""
+    docs = table(spark, d, "node_doc").dropDuplicates(["node_id", "locale"]).select(F.concat_ws("/", "node_id", "locale").alias("id"), F.col("doc_tech").alias("md"))
+    rows = docs.unionByName(table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("md")))
+    return rows.where("md is not null").select("id", F.md5(T.section(F.regexp_replace(F.regexp_replace("md", "\r\n", "\n"), "(^|\n)#+ ", "$1## "), HEADING)).alias("body"))
 
 
 def judge_scores(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'Score: 7.5 of 10'), (2, 'none'), (3, '42'), (4, CAST(NULL AS STRING)), (5, '0') AS t(id, answer)")
-    return rows.select("id", T.first_score(F.col("answer")).alias("score"), T.unfence(F.concat(F.lit("```json"), "answer", F.lit("```"))).alias("bare"))
+    """Every chunk read as a judge's answer."""
+    c = F.col("content")
+    return _chunks(spark, d).where("content is not null").select("id", T.first_score(c).alias("score"), F.md5(T.unfence(F.concat(F.lit("```json"), F.regexp_replace(c, "`", "'"), F.lit("```")))).alias("bare"))
 
 
 def annotation_arguments(spark, d):
@@ -191,8 +195,10 @@ SQL = {
         array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(source_code, '([\w.]+\b\.\w+)\s*\(', 1), lambda c: NOT list_contains(noise, string_split(c, '.')[-1]) AND NOT list_contains(noise, string_split(c, '.')[-2])))), ',') AS dotted,
         array_to_string(list_sort(list_distinct(regexp_extract_all(source_code, 'throw[ \t]+(?:new[ \t]+)?([A-Z][A-Za-z0-9_.]*)', 1))), ',') AS throws
         FROM (SELECT DISTINCT id, source_code FROM node WHERE kind IN ('METHOD', 'ENDPOINT', 'JOB', 'TEST') AND source_code IS NOT NULL), z""",
-    "judge_scores": "SELECT * FROM (VALUES (1, 7.5::double, 'Score: 7.5 of 10'), (2, NULL, 'none'), (3, 10.0::double, '42'), (4, NULL, NULL), (5, 0.0::double, '0')) t(id, score, bare)",
-    "markdown_section": "SELECT * FROM (VALUES (1, 'Indexes nodes.'), (2, NULL), (3, 'line one' || chr(10) || 'line two'), (4, NULL)) t(id, body)",
+    "judge_scores": rf"SELECT id, CASE WHEN regexp_matches(content, '\d') THEN least(CAST(regexp_extract(content, '\d+(\.\d+)?') AS DOUBLE), 10.0) END AS score, md5(trim(replace(content, chr(96), chr(39)), ' ')) AS bare FROM {_C} WHERE content IS NOT NULL",
+    "markdown_section": rf"""WITH r AS (SELECT DISTINCT node_id || '/' || locale AS id, doc_tech AS md FROM node_doc UNION ALL SELECT 'd' || doc_id, text FROM documents), l AS (SELECT id, string_split(regexp_replace(replace(md, chr(13) || chr(10), chr(10)), '(^|\n)#+ ', '\1## ', 'g'), chr(10)) AS l FROM r WHERE md IS NOT NULL),
+        h AS (SELECT id, l, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)^##[ \t]*{HEADING}')), true), 0) AS p FROM l), e AS (SELECT *, CASE WHEN p > 0 THEN l[p + 1:] ELSE [] END AS t FROM h), f AS (SELECT *, coalesce(list_position(list_transform(t, lambda x: regexp_matches(x, '^##[^#]')), true), 0) AS q FROM e)
+        SELECT id, md5(nullif(trim(array_to_string(CASE WHEN q > 0 THEN t[1:q - 1] ELSE t END, chr(10)), ' '), '')) AS body FROM f""",
     "annotation_arguments": rf"""SELECT id, verb, path, {_PATH.format(u='path')} AS canonical FROM (SELECT id, verb, path, {_BARE.format(u='path')} AS c FROM (
         SELECT DISTINCT id, a, CASE WHEN regexp_extract(a, '@?(Get|Post|Put|Delete|Patch|Request)Mapping', 1) = 'Request' THEN 'GET' ELSE upper(regexp_extract(a, '@?(Get|Post|Put|Delete|Patch|Request)Mapping', 1)) END AS verb, nullif(regexp_extract(a, '"([^"]*)"', 1), '') AS path
         FROM (SELECT id, unnest(regexp_extract_all(source_code, '@[A-Za-z]+Mapping\("[^"]*"\)')) AS a FROM node WHERE kind = 'ENDPOINT' AND source_code IS NOT NULL)))""",

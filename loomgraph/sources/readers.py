@@ -120,15 +120,62 @@ def scan_proto(files: DataFrame) -> DataFrame:
     return types.unionByName(rpcs)
 
 
+def _flow(value: str) -> list[tuple[str, str]]:
+    """Keys (with their dot or index) and scalars of a value in flow style; a scalar has the key ``""``."""
+    value = value.strip()
+    if value[:1] not in "[{" or not value or value[-1:] != {"[": "]", "{": "}"}[value[0]]:
+        plain = value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value
+        return [("", plain)]
+    parts, depth, quote, start = [], 0, "", 1
+    for i, c in enumerate(value[1:-1], 1):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+        elif c == "," and not depth:
+            parts.append(value[start:i])
+            start = i + 1
+    parts.append(value[start:-1])
+    out = []
+    for n, part in enumerate(p for p in parts if p.strip()):
+        if value[0] == "[":
+            out += [(f"[{n}]{k}", v) for k, v in _flow(part)]
+        else:
+            key, _, rest = part.partition(":")
+            out += [("." + key.strip().strip("\"'") + k, v) for k, v in _flow(rest)]
+    return out
+
+
 def flatten_yaml(text: str) -> list[tuple[str, str]]:
     """Dotted keys of a configuration file; lists get [i]; several documents follow one another.
 
-    A reader for the block style that configuration files use: mappings, sequences, scalars, quotes and comments.
+    A reader for what configuration files use: mappings, sequences, scalars, quotes, comments, block scalars (``|`` keeps
+    lines, ``>`` folds them) and flow style.
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[int, str]] = []
     counts: dict[str, int] = {}
+    block: tuple[str, bool, int, list[str]] | None = None  # key, whether lines are folded, indent of the key, lines
+
+    def close() -> None:
+        if block:
+            key, folded, _, lines = block
+            while lines and not lines[-1].strip():
+                lines.pop()
+            width = min((len(x) - len(x.lstrip()) for x in lines if x.strip()), default=0)
+            lines = [x[width:].rstrip() for x in lines]
+            out.append((key, " ".join(lines) if folded else "\n".join(lines)))
+
     for raw in text.replace("\r\n", "\n").split("\n"):
+        if block and (not raw.strip() or len(raw) - len(raw.lstrip()) > block[2]):
+            block[3].append(raw)
+            continue
+        close()
+        block = None
         if re.match(r"^(?:---|\.\.\.)", raw):
             stack, counts = [], {}
             continue
@@ -154,16 +201,18 @@ def flatten_yaml(text: str) -> list[tuple[str, str]]:
         while stack and stack[-1][0] >= indent:
             stack.pop()
         path = lambda *more: ".".join([*(k for _, k in stack), *more]).replace(".[", "[")
-        scalar = lambda v: v.strip()[1:-1] if len(v.strip()) > 1 and v.strip()[0] in "\"'" and v.strip()[-1] == v.strip()[0] else v.strip()
-        if not m:
-            out.append((path(), scalar(item)))
+        if not m or item[0] in "[{":
+            out += [(path() + k if k.startswith("[") else (path() + k).lstrip("."), v) for k, v in _flow(item)]
             continue
         key = m.group(1) or m.group(2) or m.group(3)
         value = (m.group(4) or "").strip()
-        if value and value not in ("|", ">", "|-", ">-"):
-            out.append((path(key), scalar(value)))
+        if re.fullmatch(r"[|>][+\-0-9]*", value):
+            block = (path(key), value[0] == ">", indent, [])
+        elif value:
+            out += [(path(key) + k, v) for k, v in _flow(value)]
         else:
             stack.append((indent, key))
+    close()
     return out
 
 

@@ -245,7 +245,7 @@ def test_sources(spark, tmp_path):
 
 def test_yaml_and_proto(spark):
     text = "spring:\n  kafka:\n    servers: [a]\n  list:\n    - one\n    - name: two # note\n      value: 3\nflat.key: 'x # y'\n"
-    assert dict(readers.flatten_yaml(text)) == {"spring.kafka.servers": "[a]", "spring.list[0]": "one", "spring.list[1].name": "two", "spring.list[1].value": "3", "flat.key": "x # y"}
+    assert dict(readers.flatten_yaml(text)) == {"spring.kafka.servers[0]": "a", "spring.list[0]": "one", "spring.list[1].name": "two", "spring.list[1].value": "3", "flat.key": "x # y"}
     files = spark.createDataFrame([("a.proto", "message M { string a = 1; }\nservice S { rpc Get (M) returns (M); rpc Put (M) returns (M) {} }")], "path string, text string")
     assert {(r.kind, r.name) for r in readers.scan_proto(files).collect()} == {("MESSAGE", "M"), ("SERVICE", "S"), ("RPC", "Get"), ("RPC", "Put")}
 
@@ -259,10 +259,39 @@ def test_models_are_injected(spark):
     assert {r.similarity for r in retrieval.rerank(results, lambda texts: 1 / 0).collect()} == {0.1, 0.2}
 
 
-def test_report_caps(spark):
-    rows = spark.createDataFrame([(1, f"e{i:02d}", "ENDPOINT", "p") for i in range(7)], "application_id long, fqn string, kind string, package string")
-    line = reports.profile(rows, 5).where("section = 'endpoints'").first().line
-    assert line == "e00, e01, e02, e03, e04 … and 2 more"
+def test_profile(spark):
+    rows = [(i, 1, f"p.e{i:02d}", None, "ENDPOINT", '{"httpMethod": "GET", "path": "/x"}' if i == 1 else None) for i in range(1, 54)]
+    rows += [(100, 1, "p.orders", "orders", "DB_TABLE", None), (101, 1, "p.C", "C", "CLASS", None), (102, 1, "p.Async", "MyAsyncThing", "ANNOTATION", None)]
+    nodes = spark.createDataFrame(rows, "id long, application_id long, fqn string, name string, kind string, meta string")
+    edges = spark.createDataFrame([(i, 100, "READS") for i in range(1, 9)] + [(101, 100, "WRITES"), (101, 102, "ANNOTATED_WITH")], schema.EDGE)
+    told = {(r.section, r.position): r.line for r in reports.profile(nodes, edges).collect()}
+    assert told["endpoints", 1] == "- GET /x" and told["endpoints", 2] == "- p.e02" and told["endpoints", 51] == "- ... и ещё 3 эндпоинтов"
+    assert told["data", 1] == "- DB_TABLE: orders (читают: p.e01, p.e02, p.e03, p.e04, p.e05; пишут: C)" and told["annotations", 1] == "- @MyAsyncThing: 1 использований"
+
+
+def test_rules_of_scores_plans_and_questions(spark):
+    c = F.col("t")
+    assert one(spark, T.readability(c), t=" ") == 5.0
+    assert one(spark, T.final_score(F.lit(10.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))) == 1.5 and one(spark, T.final_score(F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(0.0))) == 1.0 and one(spark, T.final_score(F.lit(3.0), F.lit(3.0), F.lit(3.0), F.lit(None).cast("double"))) == 3.0
+    assert one(spark, T.type_tokens(c), t="fun Wrong<T>(a: Map<Key, val>): Res?") == ["Key", "Map", "Res"]
+    assert one(spark, T.simple_calls(c), t="a.load(map(x), If(1))") == ["If", "load"] and one(spark, T.dotted_calls(c), t="x.timer.go(1); a.b.go(2)") == ["a.b.go"]
+    assert one(spark, T.section(c, "Purpose"), t="## Purpose\n## Next\nx") is None and one(spark, T.section(c, "Purpose"), t="## Purpose of it\nline\n### sub\n## b") == "line\n### sub"
+    for text, want in {"какие слои есть": "ARCHITECTURE", "слои": "DEFAULT", "OrderService": "EXACT", "getUser": "DEFAULT", "класс order": "EXACT", "at a.B.c(B.kt:1)\nCaused by: x": "STACKTRACE", "at a.B.c(B.kt)\nat a.B.d(B.kt)": "DEFAULT"}.items():
+        assert one(spark, classify.intent(c), t=text) == want, text
+    kinds = {k: one(spark, chunking.prompt_name(F.lit(k), F.lit(1), F.lit(0), F.lit(True))) for k in ("METHOD", "ENUM", "REPO", "INFRASTRUCTURE", "FIELD")}
+    assert kinds == {"METHOD": "method-with-deps", "ENUM": "type-no-children", "REPO": "container-no-children", "INFRASTRUCTURE": "infrastructure", "FIELD": "leaf-with-code"}
+
+
+def test_long_texts_are_embedded_whole(spark):
+    rows = spark.createDataFrame([(1, "a" * 25 + "b" * 5, None, None, None)], "id long, content string, content_hash string, token_count int, embedding array<double>")
+    share = lambda texts: [[t.count("b") / len(t)] for t in texts]
+    assert chunking.post_process(rows, share, most=10).first().embedding == [pytest.approx(0.5 / 3)]
+    assert chunking.post_process(rows, share, most=10, summarise=lambda ts: ["b"] * len(ts)).first().embedding == [1.0]
+
+
+def test_yaml_blocks_and_flow():
+    text = "a: |\n  one: two\n\n  three\nb: >-\n  x\n  y\nc: [1, \"t, u\", {k: v}]\nd: {e: f, g: [h]}\n"
+    assert readers.flatten_yaml(text) == [("a", "one: two\n\nthree"), ("b", "x y"), ("c[0]", "1"), ("c[1]", "t, u"), ("c[2].k", "v"), ("d.e", "f"), ("d.g[0]", "h")]
 
 
 def test_question_machine(spark):
