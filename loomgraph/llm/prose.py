@@ -6,13 +6,16 @@ distinct one is classified once.  The labels are joined back to the spans by has
 
 A span is cut into lines and sentences, which may be of different languages.  Code, queries, addresses and identifiers
 are taken out first.  A sentence is Russian by its script; the four Latin languages are told apart by their function words
-and letters.  A span holds a language if its sentences in it have at least ``MIN_WORDS`` words.  Null and empty texts have none.
+and letters and, where these do not decide, by a model of character trigrams (naive Bayes), which is fitted on the sentences
+of about ``TRAIN_ROWS`` labelled documents, chosen by hash; only trigram counts leave the executors.  A span holds a language if its sentences in it have at least ``MIN_WORDS`` words.  Null and empty texts have none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -24,6 +27,10 @@ from loomgraph.llm import lexer
 from loomgraph.runtime import cut
 
 MIN_WORDS = 5
+TRAIN_ROWS = 4000
+LATIN = ("en", "de", "es", "fr")
+# the least share of known trigrams, the least lead of the best language in nats, in all and per trigram
+KNOWN, LEAD, LEAD_EACH = 0.8, 6.0, 0.15
 LANGUAGES = ("en", "ru", "de", "es", "fr")
 
 # fixed values: function words, and letters that only some of the languages have
@@ -65,22 +72,69 @@ def language(words: list[str]) -> str | None:
     return best if hits[best] >= 2 or (hits[best] and hits[best] * 5 >= len(latin)) else None
 
 
-def languages(text: str) -> dict[str, tuple[int, int]]:
-    """Language -> (words, UTF-8 bytes) of the running text in one span."""
-    out: dict[str, tuple[int, int]] = {}
-    if _QUERY.match(text):
-        return out
+def trigrams(words: list[str]) -> list[str]:
+    return [g for w in words for t in [f" {w} "] for g in (t[i : i + 3] for i in range(len(t) - 2))]
+
+
+def sentences(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(sentence, words) of a text without code, queries, addresses and identifiers."""
     for sentence in _SENTENCE.split(text):
         if not sentence or _QUERY.match(sentence):
             continue
-        bare = _TAG.sub(" ", sentence)
-        bare = _ADDRESS.sub(" ", bare)
+        bare = _ADDRESS.sub(" ", _TAG.sub(" ", sentence))
         if _CODE.search(bare):
             continue
         words = [w.lower() for w in _TOKEN.findall(_IDENTIFIER.sub(" ", bare))]
-        if not words:
-            continue
-        lang = language(words)
+        if words:
+            yield sentence, words
+
+
+def guess(words: list[str], model: dict[str, tuple[float, ...]]) -> str | None:
+    """Language of a sentence by its trigrams; none where too few are known or two languages lie too close."""
+    grams = trigrams([w for w in words if w[0] < "ɐ"])
+    known = [model[g] for g in grams if g in model]
+    if len(words) < 4 or len(known) < KNOWN * len(grams):
+        return None
+    sums = sorted(((sum(x), lang) for x, lang in zip(zip(*known), LATIN)), reverse=True)
+    lead = sums[0][0] - sums[1][0]
+    return sums[0][1] if lead >= LEAD and lead >= LEAD_EACH * len(known) else None
+
+
+def fit(documents: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, tuple[float, ...]]:
+    """Trigram -> its log probabilities in the Latin languages, from the labelled sentences of about ``rows`` documents.
+
+    A sentence counts if its function words agree with the document's label, since labels may be wrong and documents mixed.
+    """
+    labelled_ = documents.where(F.col("lang").isin(*LATIN) & F.col("text").isNotNull())
+    n = labelled_.count()
+    bound = int(min(1.0, rows / max(n, 1)) * ((1 << 62) - 1))
+    chosen = labelled_.where(F.xxhash64("doc_id", F.lit("fit")).bitwiseAND(F.lit((1 << 62) - 1)) <= bound)
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter[str]] = {lang: Counter() for lang in LATIN}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for _, words in sentences(text):
+                    if language(words) == lang:
+                        counts[lang].update(trigrams(words))
+        rows_ = [(lang, g, k) for lang in LATIN for g, k in counts[lang].items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_), schema)] if rows_ else [pa.array([], f.type) for f in schema], schema=schema)
+
+    found = chosen.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    table = {(r["lang"], r["gram"]): r["n"] for r in found}
+    total = {lang: sum(k for (x, _), k in table.items() if x == lang) for lang in LATIN}
+    grams = {g for _, g in table}
+    return {g: tuple(math.log((table.get((lang, g), 0) + 0.5) / (total[lang] + 0.5 * len(grams))) for lang in LATIN) for g in grams}
+
+
+def languages(text: str, model: dict[str, tuple[float, ...]] | None = None) -> dict[str, tuple[int, int]]:
+    """Language -> (words, UTF-8 bytes) of the running text in one span."""
+    out: dict[str, tuple[int, int]] = {}
+    if _QUERY.match(text):
+        return out
+    for sentence, words in sentences(text):
+        lang = language(words) or (guess(words, model) if model else None)
         if lang:
             n, size = out.get(lang, (0, 0))
             out[lang] = (n + len(words), size + len(sentence.encode("utf-8", "replace")))
@@ -124,15 +178,16 @@ def _spans(nodes: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "node_id long, hash binary, text string, places int")
 
 
-def _labels(texts: DataFrame) -> DataFrame:
+def _labels(texts: DataFrame, model: dict[str, tuple[float, ...]] | None) -> DataFrame:
     """(hash, text_lang, words, bytes) of each distinct text, one row per language in it."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("hash", pa.binary()), ("text_lang", pa.string()), ("words", pa.int32()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for lang, (words, size) in languages(text).items():
+                for lang, (words, size) in languages(text, shared.value).items():
                     for column, value in zip(rows, (name, lang, words, size)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
@@ -140,22 +195,22 @@ def _labels(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "hash binary, text_lang string, words int, bytes long")
 
 
-def labelled(nodes: DataFrame) -> DataFrame:
+def labelled(nodes: DataFrame, model: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """(node_id, text_lang, words, bytes, places): every span's languages, one row per node, distinct text and language."""
     spans = cut(_spans(nodes))
     texts = spans.where("text is not null").select("hash", "text").dropDuplicates(["hash"])
     slim = spans.select("node_id", "hash", "places").distinct()
-    return slim.join(_labels(texts), "hash")
+    return slim.join(_labels(texts, model), "hash")
 
 
-def node_languages(nodes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def node_languages(nodes: DataFrame, min_words: int = MIN_WORDS, model: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """(node_id, text_lang): the languages of which a single span of the node holds at least ``min_words`` words."""
-    return labelled(nodes).where(F.col("words") >= min_words).select("node_id", "text_lang").distinct()
+    return labelled(nodes, model).where(F.col("words") >= min_words).select("node_id", "text_lang").distinct()
 
 
-def node_shares(nodes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def node_shares(nodes: DataFrame, min_words: int = MIN_WORDS, model: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """(node_id, text_lang, text_bytes, total_bytes, share): running text by language against source and documentation."""
-    rows = labelled(nodes).where(F.col("words") >= min_words).groupBy("node_id", "text_lang").agg(F.sum(F.col("bytes") * F.col("places")).alias("text_bytes"))
+    rows = labelled(nodes, model).where(F.col("words") >= min_words).groupBy("node_id", "text_lang").agg(F.sum(F.col("bytes") * F.col("places")).alias("text_bytes"))
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
     totals = nodes.where("id is not null").groupBy(F.col("id").alias("node_id")).agg(F.max(size("source_code") + size("doc_comment")).cast("long").alias("total_bytes"))
     return rows.join(totals, "node_id").withColumn("share", F.round(F.least(F.lit(1.0), F.col("text_bytes") / F.col("total_bytes")), 6))

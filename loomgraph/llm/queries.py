@@ -24,11 +24,11 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return prose.node_languages(table(spark, d, "node"))
+    return prose.node_languages(table(spark, d, "node"), model=prose.fit(table(spark, d, "documents")))
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    return prose.node_shares(table(spark, d, "node"))
+    return prose.node_shares(table(spark, d, "node"), model=prose.fit(table(spark, d, "documents")))
 
 
 def long_texts(spark: SparkSession, d: str) -> DataFrame:

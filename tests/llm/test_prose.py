@@ -49,3 +49,12 @@ def test_rows(spark):
 def test_short_and_tabbed_spans_count():
     assert prose._worth("a\tb\tc\td\te") and not prose._worth("a b c d")
     assert prose.languages("It is. The job is on")["en"][0] == 6
+
+
+def test_sentences_without_function_words(spark, data_dir):
+    model = prose.fit(spark.read.parquet(f"{data_dir}/documents.parquet"))
+    assert model and prose.fit(spark.read.parquet(f"{data_dir}/documents.parquet").limit(0)) == {}
+    plain = {"en": "Orders arrive late every Monday morning here", "es": "usuarios nuevos registrados durante cada semana", "de": "Wir prüfen hier jeden neuen Auftrag"}
+    told = {lang: set(prose.languages(text, model)) for lang, text in plain.items()}
+    assert all(not got or got == {lang} for lang, got in told.items()) and sum(map(bool, told.values())) >= 1
+    assert prose.guess("xqz brt plk wvd qqx".split(), model) is None
