@@ -137,3 +137,17 @@ def error_surroundings(places: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     into = edges.where("kind = 'CALLS_CODE'").join(roots.withColumnRenamed("root_id", "dst_id"), "dst_id", "left_semi").select(F.col("dst_id").alias("root_id"), F.col("src_id").alias("neighbour_id"), "src_id", "dst_id", "kind")
     rows = out.unionByName(into).distinct()
     return rows.join(relation_lines(edges, nodes), ["src_id", "dst_id", "kind"]).select("root_id", "neighbour_id", "src_id", "dst_id", "kind", F.regexp_replace("line", r" \(Тип: \w+\)$", "").alias("line"))
+
+
+# fixed values: parts of types and annotations that tell of access control
+ACCESS_TYPES = ("auth", "oauth", "security")
+ACCESS_ANNOTATIONS = ("PreAuthorize", "Secured", "RolesAllowed")
+
+
+def access_control(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(application_id, sort, id, mark): infrastructure of access control with its type, and members with an annotation of it."""
+    kind = F.get_json_object("meta", "$.integrationType")
+    infra = nodes.where((F.col("kind") == "INFRASTRUCTURE") & any_of([F.contains(F.lower(kind), F.lit(t)) for t in ACCESS_TYPES])).select("application_id", F.lit("infrastructure").alias("sort"), "id", kind.alias("mark"))
+    names = nodes.select(F.col("id").alias("dst_id"), F.coalesce("name", "fqn").alias("mark")).where(any_of([F.contains(F.lower("mark"), F.lit(a.lower())) for a in ACCESS_ANNOTATIONS]))
+    marked = edges.where("kind = 'ANNOTATED_WITH'").join(names, "dst_id").select(F.col("src_id").alias("id"), "mark")
+    return infra.unionByName(nodes.select("id", "application_id").join(marked, "id").select("application_id", F.lit("protected").alias("sort"), "id", "mark"))

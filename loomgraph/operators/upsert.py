@@ -96,6 +96,31 @@ def delete_rows(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_anti")
 
 
-def delete_application(nodes: DataFrame, chunks: DataFrame, application: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes and chunks without one application's."""
-    return nodes.where(F.col("application_id") != application), chunks.where(F.col("application_id") != application)
+def delete_application(application: int, nodes: DataFrame, edges: DataFrame, **by_node: tuple[DataFrame, str]) -> dict[str, DataFrame]:
+    """Nodes, edges and further tables (table, column of the node) without what belongs to one application."""
+    gone = nodes.where(F.col("application_id") == application).select("id")
+    left = edges.join(gone.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(gone.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti")
+    out = {"nodes": nodes.where(~F.coalesce(F.col("application_id") == application, F.lit(False))), "edges": left.select(*edges.columns)}
+    return out | {name: delete_rows(rows, gone, column).select(*rows.columns) for name, (rows, column) in by_node.items()}
+
+
+def update_rows(existing: DataFrame, updates: DataFrame, keys: list[str], keep_given: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the columns of ``updates`` overwritten where their key occurs there; in ``keep_given`` a null leaves the old value.
+
+    No row is added.  Of several updates of a key the greatest counts.
+    """
+    columns = [c for c in updates.columns if c not in keys]
+    new = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("u"), F.lit(True).alias("hit"))
+    rows = existing.join(new, keys, "left")
+    return rows.select(*[F.when(F.col("hit"), F.coalesce(f"u.{c}", c) if c in keep_given else F.col(f"u.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns])
+
+
+def clear_columns(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with these columns emptied, so that they are processed again."""
+    return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in columns})
+
+
+def change_counts(changes: DataFrame, action: str = "action") -> DataFrame:
+    """(created, updated, skipped): one row with how many rows were inserted, updated and passed over."""
+    n = lambda what: F.count(F.when(F.col(action) == what, 1))
+    return changes.agg(n("insert").alias("created"), n("update").alias("updated"), n("skip").alias("skipped"))

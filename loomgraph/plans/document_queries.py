@@ -65,6 +65,14 @@ def cross_cutting(spark, d):
     return P.cross_cutting(P.annotation_uses(*_profiled(spark, d)))
 
 
+def access_control(spark, d):
+    """Profiled nodes, with types of integration by number."""
+    nodes, edges = _profiled(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ("OAuth2", "KAFKA", "SecurityGate"))), (F.col("id") % 3 + 1).cast("int"))
+    meta = F.when(F.col("kind") == "INFRASTRUCTURE", F.concat(F.lit('{"integrationType": "'), kind, F.lit('"}'))).otherwise(F.col("meta"))
+    return P.access_control(nodes.withColumn("meta", meta), edges)
+
+
 def node_details(spark, d):
     return P.details(A.nodes(spark, d), A.contains(spark, d))
 
@@ -101,7 +109,7 @@ def yaml_scan(spark, d):
     return S.scan_yaml(nodes.select("application_id", F.concat(F.lit("application-"), F.col("id"), F.lit(".yml")).alias("path"), F.col("source_code").alias("text")))
 
 
-QUERIES = {f.__name__: f for f in (chunk_plan, plan_relations, doc_context, prompt_selection, hash_backfill, profile_report, cross_cutting, node_details, relation_text, error_surroundings, repo_urls, source_scan, proto_scan, yaml_scan)}
+QUERIES = {f.__name__: f for f in (chunk_plan, plan_relations, doc_context, prompt_selection, hash_backfill, profile_report, cross_cutting, access_control, node_details, relation_text, error_surroundings, repo_urls, source_scan, proto_scan, yaml_scan)}
 
 _N = f"WITH {A.NODE_SQL}, {A.CONTAINS_SQL}, {A.SIBLINGS_SQL}"
 _PRIO = "list_position(['CALLS_CODE', 'THROWS', 'READS', 'WRITES', 'QUERIES', 'CALLS_HTTP', 'CALLS_GRPC', 'PRODUCES', 'CONSUMES', 'CONFIGURES', 'CIRCUIT_BREAKER_TO', 'RETRIES_TO', 'TIMEOUTS_TO', 'DEPENDS_ON'], {0})"
@@ -138,6 +146,8 @@ SQL = {
     "repo_urls": r"""WITH b AS (SELECT id, regexp_replace(regexp_replace(trim(repo_url), '^(?:https?://|ssh://)?(?:[^@/]*@)?', ''), '(\.git)?/*$', '') AS b FROM application WHERE repo_url IS NOT NULL) SELECT id, CASE WHEN contains(regexp_extract(b, '^([^/:]+)', 1), 'github') THEN 'GITHUB' WHEN contains(regexp_extract(b, '^([^/:]+)', 1), 'gitlab') THEN 'GITLAB' WHEN contains(regexp_extract(b, '^([^/:]+)', 1), 'bitbucket') THEN 'BITBUCKET' ELSE 'OTHER' END AS provider, nullif(regexp_extract(b, '^[^/:]+[/:](?:\d+/)?(.+)/[^/]+$', 1), '') AS owner, nullif(regexp_extract(b, '([^/:]+)$', 1), '') AS repo FROM b""",
     "relation_text": f"{_N}, t AS (SELECT src_id, substr('СВЯЗИ В ГРАФЕ КОДА:' || chr(10) || string_agg(line || ' (Тип: ' || kind || ')', chr(10) ORDER BY kind, dst_id), 1, 5000) AS text FROM {_TOLD} GROUP BY src_id) SELECT src_id, CAST(length(text) AS INTEGER) AS chars, md5(text) AS hash FROM t",
     "error_surroundings": f"{_N}, w AS {_TOLD}, r AS (SELECT id FROM n WHERE kind = 'ENDPOINT') SELECT w.src_id AS root_id, w.dst_id AS neighbour_id, w.* FROM w JOIN siblings s USING (src_id, dst_id, kind) WHERE w.src_id IN (SELECT id FROM r) AND w.kind IN ('CALLS_CODE', 'CALLS_HTTP', 'READS', 'WRITES', 'DEPENDS_ON') UNION SELECT w.dst_id, w.src_id, w.* FROM w JOIN siblings s USING (src_id, dst_id, kind) WHERE w.dst_id IN (SELECT id FROM r) AND w.kind = 'CALLS_CODE'",
+    "access_control": f"""{_PN} SELECT application_id, 'infrastructure' AS sort, id, ['OAuth2', 'KAFKA', 'SecurityGate'][id % 3 + 1] AS mark FROM pn WHERE kind = 'INFRASTRUCTURE' AND id % 3 <> 1
+        UNION ALL SELECT a.application_id, 'protected', a.id, t.name FROM pe JOIN pn t ON pe.dst_id = t.id JOIN pn a ON pe.src_id = a.id WHERE pe.kind = 'ANNOTATED_WITH' AND regexp_matches(lower(coalesce(t.name, t.fqn)), 'preauthorize|secured|rolesallowed')""",
     "cross_cutting": f"{_PN} SELECT * FROM cc",
     "profile_report": f"""{_PN} SELECT application_id, 'kinds' AS section, '' AS grp, CAST(list_position({list(P.PROFILE_KINDS)}, kind) AS INTEGER) AS position, '- ' || kind || ': ' || count(*) AS line FROM pn WHERE list_contains({list(P.PROFILE_KINDS)}, kind) GROUP BY application_id, kind
         UNION ALL {_list_sql('endpoints', "''", 'ENDPOINT', 50, ' эндпоинтов')} UNION ALL {_list_sql('integrations', "'unknown'", 'INFRASTRUCTURE', 20)} UNION ALL {_list_sql('integrations', "'HTTP-клиенты'", 'CLIENT', 20)} UNION ALL {_list_sql('integrations', "'Топики/очереди'", 'TOPIC', 20)}

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from loomgraph import adapters as A
 from loomgraph.operators import classify as C
 from loomgraph.operators import crossapp as X
+from loomgraph.operators import library as B
 from loomgraph.operators import linking as L
 from loomgraph.runtime import table
 from loomgraph.schema import TYPE_KINDS
@@ -92,6 +93,29 @@ def _some(column):
     return F.when(F.col("next").isNotNull(), F.array(column))
 
 
+def _members(spark, d):
+    """Nodes as members of libraries; every fifth fqn names a client."""
+    nodes = _nodes(spark, d)
+    words = lambda k: F.from_json(F.get_json_object("meta", f"$.{k}"), "array<string>")
+    parents = nodes.select(F.col("id").alias("parent_id"), F.col("fqn").alias("parent_fqn"))
+    return nodes.join(parents, "parent_id", "left").select("id", "fqn", "kind", "parent_fqn", words("modifiers").alias("modifiers"), words("annotations").alias("annotations"))
+
+
+def relevant_library_nodes(spark, d):
+    """Classes and members that matter between applications; methods whose source names a topic count as integrating."""
+    members = _members(spark, d)
+    classes = B.relevant_classes(members, TYPE_KINDS)
+    calls = _nodes(spark, d).where("kind = 'METHOD' and source_code like '%topic = %'").select("fqn")
+    found = B.relevant_members(members, classes, calls).select("id", F.lit("member").alias("sort"))
+    return classes.select("id", F.lit("class").alias("sort")).unionByName(found)
+
+
+def library_kinds(spark, d):
+    """Packages as groups of libraries, two of them given as the company's."""
+    groups = _nodes(spark, d).where("package is not null").select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("org.springframework."), "package")).otherwise(F.col("package")).alias("grp")).distinct()
+    return groups.select("grp", B.library_kind(F.col("grp"), ["ORG.norvik.r", "org.norvik.s"]).alias("kind"))
+
+
 def inheritance_edges(spark, d):
     rows = _next_types(spark, d)
     return L.inheritance(rows.withColumn("supertypes", _some(F.col("next"))).withColumn("supertypes_resolved", F.lit(None).cast("array<string>")))
@@ -205,7 +229,7 @@ def events_after(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (contains_edges, prefix_chain, type_resolution, integration_by_target, integration_summaries, integration_parents, integration_points, integration_edges, inheritance_edges, annotation_edges, signature_edges, throws_edges, config_edges, frame_nodes, audit_capture, call_edges, prefix_join, crossapp_integrations, url_endpoint_match, crossapp_edges, rate_fixed_window, rate_sliding_log, run_state_fold, claim_postprocess, events_after)
+    for f in (contains_edges, prefix_chain, type_resolution, integration_by_target, integration_summaries, integration_parents, integration_points, integration_edges, relevant_library_nodes, library_kinds, inheritance_edges, annotation_edges, signature_edges, throws_edges, config_edges, frame_nodes, audit_capture, call_edges, prefix_join, crossapp_integrations, url_endpoint_match, crossapp_edges, rate_fixed_window, rate_sliding_log, run_state_fold, claim_postprocess, events_after)
 }
 
 _N = f"WITH RECURSIVE {A.NODE_SQL}"
@@ -231,6 +255,11 @@ SQL = {
     "integration_summaries": f"""{_M} SELECT id AS method_id, application_id AS library_id, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(urls) * CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END END AS INTEGER) AS http, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(topics) END AS INTEGER) AS kafka, CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE len(camel) END AS INTEGER) AS camel,
         id % 7 <> 0 AND kind = 'CLIENT' AS is_parent_client, id % 7 <> 0 AND contains(source_code, 'retry') AS has_retry, id % 7 <> 0 AND contains(source_code, 'timeout') AS has_timeout, false AS has_circuit_breaker FROM z""",
     "integration_parents": f"{_M} SELECT id AS method_id FROM m WHERE kind = 'CLIENT' AND application_id = 1",
+    "relevant_library_nodes": f"""{_N}, w AS (SELECT n.id, n.fqn, n.kind, p.fqn AS pf, coalesce(CAST(json_extract(n.meta, '$.modifiers') AS VARCHAR[]), []) AS m, lower(array_to_string(coalesce(CAST(json_extract(n.meta, '$.annotations') AS VARCHAR[]), []), ' ')) AS a FROM n LEFT JOIN n p ON n.parent_id = p.id),
+        c AS (SELECT * FROM w WHERE kind IN {_TYPES} AND list_contains(m, 'public') AND (regexp_matches(a, 'controller|feignclient|kafkalistener|rabbitlistener|service|component|webclient') OR regexp_matches(lower(fqn), 'webclient|resttemplate|okhttp|httpclient|feign|restclient|kafka|routebuilder|camel') OR kind = 'INTERFACE')), t AS (SELECT fqn FROM n WHERE kind = 'METHOD' AND contains(source_code, 'topic = '))
+        SELECT id, 'class' AS sort FROM c UNION ALL SELECT id, 'member' FROM w WHERE (kind = 'METHOD' AND list_contains(m, 'public') AND (regexp_matches(a, '(get|post|put|delete|patch|request)mapping|kafkalistener|rabbitlistener|scheduled|eventlistener') OR fqn IN (SELECT fqn FROM t) OR pf IN (SELECT fqn FROM c)))
+        OR (kind = 'FIELD' AND pf IN (SELECT fqn FROM c) AND (list_contains(m, 'public') OR (list_contains(m, 'static') AND list_contains(m, 'final'))))""",
+    "library_kinds": f"{_N} SELECT DISTINCT grp, CASE WHEN starts_with(grp, 'org.springframework') THEN 'framework' WHEN starts_with(lower(grp), 'org.norvik.r') OR starts_with(lower(grp), 'org.norvik.s') THEN 'company' ELSE 'external' END AS kind FROM (SELECT CASE WHEN id % 5 = 0 THEN 'org.springframework.' || package ELSE package END AS grp FROM n WHERE package IS NOT NULL)",
     "integration_points": f"""{_PTS} SELECT * FROM pts""",
     "integration_edges": f"""{_PTS}, c AS (SELECT s.src_id, p.* FROM siblings s JOIN pts p ON s.dst_id = p.method_id), t AS (SELECT *, CASE type WHEN 'HTTP' THEN 'infra:http:' || coalesce(verb, 'ANY') || ':' || target WHEN 'KAFKA' THEN 'infra:kafka:topic:' || target ELSE 'infra:camel:uri:' || target END AS target_fqn FROM c)
         SELECT src_id, target_fqn, CASE type WHEN 'HTTP' THEN 'CALLS_HTTP' WHEN 'KAFKA' THEN CASE WHEN operation = 'PRODUCE' THEN 'PRODUCES' ELSE 'CONSUMES' END ELSE 'CALLS_CAMEL' END AS kind FROM t

@@ -162,6 +162,32 @@ def node_change_detect(spark, d):
     return U.detect_changes(nodes, new, ["application_id", "fqn"]).select("application_id", "fqn", "action", F.md5("source_code").alias("source_hash"), "line_start")
 
 
+def change_totals(spark, d):
+    """How many of the nodes above were created, updated and passed over, if every eleventh was unknown."""
+    nodes = A.nodes(spark, d).where("lang = 'kotlin'")
+    new = nodes.withColumn("code_hash", F.when(F.length("source_code") > 400, F.concat(F.coalesce("code_hash", F.lit("")), F.lit("x"))).otherwise(F.col("code_hash")))
+    return U.change_counts(U.detect_changes(nodes.where("id % 11 <> 0"), new, ["application_id", "fqn"]))
+
+
+def chunk_updates(spark, d):
+    """Hashes and counts of every third chunk written in place, a count only where it is known; vectors of all are cleared."""
+    c = _chunks(spark, d).select("id", "content_hash", "token_count", "embedding")
+    new = _chunks(spark, d).where("id % 3 = 0").select("id", F.sha2("content", 256).alias("content_hash"), F.when(F.col("id") % 2 == 0, F.length("content")).alias("token_count"))
+    out = U.clear_columns(U.update_rows(c, new, ["id"], keep_given=("token_count",)), "embedding")
+    return out.select("id", "content_hash", "token_count", F.col("embedding").isNull().alias("cleared"))
+
+
+def application_delete(spark, d):
+    """What is left of nodes, edges, documents and chunks without the first application."""
+    docs = _docs(spark, d).select("node_id", "locale")
+    left = U.delete_application(1, A.nodes(spark, d).select("id", "application_id"), A.contains(spark, d), docs=(docs, "node_id"), chunks=(_chunks(spark, d).select("id", "node_id"), "node_id"))
+    out = None
+    for name, rows in left.items():
+        part = rows.select(F.lit(name).alias("name"), F.col(rows.columns[0]).alias("a"), F.col(rows.columns[1]).cast("string").alias("b"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def merge_policies(spark, d):
     c = _chunks(spark, d)
     old, new = F.col("content_hash"), F.sha2("content", 256)
@@ -210,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodes_by_kind, node_by_fqn, fqn_contains, class_lookup, class_method_lookup, audit_search, json_containment, incomplete_chunks, documented_nodes, app_stats, global_stats, kind_counts, shared_contracts, judge_aggregate, capped_names,
-        annotation_usage, multi_query_dedupe, undirected_edges, stale_docs, ready_nodes, cycle_break_nodes, latest_per_group, recent_chats, edge_upsert, doc_upsert, doc_chunk_sync, node_change_detect, merge_policies, planned_content, meta_merge, run_totals, generated_docs, reranked, delete_orphans,
+        annotation_usage, multi_query_dedupe, undirected_edges, stale_docs, ready_nodes, cycle_break_nodes, latest_per_group, recent_chats, edge_upsert, doc_upsert, doc_chunk_sync, node_change_detect, change_totals, chunk_updates, application_delete, merge_policies, planned_content, meta_merge, run_totals, generated_docs, reranked, delete_orphans,
     )
 }
 
@@ -256,6 +282,10 @@ SQL = {
         o AS (SELECT node_id, lang_detected AS locale, kind, content FROM (SELECT *, row_number() OVER (PARTITION BY node_id, lang_detected, kind ORDER BY updated_at DESC NULLS LAST, id DESC) AS r FROM c WHERE source = 'doc') WHERE r = 1)
         SELECT w.node_id, w.locale, w.kind, md5(w.content) AS content_hash, o.content IS NULL OR o.content <> w.content AS stale FROM w LEFT JOIN o ON w.node_id = o.node_id AND w.locale = o.locale AND w.kind = o.kind""",
     "node_change_detect": f"""{_N} SELECT application_id, fqn, CASE WHEN coalesce(length(source_code) > 400, false) OR (kind = 'CLASS' AND name <> lower(name)) THEN 'update' ELSE 'skip' END AS action, md5(source_code) AS source_hash, line_start FROM n WHERE lang = 'kotlin'""",
+    "change_totals": f"{_N}, k AS (SELECT *, id % 11 = 0 AS fresh, coalesce(length(source_code) > 400, false) AS long FROM n WHERE lang = 'kotlin') SELECT count(*) FILTER (fresh) AS created, count(*) FILTER (NOT fresh AND long) AS updated, count(*) FILTER (NOT fresh AND NOT long) AS skipped FROM k",
+    "chunk_updates": f"{_N} SELECT id, CASE WHEN id % 3 = 0 THEN sha256(content) ELSE content_hash END AS content_hash, CAST(CASE WHEN id % 3 = 0 THEN coalesce(CASE WHEN id % 2 = 0 THEN length(content) END, token_count) ELSE token_count END AS INTEGER) AS token_count, true AS cleared FROM c",
+    "application_delete": f"""{_N}, g AS (SELECT id FROM n WHERE application_id = 1) SELECT 'nodes' AS name, id AS a, CAST(application_id AS VARCHAR) AS b FROM n WHERE coalesce(application_id <> 1, true) UNION ALL SELECT 'edges', src_id, CAST(dst_id AS VARCHAR) FROM contains WHERE src_id NOT IN (SELECT id FROM g) AND dst_id NOT IN (SELECT id FROM g)
+        UNION ALL SELECT 'docs', node_id, locale FROM (SELECT DISTINCT node_id, locale FROM d) WHERE node_id IS NULL OR node_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'chunks', id, CAST(node_id AS VARCHAR) FROM c WHERE node_id IS NULL OR node_id NOT IN (SELECT id FROM g)""",
     "merge_policies": f"{_N} SELECT id, coalesce(content_hash, sha256(content)) AS keep, coalesce(sha256(content), content_hash) AS over, CAST(length(CASE WHEN lang_detected IS NULL OR length(source) > length(lang_detected) THEN source ELSE lang_detected END) AS INTEGER) AS longer_chars, 'A' AS grade FROM c",
     "planned_content": f"{_N} SELECT id, md5(CASE WHEN trim(coalesce(source_code, doc_comment, '')) = '' THEN '(empty)' ELSE trim(coalesce(source_code, doc_comment, '')) END) AS hash FROM n",
     "meta_merge": f"{_N} SELECT id, array_to_string(list_sort(list_filter(['kind=' || kind, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'name=' || coalesce(name, '-') ELSE 'name=' || lower(coalesce(name, '-')) END, CASE WHEN coalesce(package, '') <> '' THEN 'package=' || package END], lambda x: x IS NOT NULL)), ';') AS meta FROM n WHERE kind IS NOT NULL",

@@ -1,3 +1,4 @@
+import pytest
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -42,3 +43,33 @@ def test_poller_and_states(spark, tmp_path):
     assert {r.run_id: (r.status, r.steps_skipped) for r in S.run_states(events).collect()} == {1: ("FAILED", 1), 2: ("SUCCESS", 0)}
     requests = spark.createDataFrame([("GET", "/api/a"), ("POST", "/api/a"), ("POST", "/x")], "http_method string, resource string")
     assert S.audit_capture(requests).select(F.count("*")).first()[0] == 1
+
+
+def test_result_cache():
+    from loomgraph.streaming.runs import ResultCache
+
+    now = [0.0]
+    cache = ResultCache(60, lambda: now[0])
+    cache.put("What  is X?", [1], 7)
+    cache.put(" ", [2])
+    assert cache.get("what is x?", 7) == [1] and cache.get("what is x?") is None and cache.get(" ") is None
+    now[0] = 60.0
+    assert cache.get("What is X?", 7) is None
+    cache.put("a", 1, 7)
+    cache.put("a", 1, 8)
+    assert cache.forget(7) == 1 and cache.get("a", 8) == 1 and cache.forget() == 1
+
+
+def test_run_registry():
+    from loomgraph.streaming.runs import RunRegistry
+
+    runs = RunRegistry()
+    a, b = runs.create(1, "per-node"), runs.create(1, "per-node")
+    runs.progress(a.id, processed=3, written=2)
+    runs.progress(a.id, processed=1)
+    runs.complete(a.id)
+    runs.fail(b.id, "lost")
+    assert (runs.get(a.id).state, runs.get(a.id).processed, runs.get(a.id).written) == ("SUCCESS", 4, 2) and runs.get(b.id).errors == ["lost"]
+    assert runs.newest(1) is b and runs.newest(2) is None and runs.get(9) is None
+    with pytest.raises(ValueError):
+        runs.progress(a.id)
