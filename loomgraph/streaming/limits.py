@@ -69,7 +69,11 @@ def rate_limited(events: DataFrame, key: str, limit: int, width: float, kind: st
 
 
 def rate_limited_stream(events: DataFrame, key: str, limit: int, width: float, kind: str) -> DataFrame:
-    """The same over a stream: the state of a key is kept between micro-batches and dropped when it is idle for a width."""
+    """The same over a stream: the state of a key is kept between micro-batches and dropped when it is idle for a width.
+
+    The drop goes by the clock, for which a query runs batches without data for ever; one that is to end by itself
+    (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled`` set to false.
+    """
     rule = _rule(kind)
     schema = _OUT.format(key=key, type=events.schema[key].dataType.simpleString())
 

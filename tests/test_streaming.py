@@ -29,8 +29,10 @@ def test_stream_equals_batch(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = S.rate_limited_stream(stream, "user_id", 2, 60.0, "fixed")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     query = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(60)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert spark.table("limited").count() == len(ROWS) and spark.table("limited").where("user_id = 2 and admitted").count() == 1
 
 
