@@ -152,7 +152,7 @@ SQL = {
     "profile_report": f"""{_PN} SELECT application_id, 'kinds' AS section, '' AS grp, CAST(list_position({list(P.PROFILE_KINDS)}, kind) AS INTEGER) AS position, '- ' || kind || ': ' || count(*) AS line FROM pn WHERE list_contains({list(P.PROFILE_KINDS)}, kind) GROUP BY application_id, kind
         UNION ALL {_list_sql('endpoints', "''", 'ENDPOINT', 50, ' эндпоинтов')} UNION ALL {_list_sql('integrations', "'unknown'", 'INFRASTRUCTURE', 20)} UNION ALL {_list_sql('integrations', "'HTTP-клиенты'", 'CLIENT', 20)} UNION ALL {_list_sql('integrations', "'Топики/очереди'", 'TOPIC', 20)}
         UNION ALL SELECT application_id, 'annotations', '', CAST(row_number() OVER (PARTITION BY application_id ORDER BY n DESC, annotation) AS INTEGER), '- @' || annotation || ': ' || n || ' использований' FROM cc UNION ALL {_list_sql('modules', "''", 'MODULE', 20, ' модулей')}
-        UNION ALL SELECT application_id, 'data', '', CAST(r AS INTEGER), '- DB_TABLE: ' || coalesce(name, fqn) || coalesce(' (' || nullif(concat_ws('; ', (SELECT 'читают: ' || string_agg(who, ', ' ORDER BY q) FROM acc WHERE acc.dst_id = t.id AND acc.kind = 'READS' AND q <= 5), (SELECT 'пишут: ' || string_agg(who, ', ' ORDER BY q) FROM acc WHERE acc.dst_id = t.id AND acc.kind = 'WRITES' AND q <= 5)), '') || ')', '')
-        FROM (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY kind, id) AS r FROM pn WHERE kind = 'DB_TABLE') t WHERE r <= 30 UNION ALL SELECT application_id, 'data', '', 31, '- ... и ещё ' || (count(*) - 30) || ' объектов данных' FROM pn WHERE kind = 'DB_TABLE' GROUP BY application_id HAVING count(*) > 30""".replace("cc AS (", "acc AS (SELECT pe.dst_id, pe.kind, coalesce(a.name, a.fqn) AS who, row_number() OVER (PARTITION BY pe.dst_id, pe.kind ORDER BY pe.src_id) AS q FROM pe JOIN pn a ON a.id = pe.src_id WHERE pe.kind IN ('READS', 'WRITES')), cc AS ("),
+        UNION ALL SELECT application_id, 'data', '', CAST(r AS INTEGER), '- DB_TABLE: ' || coalesce(name, fqn) || coalesce(' (' || nullif(concat_ws('; ', 'читают: ' || told.reads, 'пишут: ' || told.writes), '') || ')', '')
+        FROM (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY kind, id) AS r FROM pn WHERE kind = 'DB_TABLE') t LEFT JOIN told ON told.dst_id = t.id WHERE r <= 30 UNION ALL SELECT application_id, 'data', '', 31, '- ... и ещё ' || (count(*) - 30) || ' объектов данных' FROM pn WHERE kind = 'DB_TABLE' GROUP BY application_id HAVING count(*) > 30""".replace("cc AS (", "acc AS (SELECT pe.dst_id, pe.kind, coalesce(a.name, a.fqn) AS who, row_number() OVER (PARTITION BY pe.dst_id, pe.kind ORDER BY pe.src_id) AS q FROM pe JOIN pn a ON a.id = pe.src_id WHERE pe.kind IN ('READS', 'WRITES')), told AS (SELECT dst_id, string_agg(who, ', ' ORDER BY q) FILTER (kind = 'READS') AS reads, string_agg(who, ', ' ORDER BY q) FILTER (kind = 'WRITES') AS writes FROM acc WHERE q <= 5 GROUP BY dst_id), cc AS ("),
     "proto_scan": r"""WITH n AS (SELECT DISTINCT id, regexp_replace(regexp_replace(source_code, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS t FROM node WHERE lang = 'proto' AND source_code IS NOT NULL) SELECT id || '.proto' AS path, upper(split_part(d, ' ', 1)) AS kind, regexp_extract(d, '(\w+)$', 1) AS name, CAST(NULL AS VARCHAR) AS owner FROM (SELECT id, unnest(regexp_extract_all(t, '\b((?:message|enum|service)\s+\w+)\s*\{', 1)) AS d FROM n)""",
 }
